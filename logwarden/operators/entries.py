@@ -47,7 +47,8 @@ def parse_lines(
 ) -> DataFrame:
     """Parse every line of ``lines`` (with its ``format``, ``web`` or ``auth``).
 
-    Keeps all lines. ``kind`` is ``web`` or ``auth`` for an entry, ``error`` for a line that
+    Keeps all lines. ``pos`` is their arrival order: source position, then line number, unless
+    the lines bring their own. ``kind`` is ``web`` or ``auth`` for an entry, ``error`` for a line that
     does not parse (``reason`` says why) and ``blank`` for a blank one.
     """
     year, latest = _anchor(reference_time, default_year)
@@ -56,8 +57,9 @@ def parse_lines(
         f"WHEN format = 'web' THEN {_matched(P.WEB_LINE, P.WEB_GROUPS)} ELSE {_matched(P.AUTH_LINE, P.AUTH_GROUPS)} END"
     )
     # The generator keeps filters on parsed fields above it, so the regex runs once per line.
+    pos = "pos" if "pos" in lines.columns else f"shiftleft(cast(source_idx AS BIGINT), {POS_LINE_BITS}) + line_no AS pos"
     grouped = lines.selectExpr(
-        "source", "source_idx", "line_no", "format", r"rtrim('\n', make_valid_utf8(value)) AS raw"
+        "source", "source_idx", "line_no", "format", pos, r"rtrim('\n', make_valid_utf8(value)) AS raw"
     ).selectExpr("*", f"explode(array({groups})) AS g")
 
     either = lambda web, auth: f"trim(get(g, if(web, {web}, {auth}) - 1))"
@@ -68,7 +70,6 @@ def parse_lines(
             "*",
             "format = 'web' AND size(g) > 1 AS web",
             "format = 'auth' AND size(g) > 1 AS auth",
-            f"shiftleft(cast(source_idx AS BIGINT), {POS_LINE_BITS}) + line_no AS pos",
         )
         .selectExpr(
             "*",

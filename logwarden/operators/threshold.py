@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from logwarden.functions.presets import DISTINCTS, MATCHES
 from logwarden.operators.signature import per_rule, with_rule_text
 from logwarden.plans.rules import Rule
-from logwarden.schema import POS_LINE_BITS
 from logwarden.session import materialise
 
 CHUNK_BITS = 20
@@ -179,6 +178,8 @@ def _bursts(groups: DataFrame, rules: list[Rule]) -> DataFrame:
             "burst",
             "front",
             "count",
+            "opens",
+            "base",
             "limit - base AS need",
             f"coalesce(sum(if(hot_first, n, 0L)) OVER ({earlier}), 0L) AS hot_before",
         )
@@ -195,16 +196,16 @@ def _with_starts(rows: DataFrame, runs: DataFrame | None, rules: list[Rule]) ->
     return rows.selectExpr("*", f"sum({own_run}) OVER ({BY_GROUP} ORDER BY pos ROWS UNBOUNDED PRECEDING) AS so_far")
 
 
-class _Stages:
+class Stages:
     """The shared stages of one run over the threshold rules."""
 
-    def __init__(self, entries: DataFrame, rules: list[Rule], order: str, chunk_bits: int) -> None:
+    def __init__(self, events: DataFrame, rules: list[Rule], order: str, chunk_bits: int) -> None:
         self.rules = _threshold_rules(rules)
-        self.placed = _placed(matched_events(entries, self.rules), order, chunk_bits)
-        sizes = _sizes(self.placed, order)
+        self.placed = _placed(events, order, chunk_bits)
+        self.sizes = _sizes(self.placed, order)
         counts_values = any(r.distinct_by for r in self.rules)
-        self.runs = _value_runs(self.placed, sizes, self.rules) if counts_values else None
-        self.groups = _groups(sizes, self.runs, self.rules)
+        self.runs = _value_runs(self.placed, self.sizes, self.rules) if counts_values else None
+        self.groups = _groups(self.sizes, self.runs, self.rules)
         self.rule_id = f"{per_rule([r.id for r in self.rules])} AS rule_id"
 
     def hot_events(self) -> DataFrame:
@@ -225,7 +226,7 @@ def sliding_counts(
     ``rule_id, source_ip, pos, ts, count, front_ts``; counts distinct values for rules with
     ``distinct_by``.
     """
-    stages = _Stages(entries, rules, order, chunk_bits)
+    stages = Stages(matched_events(entries, rules), rules, order, chunk_bits)
     rows = stages.placed.join(stages.groups.select(*GROUP, "starts_before", "ended", "front"), GROUP)
     return _with_starts(rows, stages.runs, stages.rules).selectExpr(
         stages.rule_id,
@@ -241,7 +242,7 @@ def burst_segments(
     entries: DataFrame, rules: list[Rule], *, order: str = "arrival", chunk_bits: int = CHUNK_BITS
 ) -> DataFrame:
     """The events at or above the threshold with the number of their burst per (rule, ip)."""
-    stages = _Stages(entries, rules, order, chunk_bits)
+    stages = Stages(matched_events(entries, rules), rules, order, chunk_bits)
     return stages.hot_events().selectExpr(
         stages.rule_id, "nullif(ip, '') AS source_ip", "pos", "timestamp_micros(t) AS ts", "burst"
     )
@@ -256,7 +257,7 @@ def threshold_findings(
     known by their rank, so at most ``2 * max_evidence`` positions are listed per burst, and
     the lines themselves are fetched for those positions alone.
     """
-    stages = _Stages(entries, rules, order, chunk_bits)
+    stages = Stages(matched_events(entries, rules), rules, order, chunk_bits)
     room = per_rule([r.max_evidence for r in stages.rules])
     aggregates = [
         "min_by(front, struct(edge, pos)) AS front",
@@ -273,9 +274,9 @@ def threshold_findings(
         "struct(front, last, count, sources) AS burst",
         f"posexplode_outer(slice(listed.pos, 1, {room})) AS (nth, pos)",
     )
-    one_line = "CASE WHEN pos IS NOT NULL THEN struct(nth, pos, source, raw) END"
+    one_line = "CASE WHEN pos IS NOT NULL THEN struct(nth, source, line_no, raw) END"
     joined = (
-        lines.join(entries.select("pos", "source", "raw"), "pos", "left")
+        lines.join(entries.select("pos", "source", "line_no", "raw"), "pos", "left")
         .groupBy(*KEY, "emit_pos")
         .agg(F.first("burst").alias("burst"), F.expr(f"array_sort(collect_list({one_line})) AS shown"))
         .selectExpr(
@@ -288,11 +289,10 @@ def threshold_findings(
             "timestamp_micros(burst.last) AS last_seen",
         )
     )
-    line_no = f"e.pos & {(1 << POS_LINE_BITS) - 1}L"
     return with_rule_text(
         joined,
         stages.rules,
-        evidence=f"transform(shown, e -> struct(e.source AS source, {line_no} AS line_no, e.raw AS raw))",
+        evidence="transform(shown, e -> struct(e.source AS source, e.line_no AS line_no, e.raw AS raw))",
         matches="cast(array() AS ARRAY<STRUCT<pattern: STRING, snippet: STRING, value: STRING>>)",
         metadata=[
             {
