@@ -33,11 +33,16 @@ def utc_instant(year: str, month: str, day: str, hour: str, minute: str, second:
     return f"CASE WHEN {second} < 60 AND {year} >= 1 THEN {made} END"
 
 
-def offset_seconds(offset: str) -> str:
-    """Seconds east of UTC for ``+HHMM``, ``+HH:MM``, either with seconds, or ``Z``."""
-    part = lambda start: f"coalesce(try_cast(substr(regexp_replace({offset}, '[:+-]', ''), {start}, 2) AS INT), 0)"
-    size = f"({part(1)} * 3600 + {part(3)} * 60 + {part(5)})"
-    return f"CASE WHEN {offset} = 'Z' THEN 0 WHEN startswith({offset}, '-') THEN -{size} ELSE {size} END"
+def offset_digits(offset: str) -> str:
+    """HHMM or HHMMSS of ``+HHMM``, ``+HH:MM`` and the like; ``Z`` stays."""
+    return f"regexp_replace({offset}, '[:+-]', '')"
+
+
+def offset_seconds(offset: str, digits: str) -> str:
+    """Seconds east of UTC; 0 for ``Z``."""
+    part = lambda start: f"coalesce(try_cast(substr({digits}, {start}, 2) AS BIGINT), 0L)"
+    size = f"({part(1)} * 3600L + {part(3)} * 60L + {part(5)})"
+    return f"if(startswith({offset}, '-'), -1L, 1L) * {size}"
 
 
 def request_tokens(request: str) -> str:
@@ -76,37 +81,44 @@ def last_year(year: str, month: str, day: str, hour: str, minute: str, second: s
     return f"coalesce({same}, {utc_instant(f'({year} - 1)', month, '28', *args)})"
 
 
-def auth_ip(message: str) -> str:
-    first = lambda p: f"nullif(regexp_extract({message}, {regex(p)}, 1), '')"
-    return f"coalesce({first(P.FROM_IP)}, {first(P.ANY_IP)})"
+def auth_parts(message: str) -> list[str]:
+    """What the auth patterns find in a message, each searched for once; '' for nothing.
 
+    Columns ``failed_user, accepted_user, named_user, from_ip, from_port, any_ip, any_port``.
+    """
+    find = lambda pattern, group, name: f"regexp_extract({message}, {regex(pattern)}, {group}) AS {name}"
+    return [
+        find(P.FAILED_PASSWORD, 1, "failed_user"),
+        find(P.ACCEPTED, 1, "accepted_user"),
+        find(P.INVALID_USER, 1, "named_user"),
+        find(P.FROM_IP, 1, "from_ip"),
+        find(P.FROM_IP, 2, "from_port"),
+        find(P.ANY_IP, 1, "any_ip"),
+        find(P.ANY_PORT, 1, "any_port"),
+    ]
 
-def auth_port(message: str) -> str:
-    """Port of the ``from`` clause if there is one, else any port next to any address."""
-    port = (
-        f"CASE WHEN {message} rlike {regex(P.FROM_IP)} THEN regexp_extract({message}, {regex(P.FROM_IP)}, 2) "
-        f"WHEN {message} rlike {regex(P.ANY_IP)} THEN regexp_extract({message}, {regex(P.ANY_PORT)}, 1) END"
-    )
-    return f"try_cast({port} AS INT)"
+
+def auth_ip() -> str:
+    """Address of the ``from`` clause, else the first one anywhere."""
+    return "coalesce(nullif(from_ip, ''), nullif(any_ip, ''))"
 
 
-def _odd_failure(message: str) -> str:
-    return f"startswith(lower({message}), 'failed') AND {message} rlike {regex(P.INVALID_USER)}"
+def auth_port() -> str:
+    """Port of the ``from`` clause if there is one, else any port if there is any address."""
+    return "try_cast(CASE WHEN from_ip <> '' THEN from_port WHEN any_ip <> '' THEN any_port END AS INT)"
 
 
 def auth_outcome(message: str) -> str:
     return (
-        f"CASE WHEN {message} rlike {regex(P.FAILED_PASSWORD)} THEN "
-        f"if({message} rlike {regex(P.INVALID_USER)}, 'invalid_user', 'failure') "
-        f"WHEN {message} rlike {regex(P.ACCEPTED)} THEN 'success' "
-        f"WHEN {_odd_failure(message)} THEN 'invalid_user' WHEN {message} IS NOT NULL THEN 'other' END"
+        "CASE WHEN failed_user <> '' THEN if(named_user <> '', 'invalid_user', 'failure') "
+        "WHEN accepted_user <> '' THEN 'success' "
+        f"WHEN named_user <> '' AND startswith(lower({message}), 'failed') THEN 'invalid_user' "
+        f"WHEN {message} IS NOT NULL THEN 'other' END"
     )
 
 
 def auth_username(message: str) -> str:
-    user = lambda p: f"regexp_extract({message}, {regex(p)}, 1)"
     return (
-        f"CASE WHEN {message} rlike {regex(P.FAILED_PASSWORD)} THEN {user(P.FAILED_PASSWORD)} "
-        f"WHEN {message} rlike {regex(P.ACCEPTED)} THEN {user(P.ACCEPTED)} "
-        f"WHEN {_odd_failure(message)} THEN {user(P.INVALID_USER)} END"
+        "CASE WHEN failed_user <> '' THEN failed_user WHEN accepted_user <> '' THEN accepted_user "
+        f"WHEN named_user <> '' AND startswith(lower({message}), 'failed') THEN named_user END"
     )

@@ -83,11 +83,18 @@ def parse_lines(
             "CASE WHEN web THEN get(g, 10) END AS request",
             "CASE WHEN auth THEN get(g, 8) END AS message",
         )
-        .selectExpr("*", f"{X.month_number('month_name')} AS month", f"{X.request_tokens('request')} AS tokens")
+        .selectExpr(
+            "*",
+            f"{X.month_number('month_name')} AS month",
+            f"{X.offset_digits('utc_offset')} AS offset_digits",
+            f"{X.request_tokens('request')} AS tokens",
+            *X.auth_parts("message"),
+        )
         .selectExpr("*", f"{X.utc_instant(*stamp_parts)} AS stamp", f"{X.request_target('tokens')} AS target")
         .selectExpr(
             "*",
-            f"CASE WHEN web THEN timestamp_micros(unix_micros(stamp) - {X.offset_seconds('utc_offset')} * 1000000L) "
+            "CASE WHEN web THEN timestamp_micros(unix_micros(stamp) - "
+            f"{X.offset_seconds('utc_offset', 'offset_digits')} * 1000000L) "
             f"WHEN auth THEN if(stamp > {latest}, {X.last_year(*stamp_parts)}, stamp) END AS ts",
         )
     )
@@ -96,7 +103,7 @@ def parse_lines(
     pair = lambda i: f"CASE WHEN web AND length(get(g, 13)) > 0 THEN get(g, {i}) END"
     columns = {
         "kind": "CASE WHEN g IS NULL THEN 'blank' WHEN ts IS NULL THEN 'error' ELSE format END",
-        "source_ip": f"CASE WHEN web THEN {X.dash_to_null('get(g, 0)')} WHEN auth THEN {X.auth_ip('message')} END",
+        "source_ip": f"CASE WHEN web THEN {X.dash_to_null('get(g, 0)')} WHEN auth THEN {X.auth_ip()} END",
         "method": X.request_method("request", "tokens"),
         "path": X.target_path("target"),
         "query": X.target_query("target"),
@@ -112,7 +119,7 @@ def parse_lines(
         "pid": auth("try_cast(get(g, 7) AS INT)"),
         "outcome": X.auth_outcome("message"),
         "username": X.auth_username("message"),
-        "source_port": X.auth_port("message"),
+        "source_port": X.auth_port(),
         "reason": (
             "CASE WHEN g IS NULL OR ts IS NOT NULL THEN NULL "
             f"WHEN size(g) > 1 THEN '{P.BAD_STAMP}' WHEN format = 'web' THEN '{P.NOT_WEB}' ELSE '{P.NOT_AUTH}' END"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,23 +14,23 @@ from logwarden.plans.rules import Rule, java_pattern
 from logwarden.schema import severity_name, sql_text
 
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def _hit(rule: Rule, rule_no: int, forms: list[Column]) -> Column:
     """First hit in form-major, pattern-minor order as a struct, NULL where nothing matches.
 
-    The outer test lets clean rows stop after one look at each form; only rows that hit walk
-    the ordered branches to find which pattern it was.
+    One regex of all patterns tells per form whether anything matches, so a clean row costs
+    one search per form that differs from the last. Only a row that hits walks the patterns
+    in order.
     """
-    patterns = [(p, java_pattern(p, rule.case_sensitive)) for p in rule.patterns]
-    fresh = [F.lit(True)] + [forms[i] != forms[i - 1] for i in range(1, len(forms))]
-    seen = [new & _any([form.rlike(regex) for _, regex in patterns]) for new, form in zip(fresh, forms)]
+    regexes = [java_pattern(p, rule.case_sensitive) for p in rule.patterns]
+    if any(re.search(r"\\[1-9]|\\k<", p) for p in rule.patterns):
+        matches = lambda form: reduce(lambda a, b: a | b, [form.rlike(r) for r in regexes])
+    else:
+        together = java_pattern("|".join(f"(?:{p})" for p in rule.patterns), rule.case_sensitive)
+        matches = lambda form: form.rlike(together)
 
     def first_in(form: Column) -> Column:
         found = None
-        for text, regex in patterns:
+        for text, regex in zip(rule.patterns, regexes):
             hit = F.struct(
                 F.lit(rule_no).alias("rule"),
                 F.lit(text).alias("pattern"),
@@ -39,9 +40,9 @@ def _hit(rule: Rule, rule_no: int, forms: list[Column]) -> Column:
             found = F.when(form.rlike(regex), hit) if found is None else found.when(form.rlike(regex), hit)
         return found
 
-    ordered = F.when(seen[0], first_in(forms[0]))
-    for test, form in zip(seen[1:], forms[1:]):
-        ordered = ordered.when(test, first_in(form))
+    ordered = F.when(matches(forms[0]), first_in(forms[0]))
+    for before, form in zip(forms, forms[1:]):
+        ordered = ordered.when((form != before) & matches(form), first_in(form))
     return F.when(F.length(forms[0]) > 0, ordered)
 
 

@@ -96,7 +96,8 @@ def arrival_order(lines: DataFrame, sources: DataFrame, batch_id: int) -> DataFr
     ``pos`` is the batch number and the place in the batch: sources in their order, each
     source's lines in theirs. Only one row per source is ordered globally.
     """
-    counted = lines.groupBy("source").agg(F.min("line_no").alias("first_no"), F.count("*").alias("n"))
+    span = F.max("line_no") - F.min("line_no") + 1
+    counted = lines.groupBy("source").agg(F.min("line_no").alias("first_no"), span.alias("n"))
     offsets = counted.join(sources.select("source", "source_idx", "format"), "source").selectExpr(
         "source",
         "source_idx",
