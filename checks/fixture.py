@@ -149,6 +149,10 @@ DUCK_MIXED = _text(_MIXED, _DUCK)
 def _lines(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < cores:
+        # A small table is one split; a line costs more to parse than its event to move.
+        events = events.select("event_id", "ts", "user_id", "event_type").repartition(cores)
     return spark.sql(_text(template, _SPARK).replace("FROM events", "FROM {events}"), events=events)
 
 

@@ -218,7 +218,7 @@ def p3_split_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = documents.selectExpr("doc_id", "text AS request").selectExpr("*", f"{X.request_tokens('request')} AS tokens")
     return split.selectExpr(
         "doc_id",
-        f"{X.request_method('request', 'tokens')} AS method",
+        f"{X.request_method('tokens')} AS method",
         f"md5({X.request_target('tokens')}) AS target_md5",
         f"{X.request_protocol('tokens')} AS protocol",
     )

@@ -21,16 +21,22 @@ def dash_to_null(value: str) -> str:
     return f"nullif({value}, '-')"
 
 
-def month_number(name: str) -> str:
-    """1-12 for a three-letter English month in any case, else NULL."""
-    at = f"instr('{P.MONTHS}', lower({name}))"
-    return f"CASE WHEN length({name}) = 3 AND {at} % 3 = 1 THEN cast(({at} + 2) / 3 AS INT) END"
+def day_number(year: str, month_name: str, day: str) -> str:
+    """Days since 1970-01-01 of a date with an English month in any case, NULL if there is no such date."""
+    month = f"(instr('{P.MONTHS}', lower({month_name})) + 3) div 4"
+    date = f"try_cast(concat({year}, '-', {month}, '-', trim({day})) AS DATE)"
+    return f"if({year} > '0000' AND {month} > 0, unix_date({date}), NULL)"
 
 
-def utc_instant(year: str, month: str, day: str, hour: str, minute: str, second: str) -> str:
-    """UTC timestamp, or NULL where the parts name no real moment (second 60 does not)."""
-    made = f"try_make_timestamp({year}, {month}, {day}, {hour}, {minute}, {second}, 'UTC')"
-    return f"CASE WHEN {second} < 60 AND {year} >= 1 THEN {made} END"
+def day_second(hour: str, minute: str, second: str) -> str:
+    """Seconds since midnight, NULL if there is no such moment (second 60 is not one)."""
+    h, m, s = (f"try_cast(nullif({part}, '') AS INT)" for part in (hour, minute, second))
+    return f"if({h} < 24 AND {m} < 60 AND {s} < 60, {h} * 3600 + {m} * 60 + {s}, NULL)"
+
+
+def year_before(day_no: str) -> str:
+    """The same day a year earlier; 29 February becomes the 28th where that year lacks it."""
+    return f"unix_date(add_months(date_from_unix_date({day_no}), -12))"
 
 
 def offset_digits(offset: str) -> str:
@@ -39,10 +45,10 @@ def offset_digits(offset: str) -> str:
 
 
 def offset_seconds(offset: str, digits: str) -> str:
-    """Seconds east of UTC; 0 for ``Z``."""
-    part = lambda start: f"coalesce(try_cast(substr({digits}, {start}, 2) AS BIGINT), 0L)"
-    size = f"({part(1)} * 3600L + {part(3)} * 60L + {part(5)})"
-    return f"if(startswith({offset}, '-'), -1L, 1L) * {size}"
+    """Seconds east of UTC; 0 for ``Z``. No cast is made that would fail, as that is slow."""
+    part = lambda start: f"cast(substr({digits}, {start}, 2) AS BIGINT)"
+    size = f"({part(1)} * 3600L + {part(3)} * 60L + if(length({digits}) > 4, {part(5)}, 0L))"
+    return f"if({offset} IN ('', 'Z', '+0000'), 0L, if(startswith({offset}, '-'), -1L, 1L) * {size})"
 
 
 def request_tokens(request: str) -> str:
@@ -50,8 +56,8 @@ def request_tokens(request: str) -> str:
     return f"split({trimmed}, {regex(f'(?U){P.WS}+')})"
 
 
-def request_method(request: str, tokens: str) -> str:
-    return f"CASE WHEN NOT {is_blank(request)} THEN get({tokens}, 0) END"
+def request_method(tokens: str) -> str:
+    return f"nullif(get({tokens}, 0), '')"
 
 
 def request_target(tokens: str) -> str:
@@ -74,15 +80,8 @@ def target_query(target: str) -> str:
     return f"CASE WHEN contains({target}, '?') THEN substr({target}, instr({target}, '?') + 1) END"
 
 
-def last_year(year: str, month: str, day: str, hour: str, minute: str, second: str) -> str:
-    """The same moment a year earlier; 29 February becomes the 28th where that year lacks it."""
-    args = (hour, minute, second)
-    same = utc_instant(f"({year} - 1)", month, day, *args)
-    return f"coalesce({same}, {utc_instant(f'({year} - 1)', month, '28', *args)})"
-
-
 def auth_parts(message: str) -> list[str]:
-    """What the auth patterns find in a message, each searched for once; '' for nothing.
+    """What the auth patterns find in a message, each searched for once; '' for nothing found.
 
     Columns ``failed_user, accepted_user, named_user, from_ip, from_port, any_ip, any_port``.
     """
@@ -105,7 +104,8 @@ def auth_ip() -> str:
 
 def auth_port() -> str:
     """Port of the ``from`` clause if there is one, else any port if there is any address."""
-    return "try_cast(CASE WHEN from_ip <> '' THEN from_port WHEN any_ip <> '' THEN any_port END AS INT)"
+    port = "CASE WHEN from_ip <> '' THEN from_port WHEN any_ip <> '' THEN any_port END"
+    return f"try_cast(nullif({port}, '') AS INT)"
 
 
 def auth_outcome(message: str) -> str:

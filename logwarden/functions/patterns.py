@@ -11,7 +11,7 @@ NOT_WS = r"[^\s\x1c-\x1f]"
 BLANK = rf"(?dU)^{WS}*$"
 
 # Month names, and the layout of access-log and syslog lines.
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 
 _HOUR_OFFSET = r"[+-](?:[01][0-9]|2[0-3])"
 _MINUTE_OFFSET = r"(?:[0-5][0-9](?:[0-5][0-9])?|:[0-5][0-9](?::[0-5][0-9])?)"
@@ -34,7 +34,7 @@ WEB_GROUPS = 16
 
 AUTH_LINE = (
     "(?dU)^"
-    rf"([A-Z][a-z]{{2}}){WS}+(\d{{1,2}}){WS}+(\d{{2}}):(\d{{2}}):(\d{{2}}){WS}+"
+    rf"([A-Z][a-z]{{2}}){WS}+([0-9]{{1,2}}){WS}+([0-9]{{2}}):([0-9]{{2}}):([0-9]{{2}}){WS}+"
     rf"({NOT_WS}+){WS}+([^\[\s\x1c-\x1f:]+)(?:\[(\d+)\])?:{WS}*(.*)$"
 )
 AUTH_GROUPS = 9

@@ -25,13 +25,13 @@ def _as_utc(moment: datetime) -> datetime:
 
 
 def _anchor(reference_time: datetime | None, default_year: int | None) -> tuple[int, str]:
-    """(year to try first, latest allowed moment); the year is read in the anchor's own offset."""
+    """(year to try first, latest allowed moment in microseconds); the year is read in the anchor's own offset."""
     if default_year is not None:
-        return default_year, "cast(NULL AS TIMESTAMP)"
+        return default_year, "cast(NULL AS BIGINT)"
     moment = _as_utc(reference_time if reference_time is not None else datetime.now(timezone.utc))
     age = moment - datetime(1970, 1, 1, tzinfo=timezone.utc)
     micros = (age.days * 86_400 + age.seconds) * 1_000_000 + age.microseconds
-    return moment.year, f"timestamp_micros({micros}L)"
+    return moment.year, f"{micros}L"
 
 
 def _matched(pattern: str, groups: int) -> str:
@@ -62,61 +62,50 @@ def parse_lines(
         "source", "source_idx", "line_no", "format", pos, r"rtrim('\n', make_valid_utf8(value)) AS raw"
     ).selectExpr("*", f"explode(array({groups})) AS g")
 
-    either = lambda web, auth: f"trim(get(g, if(web, {web}, {auth}) - 1))"
-    number = lambda web, auth: f"try_cast({either(web, auth)} AS INT)"
-    stamp_parts = ("year", "month", "day", "hour", "minute", "second")
-    split = (
-        grouped.selectExpr(
-            "*",
-            "format = 'web' AND size(g) > 1 AS web",
-            "format = 'auth' AND size(g) > 1 AS auth",
-        )
-        .selectExpr(
-            "*",
-            f"{either(5, 1)} AS month_name",
-            f"if(web, try_cast(get(g, 5) AS INT), {year}) AS year",
-            f"{number(4, 2)} AS day",
-            f"{number(7, 3)} AS hour",
-            f"{number(8, 4)} AS minute",
-            f"{number(9, 5)} AS second",
-            "CASE WHEN web THEN get(g, 9) END AS utc_offset",
-            "CASE WHEN web THEN get(g, 10) END AS request",
-            "CASE WHEN auth THEN get(g, 8) END AS message",
-        )
-        .selectExpr(
-            "*",
-            f"{X.month_number('month_name')} AS month",
-            f"{X.offset_digits('utc_offset')} AS offset_digits",
-            f"{X.request_tokens('request')} AS tokens",
-            *X.auth_parts("message"),
-        )
-        .selectExpr("*", f"{X.utc_instant(*stamp_parts)} AS stamp", f"{X.request_target('tokens')} AS target")
-        .selectExpr(
-            "*",
-            "CASE WHEN web THEN timestamp_micros(unix_micros(stamp) - "
-            f"{X.offset_seconds('utc_offset', 'offset_digits')} * 1000000L) "
-            f"WHEN auth THEN if(stamp > {latest}, {X.last_year(*stamp_parts)}, stamp) END AS ts",
-        )
+    either = lambda web, auth: f"get(g, if(web, {web}, {auth}))"
+    timed = grouped.selectExpr(
+        "*", "size(g) > 1 AND format = 'web' AS web", "size(g) > 1 AND format <> 'web' AS auth"
+    ).selectExpr(
+        "*",
+        f"{X.day_number(f'if(web, get(g, 5), \'{year:04d}\')', either(4, 0), either(3, 1))} AS day_no",
+        f"{X.day_second(either(6, 2), either(7, 3), either(8, 4))} AS day_second",
+        "if(web, get(g, 9), NULL) AS utc_offset",
+        f"{X.offset_digits('if(web, get(g, 9), NULL)')} AS offset_digits",
+        f"{X.request_tokens('if(web, get(g, 10), NULL)')} AS tokens",
     )
-    web = lambda expr: f"CASE WHEN web THEN {expr} END"
-    auth = lambda expr: f"CASE WHEN auth THEN {expr} END"
-    pair = lambda i: f"CASE WHEN web AND length(get(g, 13)) > 0 THEN get(g, {i}) END"
+    moment = "(day_no * 86400L + day_second)"
+    found = [
+        f"timestamp_seconds(if(web, {moment} - {X.offset_seconds('utc_offset', 'offset_digits')}, "
+        f"if({moment} * 1000000L > {latest}, {X.year_before('day_no')} * 86400L + day_second, {moment}))) AS ts",
+        f"{X.request_target('tokens')} AS target",
+        "if(auth, get(g, 8), NULL) AS message",
+        *X.auth_parts("if(auth, get(g, 8), NULL)"),
+    ]
+    # Generated code of the whole would be one method too large for the JVM to compile and run
+    # interpreted. The lambda ends a code block here, which leaves two small ones.
+    split = timed.selectExpr(
+        "source", "source_idx", "line_no", "format", "pos", "raw", "g", "web", "auth", "tokens",
+        f"inline(filter(array(struct({', '.join(found)})), f -> f IS NOT NULL))",
+    )
+    web = lambda expr: f"if(web, {expr}, NULL)"
+    auth = lambda expr: f"if(auth, {expr}, NULL)"
+    pair = lambda i: f"if(web AND get(g, 13) <> '', get(g, {i}), NULL)"
     columns = {
         "kind": "CASE WHEN g IS NULL THEN 'blank' WHEN ts IS NULL THEN 'error' ELSE format END",
-        "source_ip": f"CASE WHEN web THEN {X.dash_to_null('get(g, 0)')} WHEN auth THEN {X.auth_ip()} END",
-        "method": X.request_method("request", "tokens"),
+        "source_ip": f"if(web, {X.dash_to_null('get(g, 0)')}, {X.auth_ip()})",
+        "method": X.request_method("tokens"),
         "path": X.target_path("target"),
         "query": X.target_query("target"),
         "protocol": X.request_protocol("tokens"),
-        "status": web("try_cast(get(g, 11) AS INT)"),
-        "size": web("coalesce(try_cast(get(g, 12) AS BIGINT), 0L)"),
+        "status": web("try_cast(nullif(get(g, 11), '-') AS INT)"),
+        "size": web("coalesce(try_cast(nullif(get(g, 12), '-') AS BIGINT), 0L)"),
         "identity": web(X.dash_to_null("get(g, 1)")),
         "user": web(X.dash_to_null("get(g, 2)")),
         "referrer": pair(14),
         "user_agent": pair(15),
         "hostname": auth("get(g, 5)"),
         "process": auth("get(g, 6)"),
-        "pid": auth("try_cast(get(g, 7) AS INT)"),
+        "pid": auth("try_cast(nullif(get(g, 7), '') AS INT)"),
         "outcome": X.auth_outcome("message"),
         "username": X.auth_username("message"),
         "source_port": X.auth_port(),
