@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logwarden.functions.decode import decode_once
@@ -14,36 +13,32 @@ from logwarden.plans.rules import Rule, java_pattern
 from logwarden.schema import severity_name, sql_text
 
 
-def _hit(rule: Rule, rule_no: int, forms: list[Column]) -> Column:
-    """First hit in form-major, pattern-minor order as a struct, NULL where nothing matches.
+def _hit(rule: Rule, rule_no: int, forms: list[str]) -> str:
+    """SQL: first hit in form-major, pattern-minor order as a struct, NULL where nothing matches.
 
     One regex of all patterns tells per form whether anything matches, so a clean row costs
     one search per form that differs from the last. Only a row that hits walks the patterns
     in order.
     """
-    regexes = [java_pattern(p, rule.case_sensitive) for p in rule.patterns]
+    regexes = [sql_text(java_pattern(p, rule.case_sensitive)) for p in rule.patterns]
     if any(re.search(r"\\[1-9]|\\k<", p) for p in rule.patterns):
-        matches = lambda form: reduce(lambda a, b: a | b, [form.rlike(r) for r in regexes])
+        matches = lambda form: "(" + " OR ".join(f"{form} rlike {r}" for r in regexes) + ")"
     else:
         together = java_pattern("|".join(f"(?:{p})" for p in rule.patterns), rule.case_sensitive)
-        matches = lambda form: form.rlike(together)
-
-    def first_in(form: Column) -> Column:
-        found = None
-        for text, regex in zip(rule.patterns, regexes):
-            hit = F.struct(
-                F.lit(rule_no).alias("rule"),
-                F.lit(text).alias("pattern"),
-                F.regexp_extract(form, regex, 0).alias("snippet"),
-                forms[0].alias("value"),
-            )
-            found = F.when(form.rlike(regex), hit) if found is None else found.when(form.rlike(regex), hit)
-        return found
-
-    ordered = F.when(matches(forms[0]), first_in(forms[0]))
+        matches = lambda form: f"{form} rlike {sql_text(together)}"
+
+    def first_in(form: str) -> str:
+        branches = [
+            f"WHEN {form} rlike {regex} THEN named_struct('rule', {rule_no}, 'pattern', {sql_text(pattern)}, "
+            f"'snippet', regexp_extract({form}, {regex}, 0), 'value', {forms[0]})"
+            for pattern, regex in zip(rule.patterns, regexes)
+        ]
+        return f"CASE {' '.join(branches)} END"
+
+    ordered = [f"WHEN {matches(forms[0])} THEN {first_in(forms[0])}"]
     for before, form in zip(forms, forms[1:]):
-        ordered = ordered.when((form != before) & matches(form), first_in(form))
-    return F.when(F.length(forms[0]) > 0, ordered)
+        ordered.append(f"WHEN {form} <> {before} AND {matches(form)} THEN {first_in(form)}")
+    return f"CASE WHEN length({forms[0]}) > 0 THEN CASE {' '.join(ordered)} END END"
 
 
 def signature_hits(entries: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -63,11 +58,10 @@ def signature_hits(entries: DataFrame, rules: list[Rule]) -> DataFrame:
         more = [decode_once(F.col(forms[n][depth - 1])).alias(forms[n][depth]) for n in names if depth <= passes[n]]
         staged = staged.select("*", *more)
     hits = [
-        _hit(rule, rule_no, [F.col(c) for c in forms[rule.target][: rule.max_decode_passes + 1]])
+        _hit(rule, rule_no, forms[rule.target][: rule.max_decode_passes + 1])
         for rule_no, rule in enumerate(rules)
     ]
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return staged.select(*wanted, F.inline(found))
+    return staged.selectExpr(*wanted, f"inline(filter(array({', '.join(hits)}), h -> h IS NOT NULL))")
 
 
 def signature_findings(entries: DataFrame, rules: list[Rule], *, hits: DataFrame | None = None) -> DataFrame:
