@@ -31,6 +31,8 @@ from logwarden.plans.rules import Rule
 from logwarden.session import materialise
 
 CHUNK_BITS = 20
+# A place is about a hundred bytes.
+MAX_BROADCAST_PLACES = 1_000_000
 
 KEY = ["rule", "ip"]
 CHUNK = [*KEY, "chunk"]
@@ -268,31 +270,36 @@ def threshold_findings(
         f"sort_array(collect_list(CASE WHEN hot_before + rank <= {room} THEN struct(edge, pos) END)) AS listed",
     ]
     found = stages.hot_events().groupBy(*KEY, "burst").agg(*[F.expr(a) for a in aggregates])
-    lines = found.selectExpr(
-        *KEY,
-        "emit_pos",
-        "struct(front, last, count, sources) AS burst",
-        f"posexplode_outer(slice(listed.pos, 1, {room})) AS (nth, pos)",
-    )
-    one_line = "CASE WHEN pos IS NOT NULL THEN struct(nth, source, line_no, raw) END"
-    joined = (
-        lines.join(entries.select("pos", "source", "line_no", "raw"), "pos", "left")
-        .groupBy(*KEY, "emit_pos")
-        .agg(F.first("burst").alias("burst"), F.expr(f"array_sort(collect_list({one_line})) AS shown"))
-        .selectExpr(
+    listed = materialise(
+        found.selectExpr(
             *KEY,
             "emit_pos",
-            "shown",
-            "burst.count",
-            "burst.sources",
-            "timestamp_micros(burst.front) AS first_seen",
-            "timestamp_micros(burst.last) AS last_seen",
-        )
+            "count",
+            "sources",
+            "timestamp_micros(front) AS first_seen",
+            "timestamp_micros(last) AS last_seen",
+            f"posexplode_outer(slice(listed.pos, 1, {room})) AS (nth, pos)",
+        ),
+        "listed",
+    )
+    # Written first, so that the number of places is known before the entries are read: up to
+    # a limit they go to the entries, beyond it both sides meet by position.
+    places = listed.where("pos IS NOT NULL").select(*KEY, "emit_pos", "nth", "pos")
+    if places.count() <= MAX_BROADCAST_PLACES:
+        places = F.broadcast(places)
+    shown = (
+        entries.select("pos", "source", "line_no", "raw")
+        .join(places, "pos")
+        .groupBy(*KEY, "emit_pos")
+        .agg(F.expr("array_sort(collect_list(struct(nth, source, line_no, raw))) AS shown"))
     )
+    joined = listed.where("coalesce(nth, 0) = 0").drop("nth", "pos").join(shown, [*KEY, "emit_pos"], "left")
+    one_line = "struct(e.source AS source, e.line_no AS line_no, e.raw AS raw)"
+    no_lines = "cast(array() AS ARRAY<STRUCT<source: STRING, line_no: BIGINT, raw: STRING>>)"
     return with_rule_text(
         joined,
         stages.rules,
-        evidence="transform(shown, e -> struct(e.source AS source, e.line_no AS line_no, e.raw AS raw))",
+        evidence=f"coalesce(transform(shown, e -> {one_line}), {no_lines})",
         matches="cast(array() AS ARRAY<STRUCT<pattern: STRING, snippet: STRING, value: STRING>>)",
         metadata=[
             {

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logwarden.functions import patterns as P
+from logwarden.functions.fields import is_blank
 from logwarden.operators.entries import parse_lines
 from logwarden.schema import SNIFF_LINES, RuleError
 from logwarden.sources.lines import drop_blank_lines
@@ -28,12 +29,17 @@ def edge_lines(lines: DataFrame) -> DataFrame:
 
 
 def _head(lines: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """The first non-blank lines of each source; the limit also applies before the shuffle."""
-    near = drop_blank_lines((lines if edges is None else edges).where(F.col("line_no") <= EDGE_LINES))
-    enough = near.groupBy("source").agg(F.count("*").alias("n")).where(F.col("n") >= SNIFF_LINES)
-    far = drop_blank_lines(lines.where(F.col("line_no") > EDGE_LINES)).join(enough, "source", "left_anti")
+    """The first non-blank lines of each source; the limit also applies before the shuffle.
+
+    Only sources with too few such lines near their start are read on. Where there is none,
+    the small side of that join is empty and Spark leaves the scan out.
+    """
+    near = (lines if edges is None else edges).where(F.col("line_no") <= EDGE_LINES)
+    counted = near.groupBy("source").agg(F.expr(f"count_if(NOT {is_blank('value')})").alias("n"), F.count("*").alias("all"))
+    short = counted.where((F.col("n") < SNIFF_LINES) & (F.col("all") == EDGE_LINES)).select("source")
+    far = lines.where(F.col("line_no") > EDGE_LINES).join(short, "source")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("line_no"))
-    both = near.select(*LINE_COLUMNS).unionByName(far.select(*LINE_COLUMNS))
+    both = drop_blank_lines(near.select(*LINE_COLUMNS).unionByName(far.select(*LINE_COLUMNS)))
     return both.withColumn("rank", rank).where(F.col("rank") <= SNIFF_LINES).drop("rank")
 
 
