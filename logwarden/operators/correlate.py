@@ -12,7 +12,8 @@ CLUSTER = ["source_ip", "cluster"]
 
 def iso_utc(ts: Column) -> Column:
     """ISO text in UTC, with a fraction only where there is one."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    whole = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
     fraction = F.when(micros > 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise("")
     return F.concat(whole, fraction, F.lit("+00:00"))

@@ -48,9 +48,9 @@ def read_report_table(spark: SparkSession, output_dir: str, table: str, name: st
 
 def reports_in(names: DataFrame) -> DataFrame:
     """``run_id, generated_at`` of the names that are run ids, newest first."""
-    stamp = F.regexp_extract("run_id", RUN_ID_PATTERN, 1)
+    stamp = F.concat(F.regexp_extract("run_id", RUN_ID_PATTERN, 1), F.lit(" +0000"))
     return (
-        names.select("run_id", F.try_to_timestamp(stamp, F.lit("yyyy_MM_dd_HH_mm_ss")).alias("generated_at"))
+        names.select("run_id", F.try_to_timestamp(stamp, F.lit("yyyy_MM_dd_HH_mm_ss Z")).alias("generated_at"))
         .where(F.col("generated_at").isNotNull())
         .orderBy(F.desc("generated_at"))
     )
