@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from logwarden.functions.decode import decode_once
 from logwarden.functions.presets import TARGETS
 from logwarden.plans.rules import Rule, java_pattern
-from logwarden.schema import severity_name, sql_text
+from logwarden.schema import CHUNK_BITS, severity_name, sql_text
+
+# Up to this limit Spark prunes ``row_number`` ranks before the shuffle, by its default setting.
+GROUP_LIMIT = 1000
 
 
 def _hit(rule: Rule, rule_no: int, forms: list[str]) -> str:
@@ -64,12 +67,31 @@ def signature_hits(entries: DataFrame, rules: list[Rule]) -> DataFrame:
     return staged.selectExpr(*wanted, f"inline(filter(array({', '.join(hits)}), h -> h IS NOT NULL))")
 
 
+def first_hits(hits: DataFrame, keep: int, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+    """The first ``keep`` hits of each (rule, ip) with their ``rank``.
+
+    Up to ``GROUP_LIMIT``, Spark applies such a limit before the shuffle too. Beyond it the
+    rank is the hits of earlier chunks plus the rank in the chunk, and only the chunks that
+    can hold one of the first hits take part.
+    """
+    if keep <= GROUP_LIMIT:
+        ranked = hits.selectExpr("*", "row_number() OVER (PARTITION BY rule, ip ORDER BY pos) AS rank")
+        return ranked.where(f"rank <= {keep}")
+    chunk = ["rule", "ip", "chunk"]
+    chunked = hits.selectExpr("*", f"shiftright(pos, {chunk_bits}) AS chunk")
+    before = "PARTITION BY rule, ip ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    counted = chunked.groupBy(*chunk).agg(F.count("*").alias("n"))
+    early = counted.selectExpr(*chunk, f"coalesce(sum(n) OVER ({before}), 0L) AS before").where(f"before < {keep}")
+    here = "row_number() OVER (PARTITION BY rule, ip, chunk ORDER BY pos)"
+    ranked = chunked.join(early, chunk).selectExpr("*", f"before + {here} AS rank")
+    return ranked.where(f"rank <= {keep}").drop("chunk", "before")
+
+
 def signature_findings(entries: DataFrame, rules: list[Rule], *, hits: DataFrame | None = None) -> DataFrame:
     """One finding per (rule, source IP) with at least ``min_hits`` hits over the whole run.
 
-    Totals are hash aggregates with a map-side half. The first hits per group come from a
-    ``row_number`` limit, which Spark also applies before the shuffle, so a group that holds
-    a large share of all hits sends only a few rows per map task.
+    Totals are hash aggregates with a map-side half, and of the hits themselves only the first
+    of each group move, so a group may hold a large share of them.
     """
     rules = [r for r in rules if r.type == "signature" and r.patterns]
     hits = (signature_hits(entries, rules) if hits is None else hits).withColumn(
@@ -82,14 +104,13 @@ def signature_findings(entries: DataFrame, rules: list[Rule], *, hits: DataFrame
         F.collect_set("source").alias("sources"),
     )
     keep = max([max(r.max_evidence, r.min_hits, 1) for r in rules], default=1)
-    ranked = hits.selectExpr("*", "row_number() OVER (PARTITION BY rule, ip ORDER BY pos) AS rank")
     shown = (
         f"CASE WHEN rank <= {per_rule([r.max_evidence for r in rules])} THEN "
         "struct(rank, struct(source, line_no, raw) AS evidence, struct(pattern, snippet, value) AS match) END"
     )
     fires_at = f"CASE WHEN rank = {per_rule([max(r.min_hits, 1) for r in rules])} THEN pos END"
     detail = (
-        ranked.where(f"rank <= {keep}")
+        first_hits(hits, keep)
         .groupBy("rule", "ip")
         .agg(F.expr(f"array_sort(collect_list({shown})) AS shown"), F.expr(f"max({fires_at}) AS emit_pos"))
     )

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from logwarden.functions.presets import DISTINCTS, MATCHES
 from logwarden.operators.signature import per_rule, with_rule_text
 from logwarden.plans.rules import Rule
+from logwarden.schema import CHUNK_BITS
 from logwarden.session import materialise
 
-CHUNK_BITS = 20
 # A place is about a hundred bytes.
 MAX_BROADCAST_PLACES = 1_000_000
 

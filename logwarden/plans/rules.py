@@ -356,7 +356,7 @@ def rule_violations(rules: DataFrame) -> DataFrame:
         [(t, p, need) for t, ps in PARAMETERS.items() for p, need in ps.items()],
         "type STRING, param STRING, required BOOLEAN",
     )
-    given = fixed.select("id", "type", F.explode(F.map_keys(params)).alias("param")).distinct()
+    given = fixed.select("pos", "id", "type", F.explode(F.map_keys(params)).alias("param"))
     value = lambda name: F.get_json_object("params", f"$.{name}")
     number = lambda name: value(name).try_cast("double")
     threshold = fixed.where("type = 'threshold'")
@@ -371,12 +371,12 @@ def rule_violations(rules: DataFrame) -> DataFrame:
             "id", say("unknown rule type '", F.coalesce("type", F.lit("")), "'")
         ),
         active.where(named.isNotNull() & ~named.isin(*levels)).select("id", say("unknown severity '", named, "'")),
-        given.join(F.broadcast(known), ["type", "param"], "left_anti").select(
+        given.drop("pos").distinct().join(F.broadcast(known), ["type", "param"], "left_anti").select(
             "id", say("unknown parameter '", F.col("param"), "'")
         ),
-        fixed.select("id", "type")
+        fixed.select("pos", "id", "type")
         .join(F.broadcast(known.where("required")), "type")
-        .join(given, ["id", "type", "param"], "left_anti")
+        .join(given.select("pos", "param"), ["pos", "param"], "left_anti")
         .select("id", say("missing parameter '", F.col("param"), "'")),
         threshold.where(value("threshold").isNotNull() & ~F.coalesce(number("threshold") >= 1, F.lit(False))).select(
             "id", F.lit("threshold must be >= 1")

@@ -43,6 +43,8 @@ FINDINGS = (
 # Arrival order of a line: source position in the run, then line number.
 # 40 bits of line number leave 23 bits (8 million) of sources.
 POS_LINE_BITS = 40
+# Lines of one source that are ordered together in one task: 2 ** CHUNK_BITS.
+CHUNK_BITS = 20
 
 
 class RuleError(ValueError):

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.operators.signature import per_rule, signature_hits
-from logwarden.operators.threshold import CHUNK_BITS, GROUP, Stages, matched_events
+from logwarden.operators.signature import first_hits, per_rule, signature_hits
+from logwarden.operators.threshold import GROUP, Stages, matched_events
 from logwarden.plans.rules import Rule
-from logwarden.schema import POS_LINE_BITS, severity_name
+from logwarden.schema import CHUNK_BITS, POS_LINE_BITS, severity_name
 
 HIT_COUNTS = "rule INT, ip STRING, hits BIGINT"
 WINDOWS = "pos BIGINT, t BIGINT, source STRING, ip STRING, rule INT, item STRING"
@@ -42,10 +42,7 @@ def stream_signatures(entries: DataFrame, rules: list[Rule], counts: DataFrame)
     rules = [r for r in rules if r.type == "signature" and r.patterns]
     hits = signature_hits(entries, rules).selectExpr("rule", "coalesce(source_ip, '') AS ip", "ts", "source", "pos")
     needed = [max(r.min_hits, 1) for r in rules]
-    first = hits.selectExpr("*", "row_number() OVER (PARTITION BY rule, ip ORDER BY pos) AS rank").where(
-        f"rank <= {max(needed, default=1)}"
-    )
-    reached = first.join(counts, ["rule", "ip"], "left").selectExpr("*", "coalesce(hits, 0L) + rank AS count")
+    reached = first_hits(hits, max(needed, default=1)).join(counts, ["rule", "ip"], "left").selectExpr("*", "coalesce(hits, 0L) + rank AS count")
     alerts = _alert(reached.where(f"count = {per_rule(needed)}"), rules)
     more = hits.groupBy("rule", "ip").agg(F.count("*").alias("hits"))
     totals = counts.unionByName(more).groupBy("rule", "ip").agg(F.sum("hits").alias("hits"))

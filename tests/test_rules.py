@@ -47,6 +47,16 @@ def test_aggregate_per_ip_with_null_as_a_group(spark):
     assert {len(r.evidence) for r in none} == {0} and len(none) == 3
 
 
+def test_first_hits_beyond_the_group_limit(spark, monkeypatch):
+    from logwarden.operators import signature as S
+
+    rows = [(r, ip, p) for p in range(400) for r, ip in [(0, "a"), (1, "b")] if (p * 7 + r) % 3]
+    hits = spark.createDataFrame(rows, "rule INT, ip STRING, pos BIGINT").repartition(5)
+    few = {tuple(r) for r in S.first_hits(hits, 60).collect()}
+    monkeypatch.setattr(S, "GROUP_LIMIT", 10)
+    assert {tuple(r) for r in S.first_hits(hits, 60, chunk_bits=3).collect()} == few and len(few) == 120
+
+
 def test_last_spec_of_an_id_wins_at_the_first_place(spark):
     specs = [
         {"id": "a", "type": "signature", "params": {"patterns": ["1"]}},
