@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -645,7 +646,8 @@ def _big_transfer(entries: DataFrame, rule: R.Rule) -> DataFrame:
 
 
 def _broken(entries: DataFrame, rule: R.Rule) -> DataFrame:
-    return entries.selectExpr("raise_error(concat('bad rule ', source)) AS rule_id")
+    found = _big_transfer(entries, replace(rule, extra={"limit": 0}))
+    return found.withColumn("rule_id", F.expr("cast(raise_error(concat('bad rule for ', title)) AS STRING)"))
 
 
 BIG = {"id": "big_transfer", "type": "big_transfer", "params": {"limit": 5000, "title": "Big Transfer"}}
