@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logwarden.llm.common import fold, keyed_text, map_batches, ship, table
+from logwarden.llm.common import fold, keyed_text, map_batches, rewrite_batches, ship, table
 from logwarden.llm.text import text_of
 
 DIMENSIONS = 1024
@@ -158,6 +158,21 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     return map_batches(keyed_text(docs, id_col, text_col), predict, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """Rows, with all columns, whose language can be told: not ``und`` and not ambiguous. A model without languages rejects only texts without a letter."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = text_of(batch.column(batch.schema.get_field_index(text_col)))
+        if not shared.value.languages:
+            return batch.filter(pa.array([has_letter(t) for t in texts]))
+        names, _, unsure = shared.value.predict(texts)
+        return batch.filter(pa.array([n != UNDETERMINED and not u for n, u in zip(names, unsure.tolist())]))
+
+    return rewrite_batches(docs, keep)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: the language of every whole text of ``documents``, learned from two thirds of the ids."""
     docs = table(spark, sf_dir, "documents")

@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logwarden.llm.common import ship, table
 from logwarden.session import materialise
@@ -28,7 +29,6 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
 CHUNK = 2048
-LANDING_FLIPS = 8
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -109,10 +109,10 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     aim = (p * size).sum()
     p = p.copy()
     p[open_] = best[1]
-    for _ in range(LANDING_FLIPS):
+    while len(p):
         off = (p * size).sum() - aim
         flipped = np.abs(off + np.where(p > 0, -size, size))
-        if not len(p) or flipped.min() >= abs(off):
+        if flipped.min() > abs(off) - 0.5:
             break
         p[flipped.argmin()] = 1 - p[flipped.argmin()]
     return p
@@ -169,6 +169,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return picked.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
+def repeat_taken(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Rows of ``docs`` with all their columns, each as often as the mix takes it.
+
+    The slim table of copies is hashed for each partition, and the texts stream past it. Only where an id occurs more than once
+    are the rows of an id numbered, so that each finds its own decision.
+    """
+    taken = mixed.select("doc_id", "size", "copies")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), word_count(text_col).alias("size"))
+    names = [F.col("row")[c].alias(c) for c in docs.columns]
+    if taken.groupBy("doc_id").count().where("count > 1").isEmpty():
+        copies = taken.select(F.col("doc_id").alias("taken_id"), "copies").where("copies > 0")
+        joined = rows.join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    else:
+        number = lambda order: F.row_number().over(Window.partitionBy("doc_id", "size").orderBy(order))
+        copies = taken.withColumn("number", number("copies")).select(F.col("doc_id").alias("taken_id"), F.col("size").alias("taken_size"), F.col("number").alias("taken_number"), "copies")
+        rows = rows.withColumn("number", number(F.hash("row")))
+        joined = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("size") == F.col("taken_size")) & (F.col("number") == F.col("taken_number")))
+    return joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*names)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: the mix of all ``documents`` by source weights."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
