@@ -36,7 +36,7 @@ from logwarden.llm.text import hash_words, mix, utf8
 from logwarden.session import materialise, scratch_path
 
 #: Words that a task counts together.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_500_000
 #: A word of at least this share of the sampled words is frequent.
 FREQUENT = 0.002
 SAMPLE = 1000
@@ -106,13 +106,13 @@ def _added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 PACKET = "kind int, shard int, a binary, b binary, c binary, d binary"
 
 
-def _packets(tokens: np.ndarray, firsts: np.ndarray, frequent: np.ndarray, shards: int) -> Iterator[tuple]:
+def _packets(tokens: np.ndarray, firsts: np.ndarray, frequent: np.ndarray, shards: int, word_shards: int) -> Iterator[tuple]:
     """Words (kind 0: hashes, counts) and pairs (kind 1: first words, their number of followers, followers, counts), by shard."""
     words, counts = np.unique(tokens, return_counts=True)
-    own = word_shard(words, shards)
+    own = word_shard(words, word_shards)
     order = np.argsort(own, kind="stable")
-    cuts = np.searchsorted(own[order], np.arange(shards + 1))
-    for s in range(shards):
+    cuts = np.searchsorted(own[order], np.arange(word_shards + 1))
+    for s in range(word_shards):
         part = order[cuts[s] : cuts[s + 1]]
         if len(part):
             yield 0, s, words[part].tobytes(), b"", b"", _small(counts[part])
@@ -173,7 +173,8 @@ class Totals:
     """All that scoring needs besides the files."""
 
     folder: str
-    shards: int
+    shards: int  # of pairs
+    word_shards: int
     frequent: np.ndarray
     words: int  # different tokens
     tokens: int
@@ -229,9 +230,9 @@ class Model:
         """Rows of ``WORD_STATS`` numbers for distinct sorted words."""
         out = np.zeros((len(words), WORD_STATS), np.int64)
         if self.t.pairs:
-            own = word_shard(words, self.t.shards)
+            own = word_shard(words, self.t.word_shards)
             order = np.argsort(own, kind="stable")
-            cuts = np.searchsorted(own[order], np.arange(self.t.shards + 1))
+            cuts = np.searchsorted(own[order], np.arange(self.t.word_shards + 1))
             for s in np.flatnonzero(np.diff(cuts)):
                 part = order[cuts[s] : cuts[s + 1]]
                 keys, stats = self._shard("word", s)
@@ -304,6 +305,7 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     ship(spark)
     shards = max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    word_shards = max(8, shards // 16)  # each shard of pairs sends sums to each shard of words
     folder = scratch_path(spark, "lm")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
     rows = docs.where(usable).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -327,7 +329,7 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
             starts = np.cumsum([0, *[len(x[0]) for x in waiting]])
             firsts = np.concatenate([x[1][:-1] + s for x, s in zip(waiting, starts)] + [[starts[-1]]])
             waiting.clear()
-            return _frame(list(_packets(tokens, firsts, frequent, shards)))
+            return _frame(list(_packets(tokens, firsts, frequent, shards, word_shards)))
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -364,7 +366,7 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
             np.stack([counts, kinds == 1, kinds == 2, kinds == 3, np.zeros_like(counts)], 1),
             np.stack([np.zeros_like(counts)] * 4 + [np.ones_like(counts)], 1),
         ]))
-        own = word_shard(words, shards)
+        own = word_shard(words, word_shards)
         out = [(1, int(s), words[own == s].tobytes(), np.ascontiguousarray(sums[own == s].T.astype("<i8")).tobytes(), b"", b"") for s in np.unique(own)]
         out.append((2, -1, np.array([len(counts), *[(counts == i).sum() for i in (1, 2, 3, 4)]], "<i8").tobytes(), b"", b"", b""))
         return pd.DataFrame(out, columns=columns)
@@ -401,17 +403,17 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
     lower = discounts(seen)
     left = (lower[0] * seen[0] + lower[1] * seen[1] + lower[2] * more) / n[0] if n[0] else 1.0
     if n[0]:  # a shard without a pair or a word has empty files
-        _fill(folder, shards)
-    return Totals(folder, shards, frequent, words, tokens, n[0], discounts(n[1:]), lower, left)
+        _fill(folder, shards, word_shards)
+    return Totals(folder, shards, word_shards, frequent, words, tokens, n[0], discounts(n[1:]), lower, left)
 
 
-def _fill(folder: str, shards: int) -> None:
+def _fill(folder: str, shards: int, word_shards: int) -> None:
     system, path = fs.FileSystem.from_uri(folder)
     there = {f.base_name for f in system.get_file_info(fs.FileSelector(path))}
-    for s in range(shards):
-        for name in [f"pair-{s}.{k}" for k in ("keys", "counts", "largekeys", "large")] + [f"word-{s}.{k}" for k in ("keys", "stats")]:
-            if name not in there:
-                system.open_output_stream(f"{path}/{name}").close()
+    names = [f"pair-{s}.{k}" for s in range(shards) for k in ("keys", "counts", "largekeys", "large")] + [f"word-{s}.{k}" for s in range(word_shards) for k in ("keys", "stats")]
+    for name in names:
+        if name not in there:
+            system.open_output_stream(f"{path}/{name}").close()
 
 
 _models: dict[str, Model] = {}

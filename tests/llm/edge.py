@@ -32,7 +32,7 @@ def rows(seed: int = 1, n: int = 60) -> list[tuple]:
         french = i % 4 == 3
         text = prose(rng, rng.randint(1, 120), FRENCH if french else WORDS)
         made.append((i, text, "fr" if french else "en", f"s{i % 5}"))
-    base = made[1][1] * 3
+    base = prose(rng, 90)
     made += [
         (n, None, "en", "s0"),
         (n + 1, "", "fr", None),
@@ -42,7 +42,7 @@ def rows(seed: int = 1, n: int = 60) -> list[tuple]:
         (n + 5, base, "en", "s2"),  # exact copy
         (n + 6, base + " ending", "en", "s2"),  # near copy
         (n + 7, "\x00  odd  spaces \x1c\x1f é́ \U0001f600 ΑΣ <|endoftext|> end", "en", "s3"),
-        (n + 8, "mail a.b+c@mail.example.org or 10.0.0.256 1.2.3.4 +1 (017) 555-7713 4111 1111 1111 1111", "en", "s3"),
+        (n + 8, "mail a.b+c@mail.example.org or 10.0.0.256 and 1.2.3.4 call +1 (017) 555-7713 pay 4111 1111 1111 1111", "en", "s3"),
         (None, "a row without an id", "en", "s4"),
         (n + 9, "\n\n \t\n", "en", "s4"),
         (n + 9, "\n\n \t\n", "en", "s4"),  # the same row again

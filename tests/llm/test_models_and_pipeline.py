@@ -234,7 +234,8 @@ def test_mix(spark):
         assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s]) and 0 <= r["taken"] <= 2 * r["size"]
         taken[s] += r["taken"]
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= 0.02 * want[s] + 20
+        # the very long document is most of s1: no choice of whole documents comes nearer
+        assert abs(taken[s] - want[s]) <= (0.05 if s == "s1" else 0.002) * want[s] + 20
     assert sorted(map(repr, got)) == sorted(map(repr, mix(docs.repartition(7)).collect()))
     mixed = mix(docs)
     repeated = repeat_taken(docs, mixed)

@@ -98,6 +98,7 @@ def test_classes_of_hard_rows(spark):
     assert [r["component_id"] for r in missing] == [None] and missing[0]["n_shingles"] == 1
     by_id = {r["doc_id"]: r["component_id"] for r in got}
     assert by_id[64] == by_id[65] == by_id[66] == 64 and by_id[69] == 69
+    assert {i: c for i, c in by_id.items() if i is not None} == plain_classes(sorted({(r[0], r[1]) for r in rows() if r[0] is not None}, key=lambda r: r[0]))
     assert near_duplicates(empty_docs(spark)).count() == 0
 
 
