@@ -59,7 +59,7 @@ web AS (
   SELECT 'web' AS kind, source, source_idx, line_no, raw, fits,
     CASE WHEN fits THEN epoch(try_strptime(g.stamp, '%d/%b/%Y:%H:%M:%S %z'))::BIGINT END AS ts,
     nullif(g.ip, '-') AS source_ip, string_split_regex(trim(g.request), '\\s+') AS tokens,
-    try_cast(g.status AS INTEGER) AS status, coalesce(try_cast(g.size AS BIGINT), 0) AS size,
+    try_cast(g.status AS BIGINT) AS status, coalesce(try_cast(g.size AS BIGINT), 0) AS size,
     nullif(g.identity, '-') AS identity, nullif(g.usr, '-') AS user_name,
     CASE WHEN pair THEN g.referrer END AS referrer, CASE WHEN pair THEN g.agent END AS user_agent
   FROM web_groups
@@ -73,12 +73,12 @@ auth AS (
   SELECT 'auth' AS kind, source, source_idx, line_no, raw, fits,
     CASE WHEN fits THEN epoch(try_strptime('2024 ' || g.mon || ' ' || g.day || ' ' || g.clock,
       '%Y %b %d %H:%M:%S'))::BIGINT END AS ts,
-    g.host AS hostname, g.process AS process, try_cast(g.pid AS INTEGER) AS pid, g.message AS message,
+    g.host AS hostname, g.process AS process, try_cast(g.pid AS BIGINT) AS pid, g.message AS message,
     CASE WHEN regexp_matches(g.message, {text(FROM_RE)}) THEN regexp_extract(g.message, {text(FROM_RE)}, 1)
          ELSE nullif(regexp_extract(g.message, {text(ANY_RE)}, 1), '') END AS source_ip,
     try_cast(CASE WHEN regexp_matches(g.message, {text(FROM_RE)}) THEN regexp_extract(g.message, {text(FROM_RE)}, 2)
          WHEN regexp_matches(g.message, {text(ANY_RE)}) THEN regexp_extract(g.message, '\\bport\\s+(\\d+)', 1)
-         END AS INTEGER) AS source_port,
+         END AS BIGINT) AS source_port,
     regexp_matches(g.message, {text(FAILED_RE)}, 'i') AS failed,
     regexp_matches(g.message, {text(INVALID_RE)}, 'i') AS invalid,
     regexp_matches(g.message, {text(ACCEPTED_RE)}, 'i') AS accepted,

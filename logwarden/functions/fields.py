@@ -102,10 +102,17 @@ def auth_ip() -> str:
     return "coalesce(nullif(from_ip, ''), nullif(any_ip, ''))"
 
 
+_PORT = "CASE WHEN from_ip <> '' THEN from_port WHEN any_ip <> '' THEN any_port END"
+
+
 def auth_port() -> str:
     """Port of the ``from`` clause if there is one, else any port if there is any address."""
-    port = "CASE WHEN from_ip <> '' THEN from_port WHEN any_ip <> '' THEN any_port END"
-    return f"try_cast(nullif({port}, '') AS INT)"
+    return f"try_cast(nullif({_PORT}, '') AS BIGINT)"
+
+
+def port_beyond() -> str:
+    """Whether there is a port that no long integer holds."""
+    return f"(nullif({_PORT}, '') IS NOT NULL AND {auth_port()} IS NULL)"
 
 
 def auth_outcome(message: str) -> str:

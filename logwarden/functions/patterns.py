@@ -49,9 +49,14 @@ ACCEPTED = rf"(?iudU)Accepted {NOT_WS}+ for ({NOT_WS}+){WS}+from"
 # Reasons and prefixes of parse errors.
 NOT_WEB = "does not match Combined log format"
 NOT_AUTH = "does not match BSD syslog format"
+TOO_LARGE = "number too large"
 BAD_STAMP = "bad timestamp"
 
 
+#: A code point that Unicode sets aside as no character; a line that holds it all the same does not parse.
+SEPARATOR = "\uffff"
+
+
 def group_list(count: int) -> str:
-    """Replacement text that lists all groups, one per line (a log line holds no newline)."""
-    return r"\n".join(f"${i}" for i in range(1, count + 1))
+    """Replacement text that lists all groups, with a separator that is no character of any text between them."""
+    return SEPARATOR.join(f"${i}" for i in range(1, count + 1))

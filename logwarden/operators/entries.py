@@ -36,7 +36,8 @@ def _anchor(reference_time: datetime | None, default_year: int | None) -> tuple[
 
 def _matched(pattern: str, groups: int) -> str:
     """All groups of a matching line from a single regex pass; one element if it does not match."""
-    return f"split(regexp_replace(raw, {X.regex(pattern)}, '{P.group_list(groups)}'), r'\n', -1)"
+    listed = f"split(regexp_replace(raw, {X.regex(pattern)}, '{P.group_list(groups)}'), '{P.SEPARATOR}', -1)"
+    return f"if(contains(raw, '{P.SEPARATOR}'), array(raw), {listed})"
 
 
 def parse_lines(
@@ -89,15 +90,18 @@ def parse_lines(
     )
     web = lambda expr: f"if(web, {expr}, NULL)"
     auth = lambda expr: f"if(auth, {expr}, NULL)"
+    # A number beyond a long integer is an error of its line; none becomes 0 or NULL unseen.
+    beyond = lambda i, none: f"(get(g, {i}) <> '{none}' AND try_cast(get(g, {i}) AS BIGINT) IS NULL)"
+    too_large = f"coalesce(if(web, {beyond(11, '-')} OR {beyond(12, '-')}, {beyond(7, '')} OR {X.port_beyond()}), false)"
     pair = lambda i: f"if(web AND get(g, 13) <> '', get(g, {i}), NULL)"
     columns = {
-        "kind": "CASE WHEN g IS NULL THEN 'blank' WHEN ts IS NULL THEN 'error' ELSE format END",
+        "kind": f"CASE WHEN g IS NULL THEN 'blank' WHEN ts IS NULL OR {too_large} THEN 'error' ELSE format END",
         "source_ip": f"if(web, {X.dash_to_null('get(g, 0)')}, {X.auth_ip()})",
         "method": X.request_method("tokens"),
         "path": X.target_path("target"),
         "query": X.target_query("target"),
         "protocol": X.request_protocol("tokens"),
-        "status": web("try_cast(nullif(get(g, 11), '-') AS INT)"),
+        "status": web("try_cast(nullif(get(g, 11), '-') AS BIGINT)"),
         "size": web("coalesce(try_cast(nullif(get(g, 12), '-') AS BIGINT), 0L)"),
         "identity": web(X.dash_to_null("get(g, 1)")),
         "user": web(X.dash_to_null("get(g, 2)")),
@@ -105,12 +109,12 @@ def parse_lines(
         "user_agent": pair(15),
         "hostname": auth("get(g, 5)"),
         "process": auth("get(g, 6)"),
-        "pid": auth("try_cast(nullif(get(g, 7), '') AS INT)"),
+        "pid": auth("try_cast(nullif(get(g, 7), '') AS BIGINT)"),
         "outcome": X.auth_outcome("message"),
         "username": X.auth_username("message"),
         "source_port": X.auth_port(),
         "reason": (
-            "CASE WHEN g IS NULL OR ts IS NOT NULL THEN NULL "
+            f"CASE WHEN g IS NULL OR ts IS NOT NULL AND NOT {too_large} THEN NULL WHEN ts IS NOT NULL THEN '{P.TOO_LARGE}' "
             f"WHEN size(g) > 1 THEN '{P.BAD_STAMP}' WHEN format = 'web' THEN '{P.NOT_WEB}' ELSE '{P.NOT_AUTH}' END"
         ),
     }

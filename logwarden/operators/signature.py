@@ -12,6 +12,9 @@ from logwarden.functions.presets import TARGETS
 from logwarden.plans.rules import Rule, java_pattern
 from logwarden.schema import CHUNK_BITS, severity_name, sql_text
 
+# What changes its meaning inside a joined pattern: references and names of groups, quotes, flags and comments.
+NOT_JOINED = re.compile(r"\\[1-9]|\\k<|\\Q|\(\?<[A-Za-z]|\(\?[a-zA-Z-]+[:)]|#")
+
 # Up to this limit Spark prunes ``row_number`` ranks before the shuffle, by its default setting.
 GROUP_LIMIT = 1000
 
@@ -24,7 +27,7 @@ def _hit(rule: Rule, rule_no: int, forms: list[str]) -> str:
     in order.
     """
     regexes = [sql_text(java_pattern(p, rule.case_sensitive)) for p in rule.patterns]
-    if any(re.search(r"\\[1-9]|\\k<", p) for p in rule.patterns):
+    if any(NOT_JOINED.search(p) for p in rule.patterns):
         matches = lambda form: "(" + " OR ".join(f"{form} rlike {r}" for r in regexes) + ")"
     else:
         together = java_pattern("|".join(f"(?:{p})" for p in rule.patterns), rule.case_sensitive)
@@ -131,6 +134,8 @@ def per_rule(values: list[int | bool | str | None]) -> str:
     elif all(isinstance(v, int) for v in values):
         wide = "L" if max(map(abs, values), default=0) >= 2**31 else ""
         literals = [f"{v}{wide}" for v in values]
+    elif all(isinstance(v, (int, float)) for v in values):
+        literals = [f"{float(v)!r}D" for v in values]
     else:
         literals = [sql_text(v) for v in values]
     return f"get(array({', '.join(literals)}), rule)"

@@ -10,6 +10,7 @@ from datetime import datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logwarden.operators.correlate import incident_findings, incidents
 from logwarden.operators.entries import entries_of, parse_errors, parse_lines
@@ -33,7 +34,7 @@ from logwarden.sources.catalogue import (
     require_sources,
     skipped_sources,
 )
-from logwarden.sources.lines import read_log_lines, source_files, unreadable_sources
+from logwarden.sources.lines import MAX_BROADCAST_BLOCKS, read_log_lines, source_files, unreadable_sources
 
 logger = logging.getLogger("logwarden")
 
@@ -139,10 +140,12 @@ def analyze(
     specs: Iterable[dict[str, Any]] = SHIPPED_RULES,
     *,
     reference_time: datetime | None = None,
+    default_year: int | None = None,
     now: datetime | None = None,
     **options: Any,  # noqa: ANN401 (passed on)
 ) -> Analysis:
     """Run over text files: detect formats, anchor the years, parse, detect, correlate."""
+    started = time.monotonic()
     rules = build_rules(specs, spark)
     files = materialise(source_files(spark, paths), "files")
     lines = read_log_lines(spark, paths, files, with_total=True)
@@ -153,10 +156,13 @@ def analyze(
     if anchor.fell_back_to_now:
         logger.warning("resolving syslog years against the current time: no web logs and no reference time")
     formats = known_sources(catalogue).select("source", "format")
-    parsed = parse_lines(lines.join(formats, "source"), reference_time=anchor.moment)
-    result = analyze_parsed(
-        materialise(parsed, "parsed", ["kind"]), rules, source_errors=unreadable_sources(spark, paths), **options
-    )
+    if files.count() <= MAX_BROADCAST_BLOCKS:
+        formats = F.broadcast(formats)  # the text itself does not move
+    parsed = parse_lines(lines.join(formats, "source"), reference_time=anchor.moment, default_year=default_year)
+    counted = edges.select("source", "total_lines").distinct()
+    unread = unreadable_sources(spark, paths, counted)
+    result = analyze_parsed(materialise(parsed, "parsed", ["kind"]), rules, source_errors=unread, **options)
+    result.duration_seconds = time.monotonic() - started
     result.skipped = skipped_sources(catalogue)
     result.anchored_to_now = anchor.fell_back_to_now
     return result

@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from logwarden.functions.fields import is_blank
 from logwarden.schema import LINES, PARSE_ERRORS
+from logwarden.session import materialise
+from logwarden.sources.files import Listing, escaped, list_sources
 
-# A row of the block table is a few hundred bytes; beyond this many the join shuffles instead.
-MAX_BROADCAST_BLOCKS = 2_000_000
+# Rows of the block table (about 200 bytes each) up to which every executor gets all of them.
+MAX_BROADCAST_BLOCKS = 200_000
 
 
 def source_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -20,49 +21,50 @@ def source_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
     ``source, source_idx, path, length, modified_at``; ``source`` is the full path.
     """
-    listed = None
-    for place, path in enumerate(dict.fromkeys(paths)):
-        files = _listing(spark, path)
-        if files is not None:
-            files = files.select(F.lit(place).alias("place"), "path", "length", "modificationTime")
-            listed = files if listed is None else listed.unionAll(files)
-    if listed is None:
-        return spark.createDataFrame(
-            [], "source STRING, source_idx INT, path STRING, length BIGINT, modified_at TIMESTAMP"
-        )
-    once = listed.groupBy("path").agg(
-        F.min("place").alias("place"), F.max("length").alias("length"), F.max("modificationTime").alias("modified_at")
-    )
-    # One row per file: the only global order here, over the file list.
-    rank = F.row_number().over(Window.orderBy("place", "path"))
-    return once.select(
-        F.regexp_replace("path", "^file:(//)?(?=/)", "").alias("source"),
-        (rank - 1).alias("source_idx"),
-        "path",
-        "length",
-        "modified_at",
-    )
+    return list_sources(spark, paths).table(spark)
 
 
-def _listing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
-    except AnalysisException:
-        return None
+def unreadable_sources(spark: SparkSession, paths: Sequence[str], counted: DataFrame | None = None) -> DataFrame:
+    """One parse error with line number 0 for each path that leads to no file and each file that cannot be read.
+
+    ``counted`` (``source, total_lines``) saves the pass that counts the lines of all files.
+    """
+    listing = list_sources(spark, paths)
+    missing = spark.createDataFrame([(p, 0, p, why) for p, why in listing.missing], PARSE_ERRORS)
+    if not listing.files:
+        return missing
+    if counted is None:
+        counted = _blocks(spark, listing).groupBy("source").agg(F.sum("lines").alias("total_lines"))
+    silent = listing.table(spark).where("length > 0").join(counted.where("total_lines > 0"), "source", "left_anti")
+    unread = silent.select(
+        "source", F.lit(0).cast("bigint").alias("line_no"), F.col("source").alias("raw"),
+        F.concat(F.lit("OSError: no line could be read from "), F.col("source")).alias("reason"),
+    )
+    return missing.unionAll(unread)
+
+
+def _numbered(spark: SparkSession, listing: Listing) -> DataFrame:
+    """Every line with its file, block and a number that rises by one inside a block.
+
+    Files are named literally, folders are read to their depth, and a file that breaks off leaves the others alone.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
+    found = reader.text([escaped(r) for r in listing.roots])
+    # The scan writes a path as a URI, the listing as it is; a local one has one slash or three after the scheme.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return found.select(
+        "value",
+        F.regexp_replace(path, "^file:/+", "/").alias("source"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+    )
 
 
-def unreadable_sources(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """One parse error with line number 0 for each path that leads to no file."""
-    known = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "given STRING")
-    found = [p for p in dict.fromkeys(paths) if _listing(spark, p) is not None]
-    readable = spark.createDataFrame([(p,) for p in found], "given STRING")
-    missing = known.join(readable, "given", "left_anti")
-    return missing.select(
-        F.col("given").alias("source"),
-        F.lit(0).cast("bigint").alias("line_no"),
-        F.col("given").alias("raw"),
-        F.concat(F.lit("FileNotFoundError: "), F.col("given")).alias("reason"),
-    ).to(spark.createDataFrame([], PARSE_ERRORS).schema)
+def _blocks(spark: SparkSession, listing: Listing) -> DataFrame:
+    """One row per block of a file: its first number and its lines; written once, as several steps read it."""
+    _pin_splits(spark)
+    blocks = _numbered(spark, listing).groupBy("source", "block").agg(F.min("id").alias("first_id"), F.count("*").alias("lines"))
+    return materialise(blocks, "blocks")
 
 
 def read_log_lines(
@@ -73,44 +75,35 @@ def read_log_lines(
     Spark reads a file in blocks, and ``monotonically_increasing_id`` rises by one per line
     inside a block. So a line's number is its id less the first id of its block plus the lines
     of the file's earlier blocks; the first pass reads the blocks to count their lines, and
-    only one row per block moves. ``with_total`` adds ``total_lines`` of the source.
+    only one row per block moves. ``with_total`` adds ``total_lines`` of the source and ``pos``, the
+    place of the line among all lines of the run.
     """
-    files = source_files(spark, paths) if files is None else files
-    found = [p for p in dict.fromkeys(paths) if _listing(spark, p) is not None]
-    if not found:
-        return spark.createDataFrame([], LINES + (", total_lines BIGINT" if with_total else ""))
-    _pin_splits(spark)
-    if sum(_listing(spark, p).count() for p in found) > files.count():
-        # Paths that overlap would be read twice; name each file once instead.
-        found = [r.path for r in files.select("path").toLocalIterator()]
-    numbered = spark.read.text(found).select(
-        "value",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"),
-    )
-    blocks = numbered.groupBy("path", "block").agg(F.min("id").alias("first_id"), F.count("*").alias("lines"))
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    listing = list_sources(spark, paths)
+    files = listing.table(spark) if files is None else files
+    if not listing.files:
+        return spark.createDataFrame([], LINES + (", total_lines BIGINT, pos BIGINT" if with_total else ""))
+    blocks = _blocks(spark, listing)
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = blocks.select(
-        "path",
+        "source",
         "block",
         (F.coalesce(F.sum("lines").over(earlier), F.lit(0)) - F.col("first_id") + 1).alias("shift"),
-        F.sum("lines").over(Window.partitionBy("path")).alias("total_lines"),
     )
-    # The listing writes a local path with one slash after the scheme, the scan with three.
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    catalogue = files.select(plain(F.col("path")).alias("plain"), "source", "source_idx")
-    table = placed.withColumn("plain", plain(F.col("path"))).join(catalogue, "plain").drop("plain")
-    if _block_bound(spark, files) <= MAX_BROADCAST_BLOCKS:
+    totals = blocks.groupBy("source").agg(F.sum("lines").alias("total_lines")).join(files.select("source", "source_idx"), "source")
+    # One row per file: the only global order here, over the file list.
+    above = Window.orderBy("source_idx").rowsBetween(Window.unboundedPreceding, -1)
+    table = placed.join(totals.withColumn("lines_above", F.coalesce(F.sum("total_lines").over(above), F.lit(0))), "source")
+    if blocks.count() <= MAX_BROADCAST_BLOCKS:
         table = F.broadcast(table)
-    lines = numbered.join(table, ["path", "block"]).select(
+    lines = _numbered(spark, listing).join(table, ["source", "block"]).select(
         "source",
         "source_idx",
         (F.col("id") + F.col("shift")).alias("line_no"),
         F.make_valid_utf8("value").alias("value"),
         "total_lines",
+        (F.col("id") + F.col("shift") + F.col("lines_above")).alias("pos"),
     )
-    return lines if with_total else lines.drop("total_lines")
+    return lines if with_total else lines.drop("total_lines", "pos")
 
 
 def _pin_splits(spark: SparkSession) -> None:
@@ -119,15 +112,6 @@ def _pin_splits(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
 
 
-def _block_bound(spark: SparkSession, files: DataFrame) -> int:
-    """Most blocks the files are split into, from their sizes."""
-    conf = spark._jsparkSession.sessionState().conf()
-    most, open_cost = conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes()
-    size, number = files.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
-    share = (size + number * open_cost) // int(spark.conf.get("spark.sql.files.minPartitionNum"))
-    return size // max(min(most, max(open_cost, share)), 1) + number
-
-
 def drop_blank_lines(lines: DataFrame) -> DataFrame:
     """Lines with more than white space; they keep their numbers."""
     return lines.where(f"NOT {is_blank('value')}")

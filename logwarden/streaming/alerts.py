@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from logwarden.operators.signature import first_hits, per_rule, signature_hits
 from logwarden.operators.threshold import GROUP, Stages, matched_events
 from logwarden.plans.rules import Rule
-from logwarden.schema import CHUNK_BITS, POS_LINE_BITS, severity_name
+from logwarden.schema import CHUNK_BITS, severity_name
 
 HIT_COUNTS = "rule INT, ip STRING, hits BIGINT"
 WINDOWS = "pos BIGINT, t BIGINT, source STRING, ip STRING, rule INT, item STRING"
@@ -50,18 +50,18 @@ def stream_signatures(entries: DataFrame, rules: list[Rule], counts: DataFrame)
 
 
 def stream_thresholds(
-    entries: DataFrame, rules: list[Rule], windows: DataFrame, batch_id: int, *, chunk_bits: int = CHUNK_BITS
+    entries: DataFrame, rules: list[Rule], windows: DataFrame, base: int, *, chunk_bits: int = CHUNK_BITS
 ) -> tuple[DataFrame, DataFrame]:
     """One alert per burst, at the event that crosses the threshold; and the new windows.
 
     ``windows`` holds the events that were still in the window of their (rule, IP) after the
     batch before. They bring back the edge, the counts and whether a burst was open; alerts
-    come from this batch's events alone.
+    come from this batch's events alone, those placed after ``base``.
     """
     rules = [r for r in rules if r.type == "threshold"]
     fresh = matched_events(entries, rules)
     stages = Stages(windows.select(fresh.columns).unionByName(fresh), rules, "arrival", chunk_bits)
-    opened = stages.hot_events().where(f"opens AND rank = 1 AND pos >= {batch_id << POS_LINE_BITS}L")
+    opened = stages.hot_events().where(f"opens AND rank = 1 AND pos > {base}L")
     alerts = _alert(opened.selectExpr("*", "timestamp_micros(t) AS ts").drop("count").selectExpr(
         "*", "base + so_far AS count"), rules)
     window_us = per_rule([r.window_us for r in rules])

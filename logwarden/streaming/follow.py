@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.schema import POS_LINE_BITS
-
 CHUNKS = "source STRING, chunk STRING, text STRING"
-TAILS = "source STRING, lines BIGINT, tail STRING"
+# ``last`` is the newest chunk of the source so far; one that comes after it must have a later name.
+TAILS = "source STRING, lines BIGINT, tail STRING, last STRING"
 
 LINE_END = r"\r\n|\r|\n"
+# Lines of a chunk that comes too late would be glued to the wrong ones, so the run stops instead.
+LATE_CHUNK = "cast(raise_error(concat('chunk ', chunk, ' of ', source, ' came after ', last)) AS BOOLEAN)"
 
 
 def follow_chunks(spark: SparkSession, landing: str, *, max_files: int = 1000) -> DataFrame:
@@ -33,7 +34,8 @@ def assemble_partial_lines(chunks: DataFrame, tails: DataFrame) -> tuple[DataFra
 
     ``tails`` holds, per source, the lines so far and the unfinished last one. Pieces between
     two line ends inside one chunk pass straight through; only the first and last piece of a
-    chunk meet others, by (source, line number). The order of chunks is settled on one small
+    chunk meet others, by (source, line number). A chunk whose name is not after those of earlier
+    batches raises an error. The order of chunks is settled on one small
     row per chunk, so a busy source is not pulled into one task.
     """
     waiting = tails.where("tail <> ''").selectExpr("source", "'' AS chunk", "tail AS text")
@@ -50,11 +52,12 @@ def assemble_partial_lines(chunks: DataFrame, tails: DataFrame) -> tuple[DataFra
         .selectExpr("*", f"lead(lf) OVER ({order}) AS next_lf")
         .selectExpr("*", "cr AND coalesce(NOT next_lf, false) AS ends", "cr AND next_lf IS NULL AS open")
         .selectExpr("*", "n - 1 + cast(ends AS INT) AS line_ends")
-        .join(tails.selectExpr("source", "lines AS seen"), "source", "left")
+        .join(tails.selectExpr("source", "lines AS seen", "last"), "source", "left")
         .selectExpr(
             "source",
             "chunk",
-            "ends",
+            "greatest(max(chunk) OVER (PARTITION BY source), last) AS newest",
+            f"if(chunk <> '' AND chunk <= last, {LATE_CHUNK}, ends) AS ends",
             "open",
             "coalesce(seen, 0L) + coalesce(sum(line_ends) OVER "
             f"({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS before",
@@ -85,16 +88,17 @@ def assemble_partial_lines(chunks: DataFrame, tails: DataFrame) -> tuple[DataFra
     )
     done = pieces.where("inner").select("source", "line_no", "value")
     done = done.unionByName(joined.where("line_no <= total").select("source", "line_no", "value"))
-    left = joined.where("line_no > total").selectExpr("source", "total AS lines", "value AS tail")
+    newest = facts.groupBy("source").agg(F.max("newest").alias("last"))
+    left = joined.where("line_no > total").selectExpr("source", "total AS lines", "value AS tail").join(newest, "source")
     idle = tails.join(left.select("source"), "source", "left_anti")
-    return done, left.unionByName(idle.select("source", "lines", "tail"))
+    return done, left.unionByName(idle.select("source", "lines", "tail", "last"))
 
 
-def arrival_order(lines: DataFrame, sources: DataFrame, batch_id: int) -> DataFrame:
+def arrival_order(lines: DataFrame, sources: DataFrame, base: int) -> DataFrame:
     """Lines of one batch with ``source_idx``, ``format`` and ``pos``.
 
-    ``pos`` is the batch number and the place in the batch: sources in their order, each
-    source's lines in theirs. Only one row per source is ordered globally.
+    ``pos`` counts on from ``base``, the last place of the batches before: sources in their order,
+    each source's lines in theirs. Only one row per source is ordered globally.
     """
     span = F.max("line_no") - F.min("line_no") + 1
     counted = lines.groupBy("source").agg(F.min("line_no").alias("first_no"), span.alias("n"))
@@ -106,5 +110,5 @@ def arrival_order(lines: DataFrame, sources: DataFrame, batch_id: int) -> DataFr
         "- first_no + 1 AS shift",
     )
     return lines.join(offsets, "source").selectExpr(
-        "source", "source_idx", "line_no", "value", "format", f"{batch_id << POS_LINE_BITS}L + line_no + shift AS pos"
+        "source", "source_idx", "line_no", "value", "format", f"{base}L + line_no + shift AS pos"
     )

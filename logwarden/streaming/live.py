@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,6 +18,10 @@ from logwarden.streaming.alerts import ALERTS, HIT_COUNTS, WINDOWS, stream_signa
 from logwarden.streaming.follow import TAILS, arrival_order, assemble_partial_lines, follow_chunks
 
 
+# The place of the newest line so far: places count lines, whatever the number of batches.
+PLACES = "last BIGINT"
+
+
 class LiveRun:
     """Tables of a live run below ``run_dir``, which every executor must reach.
 
@@ -71,9 +76,13 @@ class LiveRun:
 
     def on_lines(self, lines: DataFrame, batch_id: int) -> None:
         """Entries and alerts of one batch of complete lines."""
-        placed = arrival_order(lines, self.sources, batch_id)
+        base = self._left_by("places", PLACES, batch_id).agg(F.max("last")).first()[0] or 0
+        placed = arrival_order(lines, self.sources, base)
         parsed = parse_lines(placed, reference_time=self.reference_time, default_year=self.default_year)
-        entries = entries_of(self._write(parsed, "parsed", batch_id))
+        parsed = self._write(parsed, "parsed", batch_id)
+        entries = entries_of(parsed)
+        places = parsed.agg(F.max("pos").alias("last")).select(F.coalesce("last", F.lit(base)).alias("last"))
+        self._write(places, "places", batch_id)
         alerts = []
         if any(r.type == "signature" for r in self.rules):
             found, counts = stream_signatures(entries, self.rules, self._left_by("hits", HIT_COUNTS, batch_id))
@@ -81,14 +90,14 @@ class LiveRun:
             alerts.append(found)
         if any(r.type == "threshold" for r in self.rules):
             found, windows = stream_thresholds(
-                entries, self.rules, self._left_by("windows", WINDOWS, batch_id), batch_id
+                entries, self.rules, self._left_by("windows", WINDOWS, batch_id), base
             )
             self._write(windows, "windows", batch_id)
             alerts.append(found)
         if alerts:
             both = alerts[0] if len(alerts) == 1 else alerts[0].unionByName(alerts[1])
             self._write(both.withColumn("seen_at", F.current_timestamp()), "alerts", batch_id)
-        for table in ("hits", "windows"):
+        for table in ("hits", "windows", "places"):
             self._forget(table, batch_id)
 
     def start(self, chunks: DataFrame, **trigger: Any) -> StreamingQuery:  # noqa: ANN401 (passed on)
@@ -113,7 +122,10 @@ class LiveRun:
     def live_alerts(self) -> DataFrame:
         """Alerts with the event's own time and the time they were seen."""
         schema = ALERTS + ", seen_at TIMESTAMP"
-        return self.spark.read.schema(schema).parquet(f"{self.run_dir}/alerts/batch=*")
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.run_dir}/alerts/batch=*")
+        except AnalysisException:  # no batch has written yet, or no rule alerts
+            return self.spark.createDataFrame([], schema)
 
     def finalize(self, **options: Any) -> Analysis:  # noqa: ANN401 (passed on)
         """The report a run over the same lines gives; incidents exist only here."""

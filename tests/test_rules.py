@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from logwarden.operators.correlate import cluster_findings, incident_findings, incidents, span_text
 from logwarden.operators.signature import signature_findings, signature_hits
 from logwarden.plans import rules as R
+from logwarden.plans.analyze import analyze_lines
 from logwarden.schema import FINDING_COLUMNS, RuleError
 
 ENTRY = (
@@ -75,8 +76,8 @@ def test_last_spec_of_an_id_wins_at_the_first_place(spark):
 @pytest.mark.parametrize(
     "spec,words",
     [
-        ({"type": "signature", "params": {"patterns": []}}, "missing required 'id'"),
-        ({"id": "x", "type": "bogus"}, "unknown rule type 'bogus'"),
+        ({"type": "signature", "params": {"patterns": []}}, "has no id"),
+        ({"id": "x", "type": "bogus"}, "no such type as 'bogus'"),
         ({"id": "x", "type": "signature", "severity": "bad", "params": {"patterns": []}}, "unknown severity"),
         ({"id": "x", "type": "signature", "params": {}}, "missing parameter 'patterns'"),
         ({"id": "x", "type": "signature", "params": {"patterns": ["("]}}, "bad pattern"),
@@ -159,3 +160,23 @@ def test_span_text_matches_timedelta(spark):
     values = [0, 1, 59_000_000, 214_000_000, 86_400_000_000, 90_061_500_000, 200_000_000_000, -60_000_000, -90_000_000_000]
     frame = spark.createDataFrame([(v,) for v in values], "v BIGINT")
     assert [r[0] for r in frame.select(span_text(F.col("v"))).collect()] == [str(timedelta(microseconds=v)) for v in values]
+
+
+def test_patterns_that_cannot_be_joined_and_numbers_with_parts(spark):
+    stamp = "10/Mar/2024:00:00:0{}"
+    hits = [("w", 0, i, f'1.1.1.1 - - [{stamp.format(i)} +0000] "GET /login?x=foo%20passwd HTTP/1.1" 401 5', "web") for i in range(1, 8)]
+    hits += [("w", 0, 8, "junk\nmore", "web"), ("w", 0, 9, hits[0][3][:-1] + "9" * 20, "web")]
+    lines = spark.createDataFrame(hits, "source STRING, source_idx INT, line_no BIGINT, value STRING, format STRING")
+    specs = [
+        {"id": "named", "type": "signature", "params": {"patterns": ["(?<x>foo)", "(?<x>bar)", "(?x)passwd # c", "\\Qpasswd"]}},
+        {"id": "half", "type": "threshold", "params": {"match": "web_login_failure", "threshold": 4.5, "window_seconds": 60}},
+    ]
+    rules = R.build_rules(specs, spark)
+    assert rules[1].threshold == 4.5
+    run = analyze_lines(lines, specs)
+    assert {(r.rule_id, r["count"]) for r in run.findings.collect()} == {("named", 7), ("half", 7)}
+    assert {(r.line_no, r.reason) for r in run.parse_errors.collect()} == {(8, "does not match Combined log format"), (9, "number too large")}
+    for bad in ({"threshold": "5"}, {"threshold": True}, {"max_evidence": 1.5}):
+        params = {"match": "web_login_failure", "threshold": 5, "window_seconds": 60} | bad
+        with pytest.raises(RuleError):
+            R.build_rules([{"id": "x", "type": "threshold", "params": params}], spark)

@@ -172,3 +172,29 @@ def test_a_failing_rule_costs_only_itself(spark, tmp_path):
         {"id": "s", "type": "signature", "params": {"patterns": [r"\.env$"]}},
     ]
     assert [r.rule_id for r in analyze(spark, [web], specs).findings.collect()] == ["s"]
+
+
+def test_no_file_is_lost_by_its_name_or_place(spark, tmp_path):
+    names = ["with space.log", "per%20cent.log", "plus+.log", "a[1].log", "b{x}.log", "nest/host1/auth.log", "part=1/x.log", "plain.log"]
+    for n in names:
+        write(tmp_path / "in" / n, [n, "second"])
+    write(tmp_path / "in" / "_SUCCESS", ["no source"])
+    folder = str(tmp_path / "in")
+    want = sorted((f"{folder}/{n}", i, v) for n in names for i, v in ((1, n), (2, "second")))
+    for given in ([folder], [f"{folder}/{n}" for n in names], [f"{folder}/plain.log", folder, f"{folder}/*"]):
+        lines = read_log_lines(spark, given, with_total=True).collect()
+        assert sorted((r.source, r.line_no, r.value) for r in lines) == want
+        assert sorted(r.pos for r in lines) == list(range(1, len(want) + 1))
+        assert unreadable_sources(spark, given).count() == 0
+    hidden, broken = write(tmp_path / "_auth.log", ["x"]), tmp_path / "bad.gz"
+    broken.write_bytes(b"\x1f\x8b no archive at all")
+    errors = unreadable_sources(spark, [hidden, str(broken), f"{folder}/none*", folder]).collect()
+    assert {(r.source, r.line_no) for r in errors} == {(hidden, 0), (str(broken), 0), (f"{folder}/none*", 0)}
+    good = read_log_lines(spark, [str(broken), f"{folder}/plain.log"]).collect()
+    assert sorted(r.value for r in good) == ["plain.log", "second"]
+
+
+def test_a_thousand_names_are_one_reader(spark, tmp_path):
+    paths = [write(tmp_path / f"{i}.log", [hit("1.1.1.1", i % 60)]) for i in range(200)]
+    assert len(source_files(spark, paths).collect()) == 200
+    assert read_log_lines(spark, paths).count() == 200

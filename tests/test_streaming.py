@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from logwarden.operators.entries import entries_of, parse_lines
@@ -98,3 +99,20 @@ def test_stream_finds_what_a_run_over_the_same_lines_finds(spark, tmp_path):
     sig = [(r.source_ip, r.emit_pos) for r in report.findings.collect() if r.rule_id == "sig"]
     assert sorted(sig) == sorted((r.source_ip, r.pos) for r in alerts if r.rule_id == "sig") and sig
     assert all(r["count"] == 3 for r in alerts if r.rule_id == "sig")
+
+
+def test_a_chunk_that_comes_too_late_stops_the_run(spark):
+    schema = "source STRING, chunk STRING, text STRING"
+    _, tails = assemble_partial_lines(spark.createDataFrame([("s", "001", "a\nb")], schema), spark.createDataFrame([], TAILS))
+    assert [tuple(r) for r in tails.collect()] == [("s", 1, "b", "001")]
+    tails = spark.createDataFrame(tails.collect(), TAILS)
+    done, left = assemble_partial_lines(spark.createDataFrame([("s", "002", "c\n")], schema), tails)
+    assert [(r.line_no, r.value) for r in done.collect()] == [(2, "bc")] and left.first()["last"] == "002"
+    late, _ = assemble_partial_lines(spark.createDataFrame([("s", "000", "x\n")], schema), tails)
+    with pytest.raises(Exception, match="came after"):
+        late.collect()
+
+
+def test_alerts_before_the_first_batch(spark, tmp_path):
+    sources = spark.createDataFrame([], "source STRING, source_idx INT, format STRING")
+    assert LiveRun(spark, str(tmp_path / "run"), sources).live_alerts().count() == 0
