@@ -92,8 +92,8 @@ entries AS (
          WHEN len(tokens) >= 2 THEN tokens[2] END AS target,
     CASE WHEN len(tokens) >= 3 THEN tokens[len(tokens)] END AS protocol,
     status, size, identity, user_name, referrer, user_agent,
-    NULL::VARCHAR AS hostname, NULL::VARCHAR AS process, NULL::INTEGER AS pid, NULL::VARCHAR AS message,
-    NULL::INTEGER AS source_port, NULL::VARCHAR AS outcome, NULL::VARCHAR AS username
+    NULL::VARCHAR AS hostname, NULL::VARCHAR AS process, NULL::BIGINT AS pid, NULL::VARCHAR AS message,
+    NULL::BIGINT AS source_port, NULL::VARCHAR AS outcome, NULL::VARCHAR AS username
   FROM web WHERE ts IS NOT NULL
   UNION ALL
   SELECT kind, source, source_idx, line_no, source_idx::BIGINT * 1099511627776 + line_no, raw, {auth_ts}, source_ip,

@@ -11,6 +11,7 @@ from logwarden.functions.decode import decode_once
 from logwarden.functions.presets import TARGETS
 from logwarden.plans.rules import Rule, java_pattern
 from logwarden.schema import CHUNK_BITS, severity_name, sql_text
+from logwarden.session import materialise
 
 # What changes its meaning inside a joined pattern: references and names of groups, quotes, flags and comments.
 NOT_JOINED = re.compile(r"\\[1-9]|\\k<|\\Q|\(\?<[A-Za-z]|\(\?[a-zA-Z-]+[:)]|#")
@@ -97,9 +98,9 @@ def signature_findings(entries: DataFrame, rules: list[Rule], *, hits: DataFrame
     of each group move, so a group may hold a large share of them.
     """
     rules = [r for r in rules if r.type == "signature" and r.patterns]
-    hits = (signature_hits(entries, rules) if hits is None else hits).withColumn(
-        "ip", F.coalesce(F.col("source_ip"), F.lit(""))
-    )
+    if hits is None:  # read twice below: every regex runs once
+        hits = materialise(signature_hits(entries, rules), "hits")
+    hits = hits.withColumn("ip", F.coalesce(F.col("source_ip"), F.lit("")))
     totals = hits.groupBy("rule", "ip").agg(
         F.count("*").alias("count"),
         F.min("ts").alias("first_seen"),
