@@ -20,15 +20,12 @@ WEB_COLUMNS = ENTRY_COLUMNS[1:19]
 AUTH_COLUMNS = ENTRY_COLUMNS[1:8] + ENTRY_COLUMNS[19:]
 
 
-def _as_utc(moment: datetime) -> datetime:
-    return moment if moment.tzinfo is not None else moment.replace(tzinfo=timezone.utc)
-
-
-def _anchor(reference_time: datetime | None, default_year: int | None) -> tuple[int, str]:
+def _anchor(reference_time: datetime | None, default_year: int | None, tz: timezone) -> tuple[int, str]:
     """(year to try first, latest allowed moment in microseconds); the year is read in the anchor's own offset."""
     if default_year is not None:
         return default_year, "cast(NULL AS BIGINT)"
-    moment = _as_utc(reference_time if reference_time is not None else datetime.now(timezone.utc))
+    moment = reference_time if reference_time is not None else datetime.now(tz)
+    moment = moment if moment.tzinfo is not None else moment.replace(tzinfo=tz)
     age = moment - datetime(1970, 1, 1, tzinfo=timezone.utc)
     micros = (age.days * 86_400 + age.seconds) * 1_000_000 + age.microseconds
     return moment.year, f"{micros}L"
@@ -45,14 +42,17 @@ def parse_lines(
     *,
     reference_time: datetime | None = None,
     default_year: int | None = None,
+    tz: timezone = timezone.utc,
 ) -> DataFrame:
     """Parse every line of ``lines`` (with its ``format``, ``web`` or ``auth``).
 
     Keeps all lines. ``pos`` is their arrival order: source position, then line number, unless
     the lines bring their own. ``kind`` is ``web`` or ``auth`` for an entry, ``error`` for a line that
-    does not parse (``reason`` says why) and ``blank`` for a blank one.
+    does not parse (``reason`` says why) and ``blank`` for a blank one. Syslog stamps, which name no
+    zone, are read in ``tz``.
     """
-    year, latest = _anchor(reference_time, default_year)
+    year, latest = _anchor(reference_time, default_year, tz)
+    east = int(tz.utcoffset(None).total_seconds())
     groups = (
         f"CASE WHEN {X.is_blank('raw')} THEN NULL "
         f"WHEN format = 'web' THEN {_matched(P.WEB_LINE, P.WEB_GROUPS)} ELSE {_matched(P.AUTH_LINE, P.AUTH_GROUPS)} END"
@@ -77,7 +77,7 @@ def parse_lines(
     moment = "(day_no * 86400L + day_second)"
     found = [
         f"timestamp_seconds(if(web, {moment} - {X.offset_seconds('utc_offset', 'offset_digits')}, "
-        f"if({moment} * 1000000L > {latest}, {X.year_before('day_no')} * 86400L + day_second, {moment}))) AS ts",
+        f"if(({moment} - {east}L) * 1000000L > {latest}, {X.year_before('day_no')} * 86400L + day_second, {moment}) - {east}L)) AS ts",
         f"{X.request_target('tokens')} AS target",
         "if(auth, get(g, 8), NULL) AS message",
         *X.auth_parts("if(auth, get(g, 8), NULL)"),
@@ -128,11 +128,15 @@ def parse_web_log(lines: DataFrame) -> DataFrame:
 
 
 def parse_auth_log(
-    lines: DataFrame, *, reference_time: datetime | None = None, default_year: int | None = None
+    lines: DataFrame,
+    *,
+    reference_time: datetime | None = None,
+    default_year: int | None = None,
+    tz: timezone = timezone.utc,
 ) -> DataFrame:
     """Entries of BSD syslog auth lines."""
     parsed = parse_lines(
-        lines.withColumn("format", F.lit("auth")), reference_time=reference_time, default_year=default_year
+        lines.withColumn("format", F.lit("auth")), reference_time=reference_time, default_year=default_year, tz=tz
     )
     return parsed.where("kind = 'auth'").select(*AUTH_COLUMNS)
 

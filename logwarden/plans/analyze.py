@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from logwarden.operators.correlate import incident_findings, incidents
 from logwarden.operators.entries import entries_of, parse_errors, parse_lines
 from logwarden.operators.report import all_findings, cap_evidence
-from logwarden.operators.signature import signature_findings, signature_hits
+from logwarden.operators.signature import signature_findings
 from logwarden.operators.stats import source_stats, total_stats
 from logwarden.operators.threshold import threshold_findings
 from logwarden.plans.rules import RULE_TYPES, SHIPPED_RULES, Rule, build_rules
@@ -75,15 +75,25 @@ def custom_findings(entries: DataFrame, rule: Rule) -> DataFrame | None:
         return None
 
 
+def guarded(rules: list[Rule], find: Callable[[list[Rule]], DataFrame]) -> list[DataFrame]:
+    """Findings of a group of rules, written at once; where the group fails, of each of its rules that does not fail alone."""
+    if not rules:
+        return []
+    try:
+        return [materialise(find(rules).select(*FINDING_COLUMNS), "found")]
+    except Exception as error:  # noqa: BLE001 (one faulty rule must not end the run)
+        if len(rules) == 1:
+            logger.warning("rule %s failed: %s", rules[0].id, error)
+            return []
+        return [found for rule in rules for found in guarded([rule], find)]
+
+
 def detect(entries: DataFrame, rules: list[Rule], *, order: str = "arrival") -> DataFrame:
     """Findings of all rules over ``entries``, which is read more than once."""
-    parts = []
     signatures = [r for r in rules if r.type == "signature" and r.patterns]
-    if signatures:
-        hits = materialise(signature_hits(entries, signatures), "hits")
-        parts.append(signature_findings(entries, signatures, hits=hits))
-    if any(r.type == "threshold" for r in rules):
-        parts.append(threshold_findings(entries, rules, order=order))
+    thresholds = [r for r in rules if r.type == "threshold"]
+    parts = guarded(signatures, lambda some: signature_findings(entries, some))
+    parts += guarded(thresholds, lambda some: threshold_findings(entries, some, order=order))
     for rule in rules:
         if rule.type in RULE_TYPES and (found := custom_findings(entries, rule)) is not None:
             parts.append(found)
@@ -126,11 +136,12 @@ def analyze_lines(
     *,
     reference_time: datetime | None = None,
     default_year: int | None = None,
+    tz: timezone = timezone.utc,
     **options: Any,  # noqa: ANN401 (passed on)
 ) -> Analysis:
     """Run over lines whose ``format`` is known."""
     rules = build_rules(specs, lines.sparkSession)
-    parsed = parse_lines(lines, reference_time=reference_time, default_year=default_year)
+    parsed = parse_lines(lines, reference_time=reference_time, default_year=default_year, tz=tz)
     return analyze_parsed(materialise(parsed, "parsed", ["kind"]), rules, **options)
 
 
@@ -141,6 +152,7 @@ def analyze(
     *,
     reference_time: datetime | None = None,
     default_year: int | None = None,
+    tz: timezone = timezone.utc,
     now: datetime | None = None,
     **options: Any,  # noqa: ANN401 (passed on)
 ) -> Analysis:
@@ -158,7 +170,7 @@ def analyze(
     formats = known_sources(catalogue).select("source", "format")
     if files.count() <= MAX_BROADCAST_BLOCKS:
         formats = F.broadcast(formats)  # the text itself does not move
-    parsed = parse_lines(lines.join(formats, "source"), reference_time=anchor.moment, default_year=default_year)
+    parsed = parse_lines(lines.join(formats, "source"), reference_time=anchor.moment, default_year=default_year, tz=tz)
     counted = edges.select("source", "total_lines").distinct()
     unread = unreadable_sources(spark, paths, counted)
     result = analyze_parsed(materialise(parsed, "parsed", ["kind"]), rules, source_errors=unread, **options)

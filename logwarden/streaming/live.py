@@ -39,6 +39,7 @@ class LiveRun:
         *,
         reference_time: datetime | None = None,
         default_year: int | None = None,
+        tz: timezone = timezone.utc,
     ) -> None:
         self.spark = spark
         self.run_dir = run_dir.rstrip("/")
@@ -47,6 +48,7 @@ class LiveRun:
         # Lines are read as they are written, so their years count back from the start of the run.
         self.reference_time = reference_time if reference_time is not None else datetime.now(timezone.utc)
         self.default_year = default_year
+        self.tz = tz
 
     def _path(self, table: str, batch_id: int) -> str:
         return f"{self.run_dir}/{table}/batch={batch_id}"
@@ -78,7 +80,7 @@ class LiveRun:
         """Entries and alerts of one batch of complete lines."""
         base = self._left_by("places", PLACES, batch_id).agg(F.max("last")).first()[0] or 0
         placed = arrival_order(lines, self.sources, base)
-        parsed = parse_lines(placed, reference_time=self.reference_time, default_year=self.default_year)
+        parsed = parse_lines(placed, reference_time=self.reference_time, default_year=self.default_year, tz=self.tz)
         parsed = self._write(parsed, "parsed", batch_id)
         entries = entries_of(parsed)
         places = parsed.agg(F.max("pos").alias("last")).select(F.coalesce("last", F.lit(base)).alias("last"))

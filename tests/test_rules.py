@@ -1,11 +1,14 @@
+from datetime import datetime, timedelta, timezone
+
 import pytest
 from pyspark.sql import functions as F
 
+from logwarden.operators.entries import parse_auth_log
 from logwarden.operators.correlate import cluster_findings, incident_findings, incidents, span_text
 from logwarden.operators.signature import signature_findings, signature_hits
 from logwarden.plans import rules as R
-from logwarden.plans.analyze import analyze_lines
-from logwarden.schema import FINDING_COLUMNS, RuleError
+from logwarden.plans.analyze import analyze_lines, guarded
+from logwarden.schema import FINDING_COLUMNS, FINDINGS, RuleError
 
 ENTRY = (
     "kind STRING, ts TIMESTAMP, source STRING, line_no BIGINT, pos BIGINT, raw STRING, source_ip STRING, "
@@ -180,3 +183,26 @@ def test_patterns_that_cannot_be_joined_and_numbers_with_parts(spark):
         params = {"match": "web_login_failure", "threshold": 5, "window_seconds": 60} | bad
         with pytest.raises(RuleError):
             R.build_rules([{"id": "x", "type": "threshold", "params": params}], spark)
+
+
+def test_zone_of_syslog_stamps(spark):
+    line = "Jan  1 00:30:00 h sshd[9]: Failed password for root from 1.1.1.1 port 22 ssh2"
+    lines = spark.createDataFrame([("a", 0, 1, line)], "source STRING, source_idx INT, line_no BIGINT, value STRING")
+    east = timezone(timedelta(hours=2))
+    at = lambda **o: parse_auth_log(lines, **o).select(F.unix_seconds("ts")).first()[0]
+    new_year = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    assert at(default_year=2024, tz=east) == new_year.timestamp() + 1800 - 7200
+    assert at(reference_time=new_year, tz=east) == new_year.timestamp() + 1800 - 7200
+    assert at(reference_time=new_year) == datetime(2023, 1, 1, 0, 30, tzinfo=timezone.utc).timestamp()
+
+
+def test_a_built_in_rule_that_fails_leaves_the_others(spark):
+    rules = R.build_rules([{"id": i, "type": "signature", "params": {"patterns": ["x"]}} for i in ("good", "bad", "fine")], spark)
+
+    def find(some):
+        frame = spark.createDataFrame([(r.id,) for r in some], "rule_id STRING")
+        faulty = "if(rule_id = 'bad', raise_error('no'), rule_id) AS rule_id"
+        return frame.selectExpr(faulty, *[f"NULL AS {c}" for c in FINDING_COLUMNS if c != "rule_id"]).to(spark.createDataFrame([], FINDINGS).schema)
+
+    assert {r.rule_id for part in guarded(rules, find) for r in part.collect()} == {"good", "fine"}
+    assert guarded([], find) == []
