@@ -6,16 +6,19 @@ share a shingle among the first n - ceil(t n) + 1 of each, their prefixes.
 
 1. Equal sets become one node; nodes with the same prefix and size become one group.
 2. Prefix shingles of groups travel in packets to their hash bucket. Groups that share a shingle are a list; equal lists count once.
-3. Verification of members, in two turns. The first checks neighbours in the lists under two orders, a few pairs for each node.
-   Its links make classes. The second checks every pair of a list whose nodes are in different classes and were not
-   checked yet and whose sizes allow the similarity. Pairs inside a class need no check: they cannot change the classes.
-4. Whole sets are made again, for nodes of lists only, to check pairs exactly by integer arithmetic.
-
-So no link between different texts is lost, and a group of many near copies costs a few checks for each copy. Driver: the levels of the sketch and a bitmap
+3. A group stays in a list only if, by the sizes in the list and the prefix shingles that it shares at all, a pair of it can be similar enough.
+   Members of the groups that are left are verified in blocks of about ``BLOCK`` nodes, every pair of a block by exact counts of common shingles, and a block gives one link for each node at
+   most. What lists connect is a cluster; a cluster of one
+   block is done, a larger one is cut into blocks by two hashes. What links do not join then is checked
+   list by list, or over the whole cluster where that moves fewer sets: each node outside the largest class meets every node in some block. Pairs inside a class need no check.
+4. Whole sets are made again, for nodes of lists only.
+
+So no link between different texts is lost, and a group of many near copies costs a few blocks, not all its pairs. Driver: the levels of the sketch and a bitmap
 of fixed size; everything else stays in tables.
 
 Cases: texts without a word are empty sets, linked with nothing; with fewer words than a shingle has, the whole sequence is one; a null id has n_shingles, no component,
-and links nothing; equal rows are copies of each other; rows with one id and other texts are each a document, with the class of their own text; an empty table gives no rows.
+and links nothing; equal rows are copies of each other; where rows of one id hold different texts, the text with the smallest set (then digest) stands for the id, and another has the
+class of an equal text elsewhere or is alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from logwarden.llm.common import map_batches, ship, table
 from logwarden.llm.text import hash_words, mix, utf8
@@ -38,14 +40,15 @@ from logwarden.session import materialise
 WORDS = 5
 #: Least similarity in hundredths.
 PERCENT = 80
-#: Slots of the sketch that orders shingles, as a power of two; one byte each reaches the tasks.
-SKETCH_BITS = 20
+#: Least and most slots of the sketch that orders shingles, as powers of two; one byte each reaches the tasks.
+SKETCH_BITS = (16, 24)
 _SKETCH_PARTS = 64
 #: Bits of the map of documents that need their sets again, as a power of two.
 MAP_BITS = 23
 #: Rows whose prefixes make one set of packets.
 PACKET_ROWS = 20_000
-NEIGHBOURS = 3
+#: Nodes that are checked together.
+BLOCK = 400
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -74,9 +77,10 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 def prefix(shingles: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The set's first shingles in the common order."""
     n = prefix_length(len(shingles), percent)
-    own = levels[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-    mixed = mix(shingles)
-    order = np.lexsort((mixed, own)) if len(shingles) else np.empty(0, np.int64)
+    bits = len(levels).bit_length() - 1
+    own = levels[(shingles >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
+    # one number to sort by: the level, then the hash without its last bits
+    order = np.argsort((own << np.uint64(56)) | (mix(shingles) >> np.uint64(8)), kind="stable")
     return shingles[order[:n]]
 
 
@@ -87,25 +91,33 @@ def _sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
 
 
 def slot_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Level of each slot: twice the binary logarithm of the documents' distinct shingles in it."""
+    """Level of each slot: four times the binary logarithm of the documents' distinct shingles in it.
+
+    There are 64 slots for each document, within the bounds of ``SKETCH_BITS``. A task's count of a slot stops at 255: levels
+    only order the shingles, and any order gives the same classes.
+    """
     ship(docs.sparkSession)
+    low, high = SKETCH_BITS
+    bits = min(max((64 * docs.count()).bit_length(), low), high)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for batch in _sliced(batches):
-            found = [s >> np.uint64(64 - SKETCH_BITS) for s in shingle_sets(batch.column(0), words)]
-            total += np.bincount(np.concatenate(found).astype(np.int64), minlength=len(total))
+            for s in shingle_sets(batch.column(0), words):
+                total[(s >> np.uint64(64 - bits)).astype(np.int64)] += 1  # twice in one slot counts once
         if total.any():
-            parts = total.reshape(_SKETCH_PARTS, -1).astype("<u4")
+            parts = np.minimum(total, 255).astype(np.uint8).reshape(_SKETCH_PARTS, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(_SKETCH_PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["part", "counts"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in rows["counts"])
-        return pd.DataFrame({"part": rows["part"].iloc[:1].to_numpy(), "levels": [(2 * np.log2(total + 1)).astype(np.uint8).tobytes()]})
+        total = np.zeros((1 << bits) // _SKETCH_PARTS, np.uint32)
+        for x in rows["counts"]:
+            total += np.frombuffer(zlib.decompress(x), np.uint8)
+        return pd.DataFrame({"part": rows["part"].iloc[:1].to_numpy(), "levels": [(4 * np.log2(total + 1)).astype(np.uint8).tobytes()]})
 
     counted = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, levels binary")
     got = {r["part"]: np.frombuffer(r["levels"], np.uint8) for r in counted.collect()}
-    empty = np.zeros((1 << SKETCH_BITS) // _SKETCH_PARTS, np.uint8)
+    empty = np.zeros((1 << bits) // _SKETCH_PARTS, np.uint8)
     return np.concatenate([got.get(p, empty) for p in range(_SKETCH_PARTS)])
 
 
@@ -129,41 +141,77 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, words: int, percent: int) ->
     return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, digest binary, prefix_key binary, prefix binary")
 
 
-def _lists(groups: DataFrame, percent: int) -> DataFrame:
-    """(list_id, gid): groups that share a prefix shingle with another group; equal lists once. ``groups``: gid, n, prefix."""
+def _lists(groups: DataFrame) -> DataFrame:
+    """(list_id, gid, tokens): groups that share a prefix shingle with another group; equal lists once, with the number of their shingles.
+
+    ``groups``: gid, n, prefix.
+    """
     buckets = max(32, 4 * int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def packets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches, PACKET_ROWS):
-            raw = batch.column(2).to_pylist()
+            ids = batch.column(0).to_numpy()
+            by_id = np.argsort(ids, kind="stable")
+            raw = batch.column(2).take(pa.array(by_id)).to_pylist()
             token = np.frombuffer(b"".join(raw), "<u8")
             times = np.array([len(x) // 8 for x in raw], np.int64)
-            gid = np.repeat(batch.column(0).to_numpy(), times)
+            gid = np.repeat(ids[by_id], times)
             own = (mix(token) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(own, kind="stable")
             cuts = np.searchsorted(own[order], np.arange(buckets + 1))
-            rows = [(b, token[order[lo:hi]].tobytes(), gid[order[lo:hi]].astype("<i8").tobytes()) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
+            # ids rise within a packet: their steps are small numbers, which the shuffle's compression makes short
+            rows = [(b, token[order[lo:hi]].tobytes(), np.diff(gid[order[lo:hi]], prepend=np.int64(0)).astype("<i8").tobytes()) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "tokens", "gids"])
 
     def share(rows: pd.DataFrame) -> pd.DataFrame:
         token = np.concatenate([np.frombuffer(x, "<u8") for x in rows["tokens"]])
-        gid = np.concatenate([np.frombuffer(x, "<i8") for x in rows["gids"]])
+        gid = np.concatenate([np.cumsum(np.frombuffer(x, "<i8")) for x in rows["gids"]])
         order = np.lexsort((gid, token))
         token, gid = token[order], gid[order]
         start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         stop = np.append(start[1:], len(token))
         found: dict[int, np.ndarray] = {}
+        tokens: dict[int, int] = {}
         for a, b in zip(start[stop - start > 1], stop[stop - start > 1]):
             key = int.from_bytes(hashlib.blake2b(gid[a:b].tobytes(), digest_size=8).digest(), "little", signed=True)
             found[key] = gid[a:b]
+            tokens[key] = tokens.get(key, 0) + 1
         if not found:
-            return pd.DataFrame({"list_id": np.empty(0, np.int64), "gid": np.empty(0, np.int64), "size": np.empty(0, np.int64)})
+            return pd.DataFrame({c: np.empty(0, np.int64) for c in ("list_id", "gid", "tokens")})
         sizes = [len(x) for x in found.values()]
-        return pd.DataFrame({"list_id": np.repeat(list(found), sizes), "gid": np.concatenate(list(found.values())), "size": np.repeat(sizes, sizes)})
+        return pd.DataFrame({"list_id": np.repeat(list(found), sizes), "gid": np.concatenate(list(found.values())), "tokens": np.repeat(list(tokens.values()), sizes)})
 
     dealt = groups.select("gid", "n", "prefix").mapInArrow(packets, "bucket int, tokens binary, gids binary")
-    return dealt.groupBy("bucket").applyInPandas(share, "list_id long, gid long, size long").distinct()
+    shared = dealt.groupBy("bucket").applyInPandas(share, "list_id long, gid long, tokens long")
+    return shared.groupBy("list_id", "gid").agg(F.sum("tokens").alias("tokens"))
+
+
+def _least_common(a: F.Column, b: F.Column, percent: int) -> F.Column:
+    """How many shingles the prefixes of sets of a and b shingles must share.
+
+    Behind the prefix that ends first in the common order its set has n - p shingles left, so the sets share at most that many more.
+    """
+    need = F.floor((percent * (a + b) + (99 + percent)) / (100 + percent))  # of the whole sets
+    left = lambda n: F.floor((percent * n + 99) / 100) - 1  # noqa: E731  n less the length of its prefix
+    return need - F.greatest(left(a), left(b))
+
+
+def _possible(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Group pairs are filtered: a group stays in a list only if some size among the list's lets it share enough prefix shingles."""
+    own = materialise(lists.join(sizes, "gid"), "shared")
+    total = own.groupBy("gid").agg(F.sum("tokens").alias("common"))
+    own = own.join(total, "gid")
+    of_list = own.groupBy("list_id").agg(F.count("*").alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("common").alias("least"))
+    own = own.join(of_list, "list_id")
+    n = F.col("n")
+    shortest, longest = F.floor((percent * n + 99) / 100), F.floor(100 * n / percent)  # of the sizes that can be similar enough
+    other = F.col("lo") + F.col("hi") - n
+    pair = other.between(shortest, longest) & (F.col("least") >= _least_common(n, other, percent))
+    # the further the sizes, the fewer shingles are needed: the ends of the range decide
+    several = F.col("common") >= F.least(_least_common(n, F.greatest("lo", shortest), percent), _least_common(n, F.least("hi", longest), percent))
+    kept = own.where(F.when(F.col("m") == 2, pair).otherwise(several)).select("list_id", "gid")
+    return kept.join(kept.groupBy("list_id").count().where("count > 1").select("list_id"), "list_id", "left_semi")
 
 
 def _id_map(ids: DataFrame) -> np.ndarray:
@@ -195,25 +243,65 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return made.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def block_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Every pair of a block is checked; returns for each class of the block links of its first node to the others."""
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(m), sizes)
+    shared, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = np.cumsum(times > 1) - 1
+    use = (times > 1)[place]
+    owner, column = owner[use], kept[place[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((m, m), np.int64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        start, stop = np.searchsorted(column, [lo, lo + 4096])
+        x = np.zeros((m, 4096), np.float32)  # counts below 4096 are exact
+        x[owner[start:stop], column[start:stop] - lo] = 1
+        common += (x @ x.T).astype(np.int64)
+    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    np.fill_diagonal(linked, True)
+    label = np.arange(m)
+    while True:
+        new = np.where(linked, label[None, :], m).min(1)
+        new = np.minimum(new[new], new)
+        if (new == label).all():
+            return [(int(nodes[i]), int(nodes[j])) for j, i in enumerate(label) if i != j]
+        label = new
+
+
+def _linked(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found in blocks (list_id, part, node) of at most a few hundred nodes each."""
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, own = None, [], []
+
+        def links() -> list[tuple[int, int]]:
+            place = np.unique(np.array(nodes, np.int64), return_index=True)[1] if nodes else []
+            return block_links(np.array(nodes, np.int64)[place], [own[i] for i in place], percent) if len(place) > 1 else []
+
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for list_id, part, node, shingles in zip(*[c.to_pylist() for c in batch.columns]):
+                if (list_id, part) != key:
+                    found += links()
+                    key, nodes, own = (list_id, part), [], []
+                nodes.append(node)
+                own.append(np.frombuffer(shingles, "<u8"))
+            if found:
+                yield _pairs(found)
+        if found := links():
+            yield _pairs(found)
+
+    rows = blocks.join(sets, "node").select("list_id", "part", "node", "shingles")
+    dealt = rows.repartition("list_id", "part").sortWithinPartitions("list_id", "part")
+    return dealt.mapInArrow(check, "a long, b long")
 
-    def check(batch: pa.RecordBatch) -> dict:
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        keep = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(a, b)):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int((y[at] == x).sum())
-            keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-        kept = batch.filter(pa.array(keep))
-        return {"a": kept.column(0), "b": kept.column(1)}
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b"), check, "a long, b long")
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -238,45 +326,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     described = materialise(_prefixes(rows, slot_levels(rows, words), words, percent), "prefixes")
     slim = described.where("n > 0 and doc_id is not null").select("doc_id", "n", "digest", "prefix_key")
+    repeated = not slim.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeated:  # one text stands for an id
+        slim = slim.groupBy("doc_id").agg(F.min(F.struct("n", "digest", "prefix_key")).alias("text")).select("doc_id", "text.*")
     nodes = materialise(slim.groupBy("n", "digest").agg(F.min("doc_id").alias("node"), F.min("prefix_key").alias("prefix_key")), "nodes")
     groups = nodes.groupBy("n", "prefix_key").agg(F.min("node").alias("gid"), F.count("*").alias("members"))
     member = materialise(nodes.join(groups, ["n", "prefix_key"]).select("gid", "node", "n", "members"), "members")
 
-    first = described.select("doc_id", "n", "prefix", "prefix_key", "digest").join(member.where("node = gid").select("gid", F.col("n").alias("size")), (F.col("doc_id") == F.col("gid")) & (F.col("n") == F.col("size")), "inner")
-    lists = _lists(first.select("gid", "n", "prefix").dropDuplicates(["gid"]), percent)
+    # one row for each group: that of its first node; the slim side is hashed and the prefixes stream past it
+    first = groups.select("gid", F.col("n").alias("size"), F.col("prefix_key").alias("key")).hint("shuffle_hash")
+    grouped = described.select("doc_id", "n", "prefix", "prefix_key").join(first, F.col("doc_id") == F.col("gid")).where("n = size and prefix_key = key").select("gid", "n", "prefix")
+    if repeated:
+        grouped = grouped.dropDuplicates(["gid"])
+    lists = materialise(_possible(_lists(grouped), groups.select("gid", "n"), percent), "possible")
     # a group of several sets is a list of its own
-    own = member.where("members > 1").select(F.xxhash64("gid", F.lit("group")).alias("list_id"), "node", "n", F.col("members").alias("size"))
-    listed = materialise(lists.join(member, "gid").select("list_id", "node", "n", "size").unionByName(own), "lists")
+    own = member.where("members > 1").select(F.xxhash64("gid", F.lit("group")).alias("list_id"), "node")
+    listed = lists.join(member, "gid").select("list_id", "node").unionByName(own)
+    listed = materialise(listed, "lists")
     return _classes(rows, described, nodes, listed, words, percent)
 
 
 def _classes(rows: DataFrame, described: DataFrame, nodes: DataFrame, listed: DataFrame, words: int, percent: int) -> DataFrame:
-    candidates = materialise(listed.select("node").distinct(), "candidates")
-    sets = materialise(_sets(rows, candidates, words), "sets")
-
-    # first turn: each node in its largest list, neighbours under two orders
-    largest = Window.partitionBy("node").orderBy(F.desc("size"), "list_id")
-    chosen = listed.withColumn("r", F.row_number().over(largest)).where("r = 1").drop("r")
-    near: DataFrame | None = None
-    for order in (["n", "node"], [F.xxhash64("node"), "node"]):
-        along = Window.partitionBy("list_id").orderBy(*order)
-        before = {f"o{k}": F.lag(F.struct("node", "n"), k).over(along) for k in range(1, NEIGHBOURS + 1)}
-        beside = chosen.withColumns(before).select("node", "n", F.explode(F.array(*before)).alias("o"))
-        pairs = beside.where("o.node is not null").select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"), F.least("n", "o.n").alias("small"), F.greatest("n", "o.n").alias("large"))
-        near = pairs if near is None else near.unionByName(pairs)
-    fits = F.col("small") * 100 >= F.col("large") * percent
-    checked = materialise(near.where(fits & (F.col("a") != F.col("b"))).select("a", "b").distinct(), "pairs")
-    links = materialise(_verified(checked, sets, percent), "verified")
+    # what lists connect is a cluster, in which each set moves once or twice however many lists it is in
+    star = listed.join(listed.groupBy("list_id").agg(F.min("node").alias("hub")), "list_id").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    cluster = components(star.where("a <> b")).withColumnRenamed("comp", "cluster")
+    cluster = materialise(cluster.join(cluster.groupBy("cluster").agg(F.count("*").alias("nodes")), "cluster"), "clusters")
+    sets = materialise(_sets(rows, cluster.select("node"), words), "sets")
+
+    # first turn: every pair of each block of a cluster; a cluster of one block is done with, others are cut in two ways
+    cuts = F.explode(F.when(F.col("nodes") > BLOCK, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    parts = F.ceil(F.col("nodes") / F.lit(BLOCK))
+    blocks = cluster.withColumn("cut", cuts).select(F.col("cluster").alias("list_id"), "node", (F.col("cut") * F.lit(1 << 40) + F.pmod(F.xxhash64("node", "cut"), parts)).alias("part"))
+    links = materialise(_linked(blocks, sets, percent), "links")
     label = components(links)
 
-    # second turn: pairs of a list in different classes
-    placed = listed.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_lists = placed.groupBy("list_id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list_id")
-    placed = materialise(placed.join(open_lists, "list_id", "left_semi").select("list_id", "node", "n", "comp"), "open")
-    x, y = placed.alias("x"), placed.alias("y")
-    across = (F.col("x.list_id") == F.col("y.list_id")) & (F.col("x.comp") < F.col("y.comp")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-    rest = x.join(y, across).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-    more = materialise(_verified(rest, sets, percent), "verified")
+    # second turn: what is left open in large clusters; all but the largest class against all, in each list or, where that moves fewer sets, in the cluster
+    large = cluster.where(F.col("nodes") > BLOCK).join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    large = materialise(large, "large")
+    in_lists = listed.join(large, "node").select("list_id", "node", "comp", "cluster")
+    mixed = in_lists.groupBy("list_id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list_id")
+    in_lists = materialise(in_lists.join(mixed, "list_id", "left_semi"), "open")
+    by_list = in_lists.groupBy("cluster").agg(F.count("*").alias("by_list"))
+    classes = large.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("all"), F.max("n").alias("main"))
+    by_cluster = F.col("all") * F.ceil((F.col("all") - F.col("main")) / F.lit(BLOCK)) + (F.col("all") - F.col("main")) * F.ceil(F.col("all") / F.lit(BLOCK))
+    whole = materialise(classes.join(by_list, "cluster").select("cluster", (by_cluster <= F.col("by_list")).alias("whole")), "ways")
+    several = in_lists.join(whole.where("not whole"), "cluster", "left_semi").select("list_id", "node", "comp")
+    several = several.unionByName(large.join(whole.where("whole"), "cluster", "left_semi").select(F.col("cluster").alias("list_id"), "node", "comp"))
+    several = materialise(several, "several")
+    counts = several.groupBy("list_id", "comp").agg(F.count("*").alias("n"))
+    main = counts.groupBy("list_id").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"))
+    open_ = several.join(main.where(F.col("all") > F.col("main.n")), "list_id")
+    outer, inner = F.ceil((F.col("all") - F.col("main.n")) / F.lit(BLOCK)), F.ceil(F.col("all") / F.lit(BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), n)
+    outside = open_.where(F.col("comp") != F.col("main.comp")).select("list_id", "node", own(outer).alias("o"), every(inner).alias("i"))
+    inside = open_.select("list_id", "node", own(inner).alias("i"), every(outer).alias("o"))
+    crossed = outside.select("list_id", "node", "o", "i").union(inside.select("list_id", "node", "o", "i"))
+    crossed = crossed.select("list_id", "node", (F.col("o") * F.lit(1 << 31) + F.col("i")).alias("part"))
+    more = materialise(_linked(crossed, sets, percent), "links")
     if not more.isEmpty():
         label = components(links.unionByName(more))
 

@@ -70,7 +70,9 @@ def test_prefixes_hold_a_shared_shingle():
         assert prefix_length(n) == (n - need + 1 if n else 0)
 
 
-def test_classes_equal_all_pairs(spark):
+@pytest.mark.parametrize("block", [400, 16])
+def test_classes_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr("logwarden.llm.op2_jaccard.BLOCK", block)  # 16: clusters of many blocks, and the second turn
     rng = random.Random(4)
     base = prose(rng, 150).split()
     texts: list[str | None] = [prose(rng, rng.randint(1, 60)) for _ in range(40)]
