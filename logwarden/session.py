@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+_local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def get_session(app_name: str = "logwarden", **conf: str) -> SparkSession:
@@ -30,9 +30,9 @@ def scratch_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
-    if context.applicationId not in _local_dirs:
-        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="logwarden-")
-    return _local_dirs[context.applicationId]
+    if context.applicationId not in _local_dirs:  # goes with the process
+        _local_dirs[context.applicationId] = tempfile.TemporaryDirectory(prefix="logwarden-", ignore_cleanup_errors=True)
+    return _local_dirs[context.applicationId].name
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
