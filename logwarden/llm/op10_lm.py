@@ -18,7 +18,7 @@ out nor learned from; repeated rows count as often as they are there; texts of a
 
 from __future__ import annotations
 
-import os
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -36,7 +36,7 @@ from logwarden.llm.text import hash_words, mix, utf8
 from logwarden.session import materialise, scratch_path
 
 #: Words that a task counts together.
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 1_000_000
 #: A word of at least this share of the sampled words is frequent.
 FREQUENT = 0.002
 SAMPLE = 1000
@@ -142,6 +142,15 @@ def _frame(rows: list[tuple]) -> pa.RecordBatch:
 # ---- files in the shared folder
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as Spark's file system names it, with its scheme as Arrow writes it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if full.startswith("file:"):
+        return "file:///" + full.removeprefix("file:").lstrip("/")
+    return "s3://" + full.removeprefix("s3a://") if full.startswith("s3a://") else full
+
+
 def _store(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     """Write arrays under their final names only when they are whole: a task that runs again replaces equal files."""
     system, path = fs.FileSystem.from_uri(folder)
@@ -305,9 +314,8 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     ship(spark)
     shards = max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    word_shards = max(8, shards // 16)  # each shard of pairs sends sums to each shard of words
-    folder = scratch_path(spark, "lm")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}"
+    word_shards = max(8, shards // 4)  # each shard of pairs sends sums to each shard of words
+    folder = _qualified(spark, scratch_path(spark, "lm"))
     rows = docs.where(usable).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     ids = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -367,7 +375,12 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
             np.stack([np.zeros_like(counts)] * 4 + [np.ones_like(counts)], 1),
         ]))
         own = word_shard(words, word_shards)
-        out = [(1, int(s), words[own == s].tobytes(), np.ascontiguousarray(sums[own == s].T.astype("<i8")).tobytes(), b"", b"") for s in np.unique(own)]
+        order = np.argsort(own, kind="stable")
+        cuts = np.searchsorted(own[order], np.arange(word_shards + 1))
+        out = []
+        for s in np.flatnonzero(np.diff(cuts)):
+            part = order[cuts[s] : cuts[s + 1]]
+            out.append((1, int(s), _six(words[part] >> _LOW), pickle.dumps([_small(c) for c in sums[part].T]), b"", b""))
         out.append((2, -1, np.array([len(counts), *[(counts == i).sum() for i in (1, 2, 3, 4)]], "<i8").tobytes(), b"", b"", b""))
         return pd.DataFrame(out, columns=columns)
 
@@ -376,8 +389,8 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
         plain, sums = group[group["kind"] == 0], group[group["kind"] == 1]
         # partial sums know the upper 48 bits of a word
         short, values = _added(
-            np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(x, "<u8") for x in sums["a"]]]),
-            np.concatenate([np.empty((0, 5), np.int64), *[np.frombuffer(x, "<i8").reshape(5, -1).T for x in sums["b"]]]),
+            np.concatenate([np.empty(0, np.uint64), *[_from_six(x) << _LOW for x in sums["a"]]]),
+            np.concatenate([np.empty((0, 5), np.int64), *[np.stack([_from_small(c) for c in pickle.loads(x)], 1) for x in sums["b"]]]),
         )
         words = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(x, "<u8") for x in plain["a"]]])
         counts = np.concatenate([np.empty(0, np.int64), *[_from_small(x) for x in plain["d"]]])
