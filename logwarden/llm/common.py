@@ -42,6 +42,13 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % F.lit(parts)
 
 
+def hash_share(rows: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """Rows whose key has one of the smallest hashes: some more than ``n`` of ``total`` rows, so that no task sends ``n`` rows of its own."""
+    if total <= 4 * n:
+        return rows
+    return rows.where(F.xxhash64(key) < F.lit(-(2**63) + int(2**64 * 2.0 * n / total)))
+
+
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under names that no extra column can clash with; a null text is empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

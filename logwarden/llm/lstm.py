@@ -9,10 +9,6 @@ from __future__ import annotations
 import numpy as np
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def ended(lengths: np.ndarray, steps: int) -> np.ndarray:
     """For each step how many of the sorted sequences have ended by then."""
     return np.searchsorted(lengths, np.arange(steps), "right")

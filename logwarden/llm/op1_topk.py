@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logwarden.llm.common import map_batches, ship, table
+from logwarden.llm.common import hash_share, map_batches, ship, table
 from logwarden.session import materialise
 
 K = 5
@@ -118,9 +118,9 @@ class PivotIndex:
             x = [np.frombuffer(v, "<i4").astype(np.float64) for v in batch.column(0).to_pylist()]
             return {"norm": pa.array([float((v * v).sum()) for v in x], pa.float64()), "width": pa.array([len(v) for v in x], pa.int32())}
 
-        bounds = map_batches(vectors.select("v"), norms, "norm double, width int").agg(F.max("norm"), F.max("width")).first()
+        bounds = map_batches(vectors.select("v"), norms, "norm double, width int").agg(F.max("norm"), F.max("width"), F.count("*")).first()
         self.longest, self.width = bounds[0] or 0.0, max(bounds[1] or 0, 1)
-        some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column("v").to_pylist()
+        some = hash_share(vectors, "vec_id", sample, bounds[2]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column("v").to_pylist()
         lifted = _lift(_matrix(some, self.width), self.longest)
         self.pivots = choose_pivots(lifted, pivots)
         near = _distances(lifted, self.pivots)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import fold, keyed_text, map_batches, ship, table
+from logwarden.llm.common import fold, hash_share, keyed_text, map_batches, ship, table
 from logwarden.llm.text import blocks, hash_words, utf8, word_bounds
 from logwarden.session import materialise
 
@@ -188,7 +188,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = 0.002, rounds: int
 def fit_quality(measured: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", sample: int = SAMPLE) -> RuleEnsemble:
     """Ensemble from the statistics of labelled rows whose ``doc_id`` passes ``usable``."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).where(usable & F.col("label").isNotNull())
-    rows = measured.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", *STATISTICS).limit(sample).toPandas()
+    rows = measured.join(hash_share(marked, "doc_id", sample, marked.count()), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", *STATISTICS).limit(sample).toPandas()
     return fit_rules(rows[STATISTICS].to_numpy(float).reshape(-1, len(STATISTICS)), (rows["label"].to_numpy(float) > 0.5).astype(float))
 
 
