@@ -201,10 +201,10 @@ def passes(kind: str, text: str) -> bool:
         return re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", text) is not None and _small_parts(text)
     if kind == "card":
         return 12 <= len(digits) <= 19 and re.fullmatch(r"[0-9][0-9 ./-]+[0-9]", text) is not None and luhn(digits)
-    return 9 <= len(digits) <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ()./-]+[0-9]", text) is not None and re.search(r"[ ()./-]", text) is not None and not _IP.fullmatch(text) and not luhn_date(text)
+    return 9 <= len(digits) <= 15 and re.fullmatch(r"[+(]?[0-9][0-9 ()./-]+[0-9]", text) is not None and re.search(r"[ ()./-]", text) is not None and not _IP.fullmatch(text) and not is_date(text)
 
 
-def luhn_date(text: str) -> bool:
+def is_date(text: str) -> bool:
     """A date or a range of numbers rather than a number to call."""
     return re.fullmatch(r"[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}.*", text) is not None
 
