@@ -54,24 +54,24 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, object]], schema: str | T.StructType) -> DataFrame:
-    """A DataFrame of the columns that ``make`` returns for each Arrow batch."""
+def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, object]], schema: str | T.StructType, rows: int = 10_000) -> DataFrame:
+    """A DataFrame of the columns that ``make`` returns for each Arrow batch, or each ``rows`` rows of it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                made = make(batch)
+            for lo in range(0, batch.num_rows, rows):
+                made = make(batch.slice(lo, rows))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made.values()], names=list(made))
 
     return df.mapInArrow(run, schema)
 
 
-def rewrite_batches(df: DataFrame, rewrite: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """Batches with all columns kept, whatever they are called; ``rewrite`` may drop rows or change columns."""
+def rewrite_batches(df: DataFrame, rewrite: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 1000) -> DataFrame:
+    """Batches with all columns kept, whatever they are called; ``rewrite`` may drop rows or change columns, and gets few rows at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield rewrite(batch)
+            for lo in range(0, batch.num_rows, rows):
+                yield rewrite(batch.slice(lo, rows))
 
     return df.mapInArrow(run, df.schema)

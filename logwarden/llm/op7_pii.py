@@ -351,7 +351,7 @@ def personal_data(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id"
         found = find_spans(batch.column(1), shared.value)
         return {"doc_id": batch.column(0), "base": pa.array([_joined(b) for _, b, _ in found], pa.string()), "spans": pa.array([_joined(s) for _, _, s in found], pa.string())}
 
-    return map_batches(keyed_text(docs, id_col, text_col), find, "doc_id long, base string, spans string")
+    return map_batches(keyed_text(docs, id_col, text_col), find, "doc_id long, base string, spans string", rows=1000)
 
 
 def redact(docs: DataFrame, tagger: Tagger | None, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:

@@ -37,7 +37,7 @@ WORD_END = "</w>"
 #: Words whose encoding a worker remembers; more only cost time.
 REMEMBERED_WORDS = 200_000
 #: Letter runs, numbers and sign runs, likewise.
-REMEMBERED_PIECES = 1_000_000
+REMEMBERED_PIECES = 500_000
 
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _CONTROL_WHITE = re.compile("[\x1c-\x1f]")
@@ -256,7 +256,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         return out | {"ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
 
     schema = "doc_id long, n_tokens long, " + ("ids array<int>, " if with_ids else "") + "ids_sha256 string, decoded_sha256 string"
-    return map_batches(keyed_text(docs, id_col, text_col), encode, schema)
+    return map_batches(keyed_text(docs, id_col, text_col), encode, schema, rows=256)  # ids of few texts at a time
 
 
 def decode_ids(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
