@@ -208,8 +208,10 @@ def _possible(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     shortest, longest = F.floor((percent * n + 99) / 100), F.floor(100 * n / percent)  # of the sizes that can be similar enough
     other = F.col("lo") + F.col("hi") - n
     pair = other.between(shortest, longest) & (F.col("least") >= _least_common(n, other, percent))
-    # the further the sizes, the fewer shingles are needed: the ends of the range decide
-    several = F.col("common") >= F.least(_least_common(n, F.greatest("lo", shortest), percent), _least_common(n, F.least("hi", longest), percent))
+    # the further the sizes, the fewer shingles are needed, so the ends of the range decide; by the roundings the need can be one less at a size just below the upper end
+    low, high = F.greatest("lo", shortest), F.least("hi", longest)
+    steps = 100 * (100 + percent) // percent**2  # further below it is never less
+    several = F.col("common") >= F.least(_least_common(n, low, percent), *[_least_common(n, F.greatest(low, high - d), percent) for d in range(steps + 1)])
     kept = own.where(F.when(F.col("m") == 2, pair).otherwise(several)).select("list_id", "gid")
     return kept.join(kept.groupBy("list_id").count().where("count > 1").select("list_id"), "list_id", "left_semi")
 

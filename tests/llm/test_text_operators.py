@@ -17,6 +17,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from llm.edge import edge_docs, empty_docs, prose, rows, words_of
+from logwarden.llm import op2_jaccard
 from logwarden.llm.common import fold
 from logwarden.llm.op2_jaccard import OP2_SQL, near_duplicates, prefix_length
 from logwarden.llm.op4_merkle import Tree, differences, fingerprint_chain, likeness
@@ -104,6 +105,27 @@ def test_classes_of_hard_rows(spark):
     assert near_duplicates(empty_docs(spark)).count() == 0
 
 
+def test_sizes_whose_need_dips_by_rounding_stay_linked(spark):
+    core = " ".join(f"core{i}" for i in range(95))  # 91 shingles
+    texts = [core + "".join(f" own{n}x{i}" for i in range(n - 91)) for n in (100, 104, 105)]
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = plain_classes(list(enumerate(texts)))
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and want[1] == 0
+
+
+def test_the_group_filter_asks_no_more_than_any_size_needs(spark):
+    need = lambda a, b: -(-80 * (a + b) // 180) - max(-(-80 * a // 100), -(-80 * b // 100)) + 1
+    rng = random.Random(9)
+    lists = [sorted(rng.sample(range(a, a + 40), 3)) for a in range(20, 200)]
+    # each group shares just what its least demanding partner in range needs
+    asked = {(i, n): min((need(n, m) for m in own if m != n and 80 * max(m, n) <= 100 * min(m, n)), default=None) for i, own in enumerate(lists) for n in own}
+    listed = spark.createDataFrame([(i, i * 1000 + n, x) for (i, n), x in asked.items() if x is not None], "list_id long, gid long, tokens long")
+    sizes = spark.createDataFrame([(i * 1000 + n, n) for i, n in asked], "gid long, n long")
+    kept = {(r["list_id"], r["gid"]) for r in op2_jaccard._possible(listed, sizes, 80).collect()}
+    three = {i for i in range(len(lists)) if all(asked[i, n] is not None for n in lists[i])}
+    assert three and {(i, i * 1000 + n) for i in three for n in lists[i]} <= kept
+
+
 # ---- fingerprints
 
 
