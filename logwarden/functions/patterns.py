@@ -53,8 +53,19 @@ TOO_LARGE = "number too large"
 BAD_STAMP = "bad timestamp"
 
 
-#: A code point that Unicode sets aside as no character; a line that holds it all the same does not parse.
+#: A code point that Unicode sets aside as no character; a line that holds it all the same is matched with it escaped.
 SEPARATOR = "\uffff"
+_ESCAPE = "\ufffe"
+
+
+def escaped(text: str) -> str:
+    """SQL: the text without the separator. The signs used instead are white space, digit or quote to no pattern, as it is itself."""
+    return f"replace(replace({text}, '{_ESCAPE}', '{_ESCAPE}e'), '{SEPARATOR}', '{_ESCAPE}s')"
+
+
+def restored(text: str) -> str:
+    """SQL: undoes ``escaped``; every escape sign is followed by one of two letters, so no other pair looks like one."""
+    return f"replace(replace({text}, '{_ESCAPE}s', '{SEPARATOR}'), '{_ESCAPE}e', '{_ESCAPE}')"
 
 
 def group_list(count: int) -> str:

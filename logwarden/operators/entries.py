@@ -33,8 +33,10 @@ def _anchor(reference_time: datetime | None, default_year: int | None, tz: timez
 
 def _matched(pattern: str, groups: int) -> str:
     """All groups of a matching line from a single regex pass; one element if it does not match."""
-    listed = f"split(regexp_replace(raw, {X.regex(pattern)}, '{P.group_list(groups)}'), '{P.SEPARATOR}', -1)"
-    return f"if(contains(raw, '{P.SEPARATOR}'), array(raw), {listed})"
+    listed = lambda text: f"split(regexp_replace({text}, {X.regex(pattern)}, '{P.group_list(groups)}'), '{P.SEPARATOR}', -1)"
+    # A line that holds the separator is matched with it escaped, and its groups are restored.
+    restored = f"transform({listed(P.escaped('raw'))}, x -> {P.restored('x')})"
+    return f"if(contains(raw, '{P.SEPARATOR}'), {restored}, {listed('raw')})"
 
 
 def parse_lines(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logwarden.functions.decode import decode_variants
 from logwarden.functions.presets import normal_path
 from logwarden.operators.entries import parse_auth_log, parse_errors, parse_lines
+from logwarden.plans.analyze import analyze_lines
 
 WEB = [
     '10.0.0.1 - bob [10/Oct/2023:13:55:36 +0000] "GET /a?b=1?c HTTP/1.1" 200 2326 "-" "Mozilla/5.0"',
@@ -148,3 +149,22 @@ def test_white_space_follows_python(spark):
     rows = parse_lines(lines(spark, values + gaps)).orderBy("line_no").collect()
     assert [(r.kind, r.method, r.target, r.protocol) for r in rows[: len(gaps)]] == [("web", "GET", "/", "HTTP/1.1")] * len(gaps)
     assert [r.kind for r in rows[len(gaps):]] == ["blank" for g in gaps if re.fullmatch(r"\s", g)]
+
+
+def test_a_line_that_holds_the_separator_parses(spark):
+    odd = "\uffff\ufffe\ufffes\ufffee"
+    web = f'9.9.9.9 - {odd} [01/Jan/2024:00:00:00 +0000] "GET /a{odd}?q=union+select HTTP/1.1" 200 5 "-" "agent {odd}"'
+    got = parse_lines(lines(spark, [web, web + "x", odd])).collect()
+    assert [r.kind for r in got] == ["web", "error", "error"]
+    assert (got[0].source_ip, got[0].user, got[0].path, got[0].query, got[0].user_agent) == ("9.9.9.9", odd, f"/a{odd}", "q=union+select", f"agent {odd}")
+    assert [r.raw for r in got] == [web, web + "x", odd]
+    auth = f"Jan  1 00:00:00 host sshd[1]: Failed password for u{odd} from 9.9.9.9 port 22 ssh2"
+    entry = parse_lines(lines(spark, [auth], fmt="auth"), default_year=2024).first()
+    assert (entry.kind, entry.username, entry.source_ip) == ("auth", f"u{odd}", "9.9.9.9")
+
+
+def test_an_attack_with_the_separator_is_found(spark):
+    web = '9.9.9.9 - - [01/Jan/2024:00:00:00 +0000] "GET /?q=1+union+select+2\uffff HTTP/1.1" 200 5 "-" "Mozilla/5.0"'
+    specs = [{"id": "sqli", "type": "signature", "params": {"patterns": ["union.select"]}}]
+    found = analyze_lines(lines(spark, [web]), specs).findings.collect()
+    assert [(r.rule_id, r.source_ip) for r in found] == [("sqli", "9.9.9.9")]
