@@ -141,6 +141,17 @@ def test_main_text(spark):
     assert fit_labeller(none) is None and extract_main_text(none, None).count() == 0
 
 
+def test_long_pages_and_pages_without_ids_are_labelled(spark):
+    rng = random.Random(3)
+    page = "<nav><a href='/'>home</a></nav><article>" + "".join(f"<p>{prose(rng, 30)}.</p>" for _ in range(400)) + "</article><footer>legal</footer>"
+    assert len(page) > op3_html.SAMPLE_CHARS
+    schema = "page_id long, url string, html string"
+    for id_ in (1, None):
+        pages = spark.createDataFrame([(id_, "u", page), (id_, "v", "")], schema)
+        got = {r["url"]: r["text"] for r in extract_main_text(pages, fit_labeller(pages)).collect()}
+        assert got["v"] == "" and got["u"].count("\n") > 300
+
+
 def test_held_out_templates(spark):
     pages, _ = pages_table(spark)
     model = fit_labeller(pages)
