@@ -34,7 +34,7 @@ from logwarden.sources.catalogue import (
     require_sources,
     skipped_sources,
 )
-from logwarden.sources.lines import MAX_BROADCAST_BLOCKS, read_log_lines, source_files, unreadable_sources
+from logwarden.sources.lines import MAX_BROADCAST_BLOCKS, read_log_lines, scan_files, source_files, unreadable_sources
 
 logger = logging.getLogger("logwarden")
 
@@ -160,7 +160,8 @@ def analyze(
     started = time.monotonic()
     rules = build_rules(specs, spark)
     files = materialise(source_files(spark, paths), "files")
-    lines = read_log_lines(spark, paths, files, with_total=True)
+    scan = scan_files(spark, paths)
+    lines = read_log_lines(spark, paths, files, with_total=True, scan=scan)
     edges = materialise(edge_lines(lines), "edges")
     catalogue = materialise(build_sources(lines, files, edges=edges, now=now), "sources")
     require_sources(catalogue)
@@ -172,7 +173,7 @@ def analyze(
         formats = F.broadcast(formats)  # the text itself does not move
     parsed = parse_lines(lines.join(formats, "source"), reference_time=anchor.moment, default_year=default_year, tz=tz)
     counted = edges.select("source", "total_lines").distinct()
-    unread = unreadable_sources(spark, paths, counted)
+    unread = unreadable_sources(spark, paths, counted, scan)
     result = analyze_parsed(materialise(parsed, "parsed", ["kind"]), rules, source_errors=unread, **options)
     result.duration_seconds = time.monotonic() - started
     result.skipped = skipped_sources(catalogue)

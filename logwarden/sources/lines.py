@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from logwarden.functions.fields import is_blank
 from logwarden.schema import LINES, PARSE_ERRORS
 from logwarden.session import materialise
-from logwarden.sources.files import Listing, escaped, list_sources
+from logwarden.sources.files import Listing, escaped, list_sources, plain_path
 
 # Rows of the block table (about 200 bytes each) up to which every executor gets all of them.
 MAX_BROADCAST_BLOCKS = 200_000
@@ -24,32 +26,98 @@ def source_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return list_sources(spark, paths).table(spark)
 
 
-def unreadable_sources(spark: SparkSession, paths: Sequence[str], counted: DataFrame | None = None) -> DataFrame:
-    """One parse error with line number 0 for each path that leads to no file and each file that cannot be read.
+@dataclass(frozen=True)
+class Scan:
+    """The files of a run, read once for the count.
 
-    ``counted`` (``source, total_lines``) saves the pass that counts the lines of all files.
+    ``numbered``: their lines; ``blocks``: one row per block of a file; ``broken``: the sources that break off while they are read, of which
+    ``numbered`` has the lines before the break.
+    """
+
+    listing: Listing
+    numbered: DataFrame | None
+    blocks: DataFrame | None
+    broken: list[str]
+
+
+def scan_files(spark: SparkSession, paths: Sequence[str]) -> Scan:
+    """Count the lines of all files. A file that fails is set apart and the count begins again without it.
+
+    What is left is read without leave to skip anything, so a file that breaks later stops the run.
+    The lines of broken files are written once, so that all passes see the same.
     """
     listing = list_sources(spark, paths)
+    if not listing.files:
+        return Scan(listing, None, None, [])
+    _pin_splits(spark)
+    roots, whole, broken = listing.roots, [p for p, _, _ in listing.files], []
+    parts: list[tuple[DataFrame, DataFrame]] = []
+    while whole:
+        numbered = _numbered(spark, roots)
+        try:
+            parts.append((numbered, _blocks(numbered)))
+            break
+        except Exception as error:  # noqa: BLE001 (told apart by the file that it names)
+            named = _named(str(error), whole)
+            if named is None:
+                raise
+            broken.append(named)
+            whole.remove(named)
+            roots = whole
+    for path in broken:
+        try:
+            lines = materialise(_numbered(spark, [path], skip=True), "broken")
+        except Exception:  # noqa: BLE001 (not a line can be read; the error row is written all the same)
+            continue
+        parts.append((lines, _blocks(lines)))
+    if not parts:
+        return Scan(listing, None, None, [plain_path(p) for p in broken])
+    numbered, blocks = parts[0]
+    for more, counts in parts[1:]:
+        numbered, blocks = numbered.unionByName(more), blocks.unionByName(counts)
+    return Scan(listing, numbered, blocks, [plain_path(p) for p in broken])
+
+
+def _named(text: str, paths: Sequence[str]) -> str | None:
+    """The file that an error of a scan names; the longest, as one name may begin another."""
+    texts = (text, unquote(text))
+    return max((p for p in paths if any(plain_path(p) in t for t in texts)), key=len, default=None)
+
+
+def unreadable_sources(
+    spark: SparkSession, paths: Sequence[str], counted: DataFrame | None = None, scan: Scan | None = None
+) -> DataFrame:
+    """One parse error with line number 0 for each path that leads to no file and each file that cannot be read whole.
+
+    ``scan`` saves the pass that counts the lines of all files, ``counted`` (``source, total_lines``) their sums.
+    """
+    scan = scan or scan_files(spark, paths)
+    listing = scan.listing
     missing = spark.createDataFrame([(p, 0, p, why) for p, why in listing.missing], PARSE_ERRORS)
     if not listing.files:
         return missing
     if counted is None:
-        counted = _blocks(spark, listing).groupBy("source").agg(F.sum("lines").alias("total_lines"))
-    silent = listing.table(spark).where("length > 0").join(counted.where("total_lines > 0"), "source", "left_anti")
-    unread = silent.select(
+        empty = spark.createDataFrame([], "source STRING, total_lines BIGINT")
+        counted = empty if scan.blocks is None else scan.blocks.groupBy("source").agg(F.sum("lines").alias("total_lines"))
+    total = counted.where("total_lines > 0").select("source", "total_lines")
+    broken = spark.createDataFrame([(s, True) for s in scan.broken], "source STRING, broken BOOLEAN")
+    faulty = listing.table(spark).join(total, "source", "left").join(broken, "source", "left")
+    none = F.concat(F.lit("OSError: no line could be read from "), F.col("source"))
+    some = F.concat(F.lit("OSError: broke off after "), F.col("total_lines"), F.lit(" lines: "), F.col("source"))
+    unread = faulty.where("broken OR length > 0 AND total_lines IS NULL").select(
         "source", F.lit(0).cast("bigint").alias("line_no"), F.col("source").alias("raw"),
-        F.concat(F.lit("OSError: no line could be read from "), F.col("source")).alias("reason"),
+        F.when(F.col("total_lines").isNull(), none).otherwise(some).alias("reason"),
     )
     return missing.unionAll(unread)
 
 
-def _numbered(spark: SparkSession, listing: Listing) -> DataFrame:
+def _numbered(spark: SparkSession, paths: Sequence[str], *, skip: bool = False) -> DataFrame:
     """Every line with its file, block and a number that rises by one inside a block.
 
-    Files are named literally, folders are read to their depth, and a file that breaks off leaves the others alone.
+    Files are named literally and folders are read to their depth. ``skip``: a file that breaks off gives the lines before the break.
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
-    found = reader.text([escaped(r) for r in listing.roots])
+    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", str(skip).lower())
+    found = reader.text([escaped(p) for p in paths])
     # The scan writes a path as a URI, the listing as it is; a local one has one slash or three after the scheme.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return found.select(
@@ -60,15 +128,14 @@ def _numbered(spark: SparkSession, listing: Listing) -> DataFrame:
     )
 
 
-def _blocks(spark: SparkSession, listing: Listing) -> DataFrame:
+def _blocks(numbered: DataFrame) -> DataFrame:
     """One row per block of a file: its first number and its lines; written once, as several steps read it."""
-    _pin_splits(spark)
-    blocks = _numbered(spark, listing).groupBy("source", "block").agg(F.min("id").alias("first_id"), F.count("*").alias("lines"))
+    blocks = numbered.groupBy("source", "block").agg(F.min("id").alias("first_id"), F.count("*").alias("lines"))
     return materialise(blocks, "blocks")
 
 
 def read_log_lines(
-    spark: SparkSession, paths: Sequence[str], files: DataFrame | None = None, *, with_total: bool = False
+    spark: SparkSession, paths: Sequence[str], files: DataFrame | None = None, *, with_total: bool = False, scan: Scan | None = None
 ) -> DataFrame:
     """All lines of all files as ``source, source_idx, line_no, value``; blank lines count.
 
@@ -78,11 +145,11 @@ def read_log_lines(
     only one row per block moves. ``with_total`` adds ``total_lines`` of the source and ``pos``, the
     place of the line among all lines of the run.
     """
-    listing = list_sources(spark, paths)
-    files = listing.table(spark) if files is None else files
-    if not listing.files:
+    scan = scan or scan_files(spark, paths)
+    files = scan.listing.table(spark) if files is None else files
+    if scan.numbered is None:
         return spark.createDataFrame([], LINES + (", total_lines BIGINT, pos BIGINT" if with_total else ""))
-    blocks = _blocks(spark, listing)
+    blocks = scan.blocks
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = blocks.select(
         "source",
@@ -95,7 +162,7 @@ def read_log_lines(
     table = placed.join(totals.withColumn("lines_above", F.coalesce(F.sum("total_lines").over(above), F.lit(0))), "source")
     if blocks.count() <= MAX_BROADCAST_BLOCKS:
         table = F.broadcast(table)
-    lines = _numbered(spark, listing).join(table, ["source", "block"]).select(
+    lines = scan.numbered.join(table, ["source", "block"]).select(
         "source",
         "source_idx",
         (F.col("id") + F.col("shift")).alias("line_no"),

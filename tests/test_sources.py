@@ -1,3 +1,5 @@
+import gzip
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -194,6 +196,26 @@ def test_no_file_is_lost_by_its_name_or_place(spark, tmp_path):
     assert sorted(r.value for r in good) == ["plain.log", "second"]
 
 
+def test_files_that_break_off_are_error_rows(spark, tmp_path):
+    rng = random.Random(5)
+    data = gzip.compress("\n".join(hit("1.1.1.1", i % 60, f"/{rng.random()}") for i in range(20_000)).encode())
+    cut, other = tmp_path / "in" / "cut +%20.log.gz", tmp_path / "in" / "cut +%20.log"
+    good = write(tmp_path / "in" / "good.log", [hit("2.2.2.2", 1)])
+    cut.write_bytes(data[: len(data) // 2])
+    other.write_text(hit("3.3.3.3", 2) + "\n")
+    (tmp_path / "in" / "bad.gz").write_bytes(b"\x1f\x8b no archive at all")
+    folder = str(tmp_path / "in")
+    rows = read_log_lines(spark, [folder], with_total=True).collect()
+    n = sum(r.source == str(cut) for r in rows)
+    assert 0 < n < 20_000 and {r.source for r in rows} == {str(cut), str(other), good}
+    assert sorted(r.line_no for r in rows if r.source == str(cut)) == list(range(1, n + 1))
+    assert sorted(r.pos for r in rows) == list(range(1, len(rows) + 1))
+    want = {(str(cut), f"OSError: broke off after {n} lines: {cut}"), (f"{folder}/bad.gz", f"OSError: no line could be read from {folder}/bad.gz")}
+    assert {(r.source, r.reason) for r in unreadable_sources(spark, [folder]).collect()} == want
+    errors = analyze(spark, [folder], []).parse_errors.where("line_no = 0").collect()
+    assert {(r.source, r.reason) for r in errors} == want
+
+
 def test_a_thousand_names_are_one_reader(spark, tmp_path):
     paths = [write(tmp_path / f"{i}.log", [hit("1.1.1.1", i % 60)]) for i in range(200)]
     assert len(source_files(spark, paths).collect()) == 200
