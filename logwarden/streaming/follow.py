@@ -98,7 +98,7 @@ def arrival_order(lines: DataFrame, sources: DataFrame, base: int) -> DataFrame:
     """Lines of one batch with ``source_idx``, ``format`` and ``pos``.
 
     ``pos`` counts on from ``base``, the last place of the batches before: sources in their order,
-    each source's lines in theirs. Only one row per source is ordered globally.
+    each source's lines in theirs; ``sources`` has every source of ``lines``. Only one row per source is ordered globally.
     """
     span = F.max("line_no") - F.min("line_no") + 1
     counted = lines.groupBy("source").agg(F.min("line_no").alias("first_no"), span.alias("n"))

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,12 +14,15 @@ from pyspark.sql.streaming import StreamingQuery
 from logwarden.operators.entries import entries_of, parse_lines
 from logwarden.plans.analyze import Analysis, analyze_parsed
 from logwarden.plans.rules import SHIPPED_RULES, build_rules
+from logwarden.sources.catalogue import detect_format
 from logwarden.streaming.alerts import ALERTS, HIT_COUNTS, WINDOWS, stream_signatures, stream_thresholds
 from logwarden.streaming.follow import TAILS, arrival_order, assemble_partial_lines, follow_chunks
 
 
 # The place of the newest line so far: places count lines, whatever the number of batches.
 PLACES = "last BIGINT"
+# Sources that came while the run was going, with the format of their first lines, if that is known yet.
+JOINED = "source STRING, source_idx INT, format STRING"
 
 
 class LiveRun:
@@ -79,7 +82,7 @@ class LiveRun:
     def on_lines(self, lines: DataFrame, batch_id: int) -> None:
         """Entries and alerts of one batch of complete lines."""
         base = self._left_by("places", PLACES, batch_id).agg(F.max("last")).first()[0] or 0
-        placed = arrival_order(lines, self.sources, base)
+        placed = arrival_order(lines, self._sources_of(lines, batch_id), base)
         parsed = parse_lines(placed, reference_time=self.reference_time, default_year=self.default_year, tz=self.tz)
         parsed = self._write(parsed, "parsed", batch_id)
         entries = entries_of(parsed)
@@ -99,9 +102,34 @@ class LiveRun:
         if alerts:
             both = alerts[0] if len(alerts) == 1 else alerts[0].unionByName(alerts[1])
             self._write(both.withColumn("seen_at", F.current_timestamp()), "alerts", batch_id)
-        for table in ("hits", "windows", "places"):
+        for table in ("hits", "windows", "places", "joined"):
             self._forget(table, batch_id)
 
+    def _sources_of(self, lines: DataFrame, batch_id: int) -> DataFrame:
+        """``sources`` and those that came later.
+
+        A source that the table does not name has the next place and the format of its first lines in a batch. Until
+        a line shows it, its lines are read as web lines, so what does not parse is an error row.
+        """
+        given = self.sources.selectExpr("source", "cast(source_idx AS INT) AS source_idx", "format")
+        joined = self._left_by("joined", JOINED, batch_id)
+        other = lines.select("source").distinct().join(given, "source", "left_anti")
+        unknown = other.join(joined.where("format IS NOT NULL"), "source", "left_anti")
+        if not unknown.isEmpty():
+            last = given.unionByName(joined).agg(F.max("source_idx")).first()[0]
+            nth = F.row_number().over(Window.orderBy("source")) + (-1 if last is None else last)
+            fresh = unknown.join(joined, "source", "left_anti").select(
+                "source", nth.cast("int").alias("source_idx"), F.lit(None).cast("string").alias("format")
+            )
+            first = lines.join(unknown, "source").groupBy("source").agg(F.min("line_no").alias("first_no"))
+            head = lines.join(first, "source").selectExpr("source", "0 AS source_idx", "line_no - first_no + 1 AS line_no", "value")
+            found = detect_format(head, now=self.reference_time).selectExpr("source", "format AS found")
+            joined = joined.unionByName(fresh).join(found, "source", "left").selectExpr(
+                "source", "source_idx", "coalesce(format, found) AS format"
+            )
+        joined = self._write(joined, "joined", batch_id)
+        return given.unionByName(joined.selectExpr("source", "source_idx", "coalesce(format, 'web') AS format"))
+
     def start(self, chunks: DataFrame, **trigger: Any) -> StreamingQuery:  # noqa: ANN401 (passed on)
         """Run over a stream of chunks; ``trigger`` as for ``DataStreamWriter.trigger``."""
         return self._start(chunks, self.on_batch, trigger)

@@ -116,3 +116,25 @@ def test_a_chunk_that_comes_too_late_stops_the_run(spark):
 def test_alerts_before_the_first_batch(spark, tmp_path):
     sources = spark.createDataFrame([], "source STRING, source_idx INT, format STRING")
     assert LiveRun(spark, str(tmp_path / "run"), sources).live_alerts().count() == 0
+
+
+def test_a_source_that_joins_later_loses_no_line(spark, tmp_path):
+    landing = tmp_path / "landing"
+    sources = spark.createDataFrame([("web", 0, "web")], SOURCES)
+    run = LiveRun(spark, str(tmp_path / "run"), sources, SPECS, default_year=2024)
+    web = '1.1.1.1 - - [01/Jan/2024:00:00:00 +0000] "GET / HTTP/1.1" 200 5 "-" "a"\n'
+    auth = "Jan  1 00:00:01 host sshd[1]: Failed password for root from 2.2.2.2 port 22 ssh2\n"
+    batches = [{"web": web}, {"late": auth, "junk": "no log\n\n", "slow": "\n"}, {"late": "odd\n" + auth, "junk": "nor this\n", "slow": auth, "web": web}]
+    for number, chunks in enumerate(batches):
+        for source, text in chunks.items():
+            (landing / source).mkdir(parents=True, exist_ok=True)
+            (landing / source / f"{number:03d}").write_text(text)
+        run.follow(str(landing), availableNow=True).awaitTermination()
+    rows = run.table("parsed").orderBy("source", "line_no").collect()
+    assert [(r.source, r.line_no, r.kind) for r in rows] == [
+        ("junk", 1, "error"), ("junk", 2, "blank"), ("junk", 3, "error"), ("late", 1, "auth"), ("late", 2, "error"),
+        ("late", 3, "auth"), ("slow", 1, "blank"), ("slow", 2, "auth"), ("web", 1, "web"), ("web", 2, "web"),
+    ]
+    assert sorted(r.pos for r in rows) == list(range(1, 11))
+    assert {r.source: r.source_idx for r in rows} == {"web": 0, "junk": 1, "late": 2, "slow": 3}
+    assert {r.source for r in run.finalize().parse_errors.collect()} == {"junk", "late"}
