@@ -54,6 +54,20 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def join_spread(rows: DataFrame, facts: DataFrame, key: str, times: str, total: int, share: int = 1000) -> DataFrame:
+    """Left join of many rows with one row of ``facts`` for each key; ``times`` tells how many of the ``total`` rows have the key.
+
+    Keys of more than one in ``share`` rows are fewer than ``share``: they are sent to the rows. All others meet by key, so no task gets more than that share of one key.
+    """
+    hot = F.col(times) * F.lit(share) > F.lit(total)
+    columns = [c for c in facts.columns if c not in (key, times)]
+    sent = facts.where(hot).select(F.col(key).alias("_key"), F.lit(True).alias("_hot"), *[F.col(c).alias(f"_{c}") for c in columns])
+    first = rows.join(F.broadcast(sent), rows[key] == sent["_key"], "left")
+    met = first.where("_hot is not null").select(*rows.columns, *[F.col(f"_{c}").alias(c) for c in columns])
+    rest = first.where("_hot is null").select(*rows.columns)
+    return met.unionByName(rest.join(facts.where(~hot).drop(times), key, "left").select(*met.columns))
+
+
 def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, object]], schema: str | T.StructType, rows: int = 10_000) -> DataFrame:
     """A DataFrame of the columns that ``make`` returns for each Arrow batch, or each ``rows`` rows of it."""
 

@@ -12,6 +12,9 @@ from logwarden.llm.op7_pii import op7_pii
 from logwarden.llm.op8_bpe import op8_bpe
 from logwarden.llm.op9_quality import op9_quality
 from logwarden.llm.op10_lm import op10_lm
+from logwarden.llm.op11_spelling import op11_spelling
+from logwarden.llm.op12_simhash import op12_simhash
+from logwarden.llm.op13_resampling import op13_resampling
 
 LLM_QUERIES = {
     "op1_topk": op1_topk,
@@ -24,6 +27,9 @@ LLM_QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_lm": op10_lm,
+    "op11_spelling": op11_spelling,
+    "op12_simhash": op12_simhash,
+    "op13_resampling": op13_resampling,
 }
 
 #: The others are fitted models, or results that SQL cannot express; their tests compare them with plain versions.
