@@ -20,6 +20,7 @@ whole history of a key in one task:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -38,6 +39,9 @@ KEY = ["rule", "ip"]
 CHUNK = [*KEY, "chunk"]
 GROUP = [*CHUNK, "here"]
 
+# The chunk, and the place, of what earlier batches of a live run left.
+CARRIED = "-1L"
+
 BY_KEY = "PARTITION BY rule, ip"
 BY_GROUP = "PARTITION BY rule, ip, chunk, here"
 
@@ -67,32 +71,38 @@ def matched_events(entries: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
-def _placed(events: DataFrame, order: str, chunk_bits: int) -> DataFrame:
+def _placed(events: DataFrame, order: str, chunk_bits: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Events with ``chunk`` and ``here``, written once because several stages read them."""
     if order not in ("arrival", "event_time"):
         raise ValueError(f"order must be 'arrival' or 'event_time', got {order!r}")
     latest = "max(t) OVER (PARTITION BY rule, ip, chunk ORDER BY pos ROWS UNBOUNDED PRECEDING)"
     here = latest if order == "arrival" else "t"
     chunked = events.selectExpr("*", f"shiftright(pos, {chunk_bits}) AS chunk")
-    return materialise(chunked.selectExpr("*", f"{here} AS here"), "matched")
+    return keep(chunked.selectExpr("*", f"{here} AS here"), "matched")
 
 
-def _sizes(placed: DataFrame, order: str) -> DataFrame:
+def _sizes(placed: DataFrame, order: str, carried: DataFrame | None) -> DataFrame:
     """Groups with their number of events, first event, and ``edge``."""
     sizes = placed.groupBy(*GROUP).agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    if carried is not None:
+        earlier = carried.groupBy(*KEY, "at").agg(F.sum("n").alias("n"))
+        sizes = sizes.unionByName(earlier.selectExpr(*KEY, f"{CARRIED} AS chunk", "at AS here", "n", f"{CARRIED} AS first_pos"))
     latest = f"max(here) OVER ({BY_KEY} ORDER BY chunk, here ROWS UNBOUNDED PRECEDING)"
     return sizes.selectExpr("*", f"{latest if order == 'arrival' else 'here'} AS edge")
 
 
-def _value_runs(placed: DataFrame, sizes: DataFrame, rules: list[Rule]) -> DataFrame:
+def _value_runs(
+    placed: DataFrame, sizes: DataFrame, rules: list[Rule], carried: DataFrame | None, keep: Callable[[DataFrame, str], DataFrame]
+) -> DataFrame:
     """First sighting of a value in each group, with whether it starts and ends a run of that value."""
     by_value = f"{BY_KEY}, item ORDER BY edge, pos"
     window_us = per_rule([r.window_us for r in rules])
+    seen = placed.where("item IS NOT NULL").groupBy(*GROUP, "item").agg(F.min("pos").alias("pos"))
+    if carried is not None:
+        earlier = carried.where("item IS NOT NULL")
+        seen = seen.unionByName(earlier.selectExpr(*KEY, f"{CARRIED} AS chunk", "at AS here", "item", f"{CARRIED} AS pos"))
     runs = (
-        placed.where("item IS NOT NULL")
-        .groupBy(*GROUP, "item")
-        .agg(F.min("pos").alias("pos"))
-        .join(sizes.select(*GROUP, "edge"), GROUP)
+        seen.join(sizes.select(*GROUP, "edge"), GROUP)
         .selectExpr(
             *GROUP,
             "pos",
@@ -101,7 +111,7 @@ def _value_runs(placed: DataFrame, sizes: DataFrame, rules: list[Rule]) -> DataF
         )
         .where("starts OR ends")
     )
-    return materialise(runs, "runs")
+    return keep(runs, "runs")
 
 
 def _groups(sizes: DataFrame, runs: DataFrame | None, rules: list[Rule]) -> DataFrame:
@@ -199,14 +209,30 @@ def _with_starts(rows: DataFrame, runs: DataFrame | None, rules: list[Rule]) ->
 
 
 class Stages:
-    """The shared stages of one run over the threshold rules."""
+    """The shared stages of one run over the threshold rules.
+
+    ``carried``: what is left of the windows of earlier events, as ``rule, ip, at, item, n``. ``at`` is the edge at which ``n``
+    events came, or, with an item, at which it was last seen; the latest edge of each key is among the rows. They count like
+    groups before all chunks but are not among the events that the stages return.
+    """
 
-    def __init__(self, events: DataFrame, rules: list[Rule], order: str, chunk_bits: int) -> None:
+    def __init__(
+        self,
+        events: DataFrame,
+        rules: list[Rule],
+        order: str,
+        chunk_bits: int,
+        *,
+        carried: DataFrame | None = None,
+        keep: Callable[[DataFrame, str], DataFrame] = materialise,
+    ) -> None:
         self.rules = _threshold_rules(rules)
-        self.placed = _placed(events, order, chunk_bits)
-        self.sizes = _sizes(self.placed, order)
+        self.placed = _placed(events, order, chunk_bits, keep)
+        if carried is not None:
+            carried = carried.join(self.placed.select(*KEY).distinct(), KEY, "left_semi")
+        self.sizes = _sizes(self.placed, order, carried)
         counts_values = any(r.distinct_by for r in self.rules)
-        self.runs = _value_runs(self.placed, self.sizes, self.rules) if counts_values else None
+        self.runs = _value_runs(self.placed, self.sizes, self.rules, carried, keep) if counts_values else None
         self.groups = _groups(self.sizes, self.runs, self.rules)
         self.rule_id = f"{per_rule([r.id for r in self.rules])} AS rule_id"
 

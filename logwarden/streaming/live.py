@@ -15,12 +15,25 @@ from logwarden.operators.entries import entries_of, parse_lines
 from logwarden.plans.analyze import Analysis, analyze_parsed
 from logwarden.plans.rules import SHIPPED_RULES, build_rules
 from logwarden.sources.catalogue import detect_format
-from logwarden.streaming.alerts import ALERTS, HIT_COUNTS, WINDOWS, stream_signatures, stream_thresholds
+from logwarden.operators.threshold import matched_events
+from logwarden.streaming.alerts import (
+    ALERTS,
+    HIT_COUNTS,
+    WINDOWS,
+    fold_counts,
+    fold_windows,
+    live_hits,
+    signature_rules,
+    stream_signatures,
+    stream_thresholds,
+)
 from logwarden.streaming.follow import TAILS, arrival_order, assemble_partial_lines, follow_chunks
+from logwarden.streaming.state import KeyedLog
 
 
-# The place of the newest line so far: places count lines, whatever the number of batches.
-PLACES = "last BIGINT"
+# The place of the newest line so far (places count lines, whatever the number of batches), and the latest stamp in microseconds.
+PLACES = "last BIGINT, newest BIGINT"
+LATE = "source STRING, late BIGINT"
 # Sources that came while the run was going, with the format of their first lines, if that is known yet.
 JOINED = "source STRING, source_idx INT, format STRING"
 
@@ -30,7 +43,13 @@ class LiveRun:
 
     Each batch writes its own folder of each table and reads what the batch before left, so a
     batch that is run again after a failure replaces its own rows and nothing is counted
-    twice.
+    twice. Hit counts and windows are kept by key (``KeyedLog``): a batch reads and writes the
+    buckets of its own keys.
+
+    ``expire_after`` (seconds of event time) bounds them in long runs. It is off by default: no row is late and no address is
+    forgotten. With it, entries older than the latest stamp of the batches before less ``expire_after`` raise no alert and
+    are counted in the table ``late``, and what is left of addresses that were idle for longer is dropped. ``parsed``
+    and the final report have every line either way.
     """
 
     def __init__(
@@ -43,6 +62,9 @@ class LiveRun:
         reference_time: datetime | None = None,
         default_year: int | None = None,
         tz: timezone = timezone.utc,
+        expire_after: float | None = None,
+        state_buckets: int = 64,
+        fold_after: int = 8,
     ) -> None:
         self.spark = spark
         self.run_dir = run_dir.rstrip("/")
@@ -52,6 +74,11 @@ class LiveRun:
         self.reference_time = reference_time if reference_time is not None else datetime.now(timezone.utc)
         self.default_year = default_year
         self.tz = tz
+        if expire_after is not None and expire_after < 0:
+            raise ValueError(f"expire_after must not be negative, got {expire_after!r}")
+        self.expire_us = None if expire_after is None else round(expire_after * 1_000_000)
+        self.counts = KeyedLog(self, "counts", HIT_COUNTS, buckets=state_buckets, fold_after=fold_after)
+        self.windows = KeyedLog(self, "windows", WINDOWS, buckets=state_buckets, fold_after=fold_after)
 
     def _path(self, table: str, batch_id: int) -> str:
         return f"{self.run_dir}/{table}/batch={batch_id}"
@@ -65,11 +92,22 @@ class LiveRun:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self._path(table, batch_id - 1))
 
+    def _file_system(self, path: str) -> tuple[Any, Any]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+
+    def _exists(self, path: str) -> bool:
+        files, at = self._file_system(path)
+        return files.exists(at)
+
+    def _delete(self, path: str) -> None:
+        files, at = self._file_system(path)
+        files.delete(at, True)
+
     def _forget(self, table: str, batch_id: int) -> None:
         """Drop state that no batch can ask for again."""
         if batch_id >= 2:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table, batch_id - 2))
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            self._delete(self._path(table, batch_id - 2))
 
     def on_batch(self, chunks: DataFrame, batch_id: int) -> None:
         """Lines, entries and alerts of one batch of chunks."""
@@ -81,29 +119,50 @@ class LiveRun:
 
     def on_lines(self, lines: DataFrame, batch_id: int) -> None:
         """Entries and alerts of one batch of complete lines."""
-        base = self._left_by("places", PLACES, batch_id).agg(F.max("last")).first()[0] or 0
+        base, newest = self._left_by("places", PLACES, batch_id).agg(F.max("last"), F.max("newest")).first()
+        base = base or 0
         placed = arrival_order(lines, self._sources_of(lines, batch_id), base)
         parsed = parse_lines(placed, reference_time=self.reference_time, default_year=self.default_year, tz=self.tz)
         parsed = self._write(parsed, "parsed", batch_id)
         entries = entries_of(parsed)
-        places = parsed.agg(F.max("pos").alias("last")).select(F.coalesce("last", F.lit(base)).alias("last"))
-        self._write(places, "places", batch_id)
-        alerts = []
-        if any(r.type == "signature" for r in self.rules):
-            found, counts = stream_signatures(entries, self.rules, self._left_by("hits", HIT_COUNTS, batch_id))
-            self._write(counts, "hits", batch_id)
-            alerts.append(found)
-        if any(r.type == "threshold" for r in self.rules):
-            found, windows = stream_thresholds(
-                entries, self.rules, self._left_by("windows", WINDOWS, batch_id), base
-            )
-            self._write(windows, "windows", batch_id)
-            alerts.append(found)
+        seen = parsed.agg(F.max("pos").alias("last"), F.max(F.when(F.col("kind").isin("web", "auth"), F.unix_micros("ts"))).alias("newest"))
+        old = F.lit(newest).cast("long")
+        self._write(seen.select(F.coalesce("last", F.lit(base)).alias("last"), F.greatest("newest", old).alias("newest")), "places", batch_id)
+        oldest = None
+        if self.expire_us is not None and newest is not None:
+            oldest = newest - self.expire_us
+            late = F.unix_micros("ts") < oldest
+            self._write(entries.where(late).groupBy("source").agg(F.count("*").alias("late")), "late", batch_id)
+            entries = entries.where(~late)
+        alerts = [f(entries, batch_id, oldest) for f in (self._signature_alerts, self._threshold_alerts)]
+        alerts = [a for a in alerts if a is not None]
         if alerts:
             both = alerts[0] if len(alerts) == 1 else alerts[0].unionByName(alerts[1])
             self._write(both.withColumn("seen_at", F.current_timestamp()), "alerts", batch_id)
-        for table in ("hits", "windows", "places", "joined"):
+        for table in ("places", "joined", "hits", "matched", "runs"):
             self._forget(table, batch_id)
+        for log in (self.counts, self.windows):
+            log.forget(batch_id)
+
+    def _signature_alerts(self, entries: DataFrame, batch_id: int, oldest: int | None) -> DataFrame | None:
+        if not signature_rules(self.rules):
+            return None
+        hits = self._write(live_hits(entries, self.rules), "hits", batch_id)
+        touched = self.counts.buckets_of(hits)
+        alerts, more = stream_signatures(hits, self.rules, self.counts.read(batch_id, touched))
+        self.counts.append(more, batch_id, touched, lambda rows: fold_counts(rows, oldest), sweep=oldest is not None)
+        return alerts
+
+    def _threshold_alerts(self, entries: DataFrame, batch_id: int, oldest: int | None) -> DataFrame | None:
+        if not any(r.type == "threshold" for r in self.rules):
+            return None
+        events = self._write(matched_events(entries, self.rules), "events", batch_id)
+        touched = self.windows.buckets_of(events)
+        keep = lambda rows, name: self._write(rows, name, batch_id)
+        alerts, more = stream_thresholds(events, self.rules, self.windows.read(batch_id, touched), keep=keep)
+        self.windows.append(more, batch_id, touched, lambda rows: fold_windows(rows, self.rules, oldest), sweep=oldest is not None)
+        self._forget("events", batch_id)
+        return alerts
 
     def _sources_of(self, lines: DataFrame, batch_id: int) -> DataFrame:
         """``sources`` and those that came later.
@@ -157,6 +216,14 @@ class LiveRun:
         except AnalysisException:  # no batch has written yet, or no rule alerts
             return self.spark.createDataFrame([], schema)
 
+    def late_rows(self) -> DataFrame:
+        """Entries that came too late to raise an alert, by source; none unless ``expire_after`` is set."""
+        try:
+            rows = self.spark.read.schema(LATE).parquet(f"{self.run_dir}/late/batch=*")
+        except AnalysisException:
+            rows = self.spark.createDataFrame([], LATE)
+        return rows.groupBy("source").agg(F.sum("late").alias("late"))
+
     def finalize(self, **options: Any) -> Analysis:  # noqa: ANN401 (passed on)
         """The report a run over the same lines gives; incidents exist only here."""
         return analyze_parsed(self.table("parsed"), self.rules, **options)

@@ -7,6 +7,7 @@ from logwarden.operators.entries import entries_of, parse_lines
 from logwarden.operators.threshold import threshold_findings
 from logwarden.plans.analyze import analyze_parsed
 from logwarden.plans.rules import build_rules
+from logwarden.streaming.alerts import fold_counts
 from logwarden.streaming.follow import TAILS, assemble_partial_lines
 from logwarden.streaming.live import LiveRun
 
@@ -138,3 +139,85 @@ def test_a_source_that_joins_later_loses_no_line(spark, tmp_path):
     assert sorted(r.pos for r in rows) == list(range(1, 11))
     assert {r.source: r.source_idx for r in rows} == {"web": 0, "junk": 1, "late": 2, "slow": 3}
     assert {r.source for r in run.finalize().parse_errors.collect()} == {"junk", "late"}
+
+
+def batches_of(spark, run, seed, size, number, sources=("auth", "web")):
+    """Lines of ``make_lines`` dealt over batches, given to the run one after another."""
+    lines = make_lines(seed, size)
+    for batch in range(number):
+        rows = [(s, n + 1, v) for s in sources for n, v in enumerate(lines[s]) if n * number // len(lines[s]) == batch]
+        run.on_lines(spark.createDataFrame(rows, "source STRING, line_no BIGINT, value STRING").repartition(2), batch)
+
+
+def test_keyed_state_gives_the_alerts_of_a_whole_run(spark, tmp_path):
+    sources = spark.createDataFrame([("web", 0, "web"), ("auth", 1, "auth")], SOURCES)
+    run = LiveRun(spark, str(tmp_path / "run"), sources, SPECS, default_year=2024, state_buckets=2, fold_after=2)
+    batches_of(spark, run, 11, 300, 6)
+    parsed = run.table("parsed").cache()
+    bursts = threshold_findings(entries_of(parsed), build_rules(SPECS)).collect()
+    alerts = run.live_alerts().collect()
+    assert sorted((r.rule_id, r.source_ip, r.pos) for r in alerts if r.rule_id != "sig") == sorted(
+        (r.rule_id, r.source_ip, r.emit_pos) for r in bursts)
+    assert len({r.rule_id for r in bursts}) == 2 and run.late_rows().count() == 0
+    found = [(r.source_ip, r.emit_pos) for r in run.finalize().findings.collect() if r.rule_id == "sig"]
+    assert sorted(found) == sorted((r.source_ip, r.pos) for r in alerts if r.rule_id == "sig")
+
+
+def test_a_batch_that_is_run_again_counts_once(spark, tmp_path):
+    sources = spark.createDataFrame([("web", 0, "web"), ("auth", 1, "auth")], SOURCES)
+    run = LiveRun(spark, str(tmp_path / "run"), sources, SPECS[2:], default_year=2024, state_buckets=2, fold_after=1)
+    lines = make_lines(12, 60)["web"] + ['10.0.0.1 - - [05/Jan/2024:00:00:00 +0000] "GET /etc/passwd HTTP/1.1" 200 1'] * 4
+    for batch in range(3):
+        rows = [("web", n + 1, v) for n, v in enumerate(lines) if n % 3 == batch]
+        frame = spark.createDataFrame(rows, "source STRING, line_no BIGINT, value STRING")
+        for _ in range(1 + (batch > 1)):
+            run.on_lines(frame, batch)
+    counts = fold_counts(run.counts.read(3, {0, 1})).groupBy().agg(F.sum("hits")).first()[0]
+    assert counts == sum("etc/passwd" in v for v in lines)
+
+
+def test_what_a_batch_writes_follows_the_batch(spark, tmp_path):
+    """Fifty batches of new keys: the last ones write no more than the first, but for the buckets they fold."""
+    run = LiveRun(spark, str(tmp_path / "run"), spark.createDataFrame([], SOURCES), [], state_buckets=8, fold_after=12)
+    written, folded = [], 0
+    for batch in range(50):
+        rows = spark.createDataFrame([(0, f"10.{batch}.0.{i}", 1, batch) for i in range(3)], "rule INT, ip STRING, hits BIGINT, at BIGINT")
+        run.counts.append(rows, batch, run.counts.buckets_of(rows), fold_counts)
+        run.counts.forget(batch)
+        written.append(spark.read.parquet(str(tmp_path / "run" / "counts" / f"batch={batch}")).count())
+        folded += written[-1] > 3
+    assert len(written) == 50 and sum(n == 3 for n in written) == 50 - folded and 0 < folded <= 16
+    left = run.counts.read(50, set(range(8)))
+    assert left.count() == left.distinct().count() == 150
+    kept = {p.parent.parent.name for p in (tmp_path / "run" / "counts").rglob("*.parquet")}
+    assert len(list((tmp_path / "run" / "counts_pieces").iterdir())) == 2 and len(kept) < 50
+
+
+def test_expiry_drops_idle_addresses_and_counts_late_rows(spark, tmp_path):
+    sources = spark.createDataFrame([("web", 0, "web")], SOURCES)
+    line = '{} - - [05/Jan/2024:00:{:02d}:00 +0000] "GET /etc/passwd HTTP/1.1" 404 1'
+    specs = [SPECS[2], {"id": "scan", "type": "threshold", "params": {"match": "web_404", "threshold": 3, "window_seconds": 90}}]
+
+    def lines_of(batch):
+        return [line.format(f"10.0.0.{batch}", batch)] + ([line.format("10.9.9.9", 0)] if batch in (4, 5, 6) else [])
+
+    def all_of(name, expire_after):
+        run = LiveRun(spark, str(tmp_path / name), sources, specs, default_year=2024, state_buckets=2, fold_after=4, expire_after=expire_after)
+        at = 0
+        for batch in range(9):
+            values = lines_of(batch)
+            run.on_lines(spark.createDataFrame([("web", at + i + 1, v) for i, v in enumerate(values)], "source STRING, line_no BIGINT, value STRING"), batch)
+            at += len(values)
+        return run
+
+    bounded, whole = all_of("bounded", 120), all_of("whole", None)
+    assert {r["source_ip"] for r in whole.live_alerts().collect()} == {"10.9.9.9"}
+    assert bounded.live_alerts().count() == 0 and [tuple(r) for r in bounded.late_rows().collect()] == [("web", 3)]
+    keys = lambda run, log: {r["ip"] for r in log.read(9, {0, 1}).collect()}
+    assert len(keys(whole, whole.counts)) == 10
+    # a bucket is folded every second batch: what was idle for longer than that, the window and the two minutes is gone
+    for log in (bounded.counts, bounded.windows):
+        assert keys(bounded, log) <= {f"10.0.0.{b}" for b in range(3, 9)}
+    assert bounded.table("parsed").count() == whole.table("parsed").count() == 12
+    with pytest.raises(ValueError):
+        LiveRun(spark, str(tmp_path / "x"), sources, specs, expire_after=-1)
