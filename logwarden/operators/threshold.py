@@ -16,6 +16,11 @@ whole history of a key in one task:
 * everything else works on one row per group, i.e. per (rule, ip, chunk, here). Log stamps
   have whole seconds, so a key has at most one such row per second and chunk, however hot it
   is, and the edge of a group is the latest ``here`` of the key up to it.
+
+A key that is in very many chunks in the same seconds still has many groups, so they are not ordered as one either. The
+scan has two levels: the groups of a key and edge are added up, sums run over the edges of a key, and only
+the groups of one edge are ordered among themselves. Within an edge nothing leaves the window, so the count never
+falls: whether an edge is hot at its first and last event tells which of its groups opens a burst.
 """
 
 from __future__ import annotations
@@ -44,6 +49,8 @@ CARRIED = "-1L"
 
 BY_KEY = "PARTITION BY rule, ip"
 BY_GROUP = "PARTITION BY rule, ip, chunk, here"
+AT_EDGE = "PARTITION BY rule, ip, edge ORDER BY chunk, here"
+BEFORE_AT_EDGE = f"{AT_EDGE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
 def _threshold_rules(rules: list[Rule]) -> list[Rule]:
@@ -87,30 +94,33 @@ def _sizes(placed: DataFrame, order: str, carried: DataFrame | None) -> DataFram
     if carried is not None:
         earlier = carried.groupBy(*KEY, "at").agg(F.sum("n").alias("n"))
         sizes = sizes.unionByName(earlier.selectExpr(*KEY, f"{CARRIED} AS chunk", "at AS here", "n", f"{CARRIED} AS first_pos"))
-    latest = f"max(here) OVER ({BY_KEY} ORDER BY chunk, here ROWS UNBOUNDED PRECEDING)"
-    return sizes.selectExpr("*", f"{latest if order == 'arrival' else 'here'} AS edge")
+    if order == "event_time":
+        return sizes.selectExpr("*", "here AS edge")
+    # ``here`` is the latest stamp of its own chunk already, so only the chunks before count beside it
+    tops = sizes.groupBy(*CHUNK).agg(F.max("here").alias("top"))
+    before = f"max(top) OVER ({BY_KEY} ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top_before"
+    edges = sizes.join(tops.selectExpr(*CHUNK, before), CHUNK)
+    return edges.selectExpr(*GROUP, "n", "first_pos", "greatest(here, top_before) AS edge")
 
 
 def _value_runs(
     placed: DataFrame, sizes: DataFrame, rules: list[Rule], carried: DataFrame | None, keep: Callable[[DataFrame, str], DataFrame]
 ) -> DataFrame:
     """First sighting of a value in each group, with whether it starts and ends a run of that value."""
-    by_value = f"{BY_KEY}, item ORDER BY edge, pos"
+    by_value = f"{BY_KEY}, item ORDER BY edge"
     window_us = per_rule([r.window_us for r in rules])
     seen = placed.where("item IS NOT NULL").groupBy(*GROUP, "item").agg(F.min("pos").alias("pos"))
     if carried is not None:
         earlier = carried.where("item IS NOT NULL")
         seen = seen.unionByName(earlier.selectExpr(*KEY, f"{CARRIED} AS chunk", "at AS here", "item", f"{CARRIED} AS pos"))
-    runs = (
-        seen.join(sizes.select(*GROUP, "edge"), GROUP)
-        .selectExpr(
-            *GROUP,
-            "pos",
-            f"coalesce(lag(edge) OVER ({by_value}) < edge - {window_us}, true) AS starts",
-            f"coalesce(lead(edge) OVER ({by_value}) > edge + {window_us}, true) AS ends",
-        )
-        .where("starts OR ends")
-    )
+    # later sightings at an edge neither start a run nor are needed to end it
+    first = seen.join(sizes.select(*GROUP, "edge"), GROUP).groupBy(*KEY, "item", "edge").agg(F.expr("min(struct(pos, chunk, here)) AS first"))
+    runs = first.selectExpr(
+        *KEY,
+        "first.*",
+        f"coalesce(lag(edge) OVER ({by_value}) < edge - {window_us}, true) AS starts",
+        f"coalesce(lead(edge) OVER ({by_value}) > edge + {window_us}, true) AS ends",
+    ).where("starts OR ends")
     return keep(runs, "runs")
 
 
@@ -139,26 +149,67 @@ def _groups(sizes: DataFrame, runs: DataFrame | None, rules: list[Rule]) -> Data
             f"if({distinct}, value_first, first_pos) AS first_start",
         )
 
-    # Two moments per group: when it arrives, and when it has left the window.
-    arrives = "edge AS at, 0 AS leaving, starts AS starts, 0L AS ends, cast(NULL AS BIGINT) AS front"
-    leaves_at = f"edge + {per_rule([r.window_us for r in rules])}"
-    leaves = f"{leaves_at} AS at, 1 AS leaving, 0L AS starts, ends AS ends, next_edge AS front"
-    fixed = [*GROUP, "n", "first_pos", "edge", "first_start"]
-    moments = counted.selectExpr(
-        "*", f"lead(edge) OVER ({BY_KEY} ORDER BY edge, chunk, here) AS next_edge"
-    ).selectExpr(*fixed, f"inline(array(struct({arrives}), struct({leaves})))")
-    before = f"{BY_KEY} ORDER BY at, leaving, chunk, here ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    added = ["sum(n) AS n", "sum(starts) AS starts", "sum(ends) AS ends"]
+    first = "min_by(coalesce(first_start = first_pos, false), struct(chunk, here)) AS first_starts"
+    edges = _edges(counted.groupBy(*KEY, "edge").agg(*[F.expr(a) for a in [*added, first]]), rules)
+    return counted.join(edges, [*KEY, "edge"]).selectExpr(
+        *GROUP,
+        "n",
+        "first_pos",
+        "first_start",
+        "edge",
+        "starts",
+        f"edge_starts_before + coalesce(sum(starts) OVER ({BEFORE_AT_EDGE}), 0L) AS starts_before",
+        "ended",
+        "front",
+        "burst",
+        "edge_hot_before",
+        "hot_till_edge",
+    )
+
+
+def _edges(edges: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Sums over the edges of a key: what started before each, what had ended, and the bursts."""
+    window_us, limit = per_rule([r.window_us for r in rules]), per_rule([r.threshold for r in rules])
+    in_order = f"{BY_KEY} ORDER BY edge"
+    # Two moments per edge: when it comes, and when it has left the window.
+    comes = "edge AS at, 0 AS leaving, starts AS in, 0L AS out, cast(NULL AS BIGINT) AS front"
+    leaves = f"edge + {window_us} AS at, 1 AS leaving, 0L AS in, ends AS out, next_edge AS front"
+    fixed = [*KEY, "edge", "n", "starts", "first_starts"]
+    moments = edges.selectExpr("*", f"lead(edge) OVER ({in_order}) AS next_edge").selectExpr(
+        *fixed, f"inline(array(struct({comes}), struct({leaves})))"
+    )
+    before = f"{BY_KEY} ORDER BY at, leaving ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    earlier = f"{BY_KEY}, burst ORDER BY edge ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     return (
         moments.selectExpr(
             *fixed,
             "leaving",
-            "starts",
-            f"coalesce(sum(starts) OVER ({before}), 0L) AS starts_before",
-            f"coalesce(sum(ends) OVER ({before}), 0L) AS ended",
+            f"coalesce(sum(in) OVER ({before}), 0L) AS edge_starts_before",
+            f"coalesce(sum(out) OVER ({before}), 0L) AS ended",
             f"coalesce(max(front) OVER ({before}), min(edge) OVER ({BY_KEY})) AS front",
         )
         .where("leaving = 0")
-        .drop("leaving")
+        .selectExpr(
+            "*",
+            f"edge_starts_before - ended + if(first_starts, 1, 0) >= {limit} AS hot_first",
+            f"edge_starts_before - ended + starts >= {limit} AS hot_last",
+        )
+        .selectExpr("*", f"lag(hot_last, 1, false) OVER ({in_order}) AS hot_till_edge")
+        .selectExpr(
+            "*",
+            f"sum(if(hot_last AND NOT (hot_first AND hot_till_edge), 1L, 0L)) OVER ({in_order} ROWS UNBOUNDED PRECEDING) AS burst",
+        )
+        .selectExpr(
+            *KEY,
+            "edge",
+            "edge_starts_before",
+            "ended",
+            "front",
+            "burst",
+            "hot_till_edge",
+            f"coalesce(sum(if(hot_first, n, 0L)) OVER ({earlier}), 0L) AS edge_hot_before",
+        )
     )
 
 
@@ -166,11 +217,10 @@ def _bursts(groups: DataFrame, rules: list[Rule]) -> DataFrame:
     """Groups with at least one hot event, numbered by burst.
 
     Inside a group the count never falls, so its hot events are those from its ``need``-th run
-    start on.
+    start on. ``hot_before`` counts earlier hot events of the burst, but for those of the edge that opened it before
+    the count was full for a whole group.
     """
-    in_order = "ORDER BY edge, chunk, here"
     limit = per_rule([r.threshold for r in rules])
-    earlier = f"{BY_KEY}, burst {in_order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     return (
         groups.selectExpr("*", "starts_before - ended AS base", f"{limit} AS limit")
         .selectExpr(
@@ -179,22 +229,20 @@ def _bursts(groups: DataFrame, rules: list[Rule]) -> DataFrame:
             "base + if(first_start = first_pos, 1, 0) >= limit AS hot_first",
             "base + starts >= limit AS hot_last",
         )
-        .selectExpr(
-            "*", f"hot_last AND NOT (hot_first AND lag(hot_last, 1, false) OVER ({BY_KEY} {in_order})) AS opens"
-        )
-        .selectExpr("*", f"sum(cast(opens AS BIGINT)) OVER ({BY_KEY} {in_order} ROWS UNBOUNDED PRECEDING) AS burst")
-        .where("hot_last")
         .selectExpr(
             *GROUP,
             "edge",
             "burst",
             "front",
             "count",
-            "opens",
+            f"hot_last AND NOT (hot_first AND coalesce(lag(hot_last) OVER ({AT_EDGE}), hot_till_edge)) AS opens",
             "base",
             "limit - base AS need",
-            f"coalesce(sum(if(hot_first, n, 0L)) OVER ({earlier}), 0L) AS hot_before",
+            f"edge_hot_before + coalesce(sum(if(hot_first, n, 0L)) OVER ({BEFORE_AT_EDGE}), 0L) AS hot_before",
+            "hot_last",
         )
+        .where("hot_last")
+        .drop("hot_last")
     )
 
 
@@ -282,7 +330,7 @@ def threshold_findings(
     """One finding per burst.
 
     A burst's rows meet only in a hash aggregate with a map-side half. Its first events are
-    known by their rank, so at most ``2 * max_evidence`` positions are listed per burst, and
+    known by their rank, so at most ``3 * max_evidence`` positions are listed per burst, and
     the lines themselves are fetched for those positions alone.
     """
     stages = Stages(matched_events(entries, rules), rules, order, chunk_bits)
