@@ -606,6 +606,10 @@ ORACLES: dict[str, str] = {
               ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS after_it
           FROM ({DUCK_RUN}))
         WHERE after_it >= 9""",
+    "assemble_all_lines": f"""
+        SELECT source, row_number() OVER (PARTITION BY source ORDER BY line_no) AS line_no, md5(value) AS value_md5,
+          line_no = max(line_no) OVER (PARTITION BY source) AS held
+        FROM ({DUCK_RUN})""",
     "stream_parse": f"""{RUN}
         SELECT kind, source, line_no, ts, source_ip, NULL AS reason FROM entries
         UNION ALL SELECT 'error', source, line_no, NULL, NULL, reason FROM errors WHERE reason <> 'bad timestamp'
@@ -619,6 +623,9 @@ ORACLES: dict[str, str] = {
         SELECT rule_id, ip AS source_ip, ts, count, source FROM burst_rows WHERE nth = 1""",
     "live_alerts": f"""{_found(RUN_SPECS, LIVE)}
         SELECT rule_id, title, severity_name, count(*) AS alerts FROM found GROUP BY ALL""",
+    "live_alert_rows": f"""{_found(RUN_SPECS, LIVE)}
+        SELECT rule_id, source_ip, ts, nth AS count, source FROM numbered WHERE nth = min_hits
+        UNION ALL SELECT rule_id, ip, ts, count, source FROM burst_rows WHERE nth = 1""",
     "finalize_stream": found(RUN_SPECS, "rule_id, source_ip, first_seen, last_seen, count, sources", LIVE),
     "late_data": f"""{LIVE}
         SELECT source, count(*) AS entries, count(*) FILTER (late) AS late_entries FROM (
@@ -629,6 +636,13 @@ ORACLES: dict[str, str] = {
     "register_rule": f"""{RUN}
         SELECT 'big_transfer' AS rule_id, 'Big Transfer' AS title, source_ip, 40 AS severity, sum(size)::BIGINT AS count
         FROM entries WHERE kind = 'web' GROUP BY source_ip HAVING sum(size) > {BIG["params"]["limit"]}""",
+    "live_rule": f"""{LIVE}
+        SELECT 'big_transfer' AS rule_id, source_ip, 1::BIGINT AS alerts, sum(size)::BIGINT AS total
+        FROM entries WHERE kind = 'web' GROUP BY source_ip HAVING sum(size) > {BIG["params"]["limit"]}""",
+    "rule_failures": f"""{RUN}
+        SELECT 'broken' AS rule_id, 'broken' AS type,
+          (SELECT count(*) FROM (SELECT source_ip FROM entries WHERE kind = 'web' GROUP BY source_ip HAVING sum(size) > {BIG["params"]["limit"]})) AS findings,
+          (SELECT count(*) FROM lines) AS lines_read""",
     "rule_isolation": f"""{_found([SHIPPED["sql_injection"]])}
         SELECT rule_id, count(*) AS findings, sum(count)::BIGINT AS total FROM found GROUP BY rule_id
         UNION ALL SELECT 'big_transfer', count(*), sum(total)::BIGINT FROM (

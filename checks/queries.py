@@ -577,6 +577,22 @@ def x2_assemble_partial_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("source", "line_no", F.md5("value").alias("value_md5"))
 
 
+def x2_assemble_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every source, from chunks that end in the middle of lines; the last line has no line end and is held as the tail."""
+    closing = "if(nth = max(nth) OVER (PARTITION BY source), text, concat(text, '\n'))"
+    lines = run_lines(spark, sf_dir).selectExpr("source", "line_no", "value", "(line_no - 1) div 200 AS nth")
+    text = "array_join(transform(array_sort(collect_list(struct(line_no, value))), x -> x.value), '\n')"
+    whole = lines.groupBy("source", "nth").agg(F.expr(f"{text} AS text")).selectExpr("source", "nth", f"{closing} AS text")
+    # each chunk but the last lends its end to the next
+    lent = whole.selectExpr("source", "nth", "text", "lead(nth) OVER (PARTITION BY source ORDER BY nth) IS NULL AS last", "lag(right(text, 9)) OVER (PARTITION BY source ORDER BY nth) AS given")
+    chunks = lent.selectExpr(
+        "source", "lpad(cast(nth AS STRING), 8, '0') AS chunk", "concat(coalesce(given, ''), if(last, text, left(text, length(text) - 9))) AS text"
+    )
+    done, tails = assemble_partial_lines(chunks, spark.createDataFrame([], TAILS))
+    held = tails.selectExpr("source", "lines + 1 AS line_no", "tail AS value", "true AS held")
+    return done.selectExpr("source", "line_no", "value", "false AS held").unionByName(held).select("source", "line_no", F.md5("value").alias("value_md5"), "held")
+
+
 def x3_stream_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = _live(spark, sf_dir, []).table("parsed")
     return parsed.selectExpr("kind", *PLACE, "unix_seconds(ts) AS ts", "source_ip", "reason")
@@ -600,6 +616,10 @@ def x6_live_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.agg(F.count("*").alias("alerts"))
 
 
+def x6_live_alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _live(spark, sf_dir, RUN_SPECS).live_alerts().where("seen_at > ts").selectExpr(*ALERT_VIEW)
+
+
 def x7_finalize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = _live(spark, sf_dir, RUN_SPECS).finalize(window_minutes=WINDOW_MINUTES)
     return report.findings.selectExpr(
@@ -658,6 +678,48 @@ def u3_register_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_findings(spark, sf_dir, [BIG]).selectExpr("rule_id", "title", "source_ip", "severity", "count")
 
 
+class BigTransferLive:
+    """The detector ``big_transfer`` batch by batch: the bytes so far are its state, and the entry that passes the limit alerts."""
+
+    state = "total BIGINT"
+
+    def update(self, entries: DataFrame, rule: R.Rule, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sent = entries.where("kind = 'web' AND size > 0").selectExpr("coalesce(source_ip, '') AS ip", "ts", "source", "pos", "size")
+        so_far = sent.selectExpr("*", "sum(size) OVER (PARTITION BY ip ORDER BY pos ROWS UNBOUNDED PRECEDING) AS own")
+        known = so_far.join(self.fold(state), "ip", "left").selectExpr("*", "own + coalesce(total, 0L) AS count")
+        limit = rule.extra["limit"]
+        return known.where(f"count > {limit} AND count - size <= {limit}").drop("total"), sent.groupBy("ip").agg(F.sum("size").alias("total"))
+
+    def fold(self, state: DataFrame) -> DataFrame:
+        return state.groupBy("ip").agg(F.sum("total").alias("total"))
+
+
+def u3_live_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own rule type in a live run; the addresses it alerts on are those of the whole run's findings."""
+    R.register_rule("big_transfer")(_big_transfer)
+    R.register_live_rule("big_transfer", BigTransferLive())
+    run = _live(spark, sf_dir, [BIG])
+    found = run.finalize(window_minutes=WINDOW_MINUTES).findings
+    alerts = run.live_alerts().groupBy("rule_id", "source_ip").agg(F.count("*").alias("alerts"))
+    both = found.selectExpr("rule_id", "source_ip", "0L AS alerts", "count AS total").unionByName(alerts.selectExpr("*", "0L AS total"))
+    return both.groupBy("rule_id", "source_ip").agg(F.sum("alerts").alias("alerts"), F.sum("total").alias("total"))
+
+
+def u4_rule_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failed rule is named in a table of the run."""
+    R.register_rule("big_transfer")(_big_transfer)
+    R.register_rule("broken")(_broken)
+    parsed = materialise(parsed_run(spark, sf_dir), "parsed", ["kind"])
+    logger = logging.getLogger("logwarden")
+    level = logger.level
+    logger.setLevel(logging.ERROR)
+    try:
+        result = analyze_parsed(parsed, R.build_rules([{"id": "broken", "type": "broken"}, BIG], spark))
+    finally:
+        logger.setLevel(level)
+    return result.rule_failures.join(result.totals.select("findings", "lines_read")).selectExpr("rule_id", "type", "findings", "lines_read")
+
+
 def u4_rule_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule that fails while it runs, between two that do not."""
     R.register_rule("big_transfer")(_big_transfer)
@@ -745,14 +807,18 @@ QUERIES: dict[str, Query] = {
     "analyze_files": r8_analyze_files,
     "follow_lines": x1_follow_lines,
     "assemble_partial_lines": x2_assemble_partial_lines,
+    "assemble_all_lines": x2_assemble_all_lines,
     "stream_parse": x3_stream_parse,
     "stream_signatures": x4_stream_signatures,
     "stream_thresholds": x5_stream_thresholds,
     "live_alerts": x6_live_alerts,
+    "live_alert_rows": x6_live_alert_rows,
     "finalize_stream": x7_finalize_stream,
     "late_data": x8_late_data,
     "rule_catalogue": u1_rule_catalogue,
     "rule_violations": u2_rule_violations,
     "register_rule": u3_register_rule,
+    "live_rule": u3_live_rule,
+    "rule_failures": u4_rule_failures,
     "rule_isolation": u4_rule_isolation,
 }

@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 COUNTERS = ["lines_read", "parsed", "malformed", "skipped_blank"]
 
 
-def source_stats(parsed: DataFrame) -> DataFrame:
-    """Lines read, parsed, malformed and blank per source."""
-    return parsed.groupBy("source").agg(
+def source_stats(parsed: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Lines read, parsed, malformed and blank per source; zeros for those of ``sources`` (source) without a line."""
+    counted = parsed.groupBy("source").agg(
         F.count("*").alias("lines_read"),
         F.count_if(F.col("kind").isin("web", "auth")).alias("parsed"),
         F.count_if(F.col("kind") == "error").alias("malformed"),
         F.count_if(F.col("kind") == "blank").alias("skipped_blank"),
     )
+    if sources is None:
+        return counted
+    none = [F.lit(0).cast("bigint").alias(c) for c in COUNTERS]
+    return counted.unionByName(sources.select("source").distinct().join(counted, "source", "left_anti").select("source", *none))
 
 
 def total_stats(per_source: DataFrame, findings: DataFrame, incidents: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -256,6 +256,31 @@ def register_rule(type_name: str) -> Callable[[Detector], Detector]:
     return keep
 
 
+class LiveDetector(Protocol):
+    """What a live run needs of a user-defined rule type: the findings of a whole run, met batch by batch.
+
+    State is kept by address like that of the built-in rules: a batch reads what earlier batches left of the buckets of its
+    addresses (other addresses are among the rows) and adds rows of its own.
+    """
+
+    #: SQL columns of a state row behind ``rule INT, ip STRING``.
+    state: str
+
+    def update(self, entries: DataFrame, rule: Rule, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Alerts (``ip, ts, count, source, pos``) of a batch of entries, and rows (``ip`` and the state's columns) to add to the state."""
+
+    def fold(self, state: DataFrame) -> DataFrame:
+        """The same state in fewer rows."""
+
+
+LIVE_TYPES: dict[str, LiveDetector] = {}
+
+
+def register_live_rule(type_name: str, detector: LiveDetector) -> None:
+    """Let rules of a registered type alert in live runs too; ``LiveRun.finalize`` uses the type's function for whole runs."""
+    LIVE_TYPES[type_name] = detector
+
+
 def java_pattern(pattern: str, case_sensitive: bool = False) -> str:
     """The pattern with Unicode classes and ``\\n`` as the only line end."""
     return ("(?dU)" if case_sensitive else "(?iudU)") + pattern

@@ -28,7 +28,8 @@ ALERTS = (
 )
 
 
-def _alert(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+def alert_rows(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Alerts with the texts of their rules; ``rule`` is the place in ``rules``."""
     return rows.selectExpr("*", f"{per_rule([r.severity for r in rules])} AS severity").selectExpr(
         f"{per_rule([r.id for r in rules])} AS rule_id",
         f"{per_rule([r.title for r in rules])} AS title",
@@ -60,7 +61,7 @@ def stream_signatures(hits: DataFrame, rules: list[Rule], counts: DataFrame) ->
     needed = [max(r.min_hits, 1) for r in rules]
     known = counts.groupBy(*KEY).agg(F.sum("hits").alias("hits"))
     reached = first_hits(hits, max(needed, default=1)).join(known, KEY, "left").selectExpr("*", "coalesce(hits, 0L) + rank AS count")
-    alerts = _alert(reached.where(f"count = {per_rule(needed)}"), rules)
+    alerts = alert_rows(reached.where(f"count = {per_rule(needed)}"), rules)
     return alerts, hits.groupBy(*KEY).agg(F.count("*").alias("hits"), F.max(F.unix_micros("ts")).alias("at"))
 
 
@@ -88,7 +89,7 @@ def stream_thresholds(
     known = fold_windows(windows, rules)
     stages = Stages(events, rules, "arrival", chunk_bits, carried=known, keep=keep)
     opened = stages.hot_events().where("opens AND rank = 1")
-    alerts = _alert(opened.selectExpr("*", "timestamp_micros(t) AS ts").drop("count").selectExpr(
+    alerts = alert_rows(opened.selectExpr("*", "timestamp_micros(t) AS ts").drop("count").selectExpr(
         "*", "base + so_far AS count"), rules)
     distinct = per_rule([bool(r.distinct_by) for r in rules])
     fresh = stages.sizes.where("chunk >= 0")

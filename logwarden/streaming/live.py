@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import datetime, timezone
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,13 +14,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logwarden.operators.entries import entries_of, parse_lines
 from logwarden.plans.analyze import Analysis, analyze_parsed
-from logwarden.plans.rules import SHIPPED_RULES, build_rules
+from logwarden.plans.rules import LIVE_TYPES, SHIPPED_RULES, build_rules
 from logwarden.sources.catalogue import detect_format
 from logwarden.operators.threshold import matched_events
 from logwarden.streaming.alerts import (
     ALERTS,
     HIT_COUNTS,
     WINDOWS,
+    alert_rows,
     fold_counts,
     fold_windows,
     live_hits,
@@ -79,6 +81,11 @@ class LiveRun:
         self.expire_us = None if expire_after is None else round(expire_after * 1_000_000)
         self.counts = KeyedLog(self, "counts", HIT_COUNTS, buckets=state_buckets, fold_after=fold_after)
         self.windows = KeyedLog(self, "windows", WINDOWS, buckets=state_buckets, fold_after=fold_after)
+        self.custom = [
+            (rule, LIVE_TYPES[rule.type], KeyedLog(self, f"state_{rule.id}", f"rule INT, ip STRING, {LIVE_TYPES[rule.type].state}", buckets=state_buckets, fold_after=fold_after))
+            for rule in self.rules
+            if rule.type in LIVE_TYPES
+        ]
 
     def _path(self, table: str, batch_id: int) -> str:
         return f"{self.run_dir}/{table}/batch={batch_id}"
@@ -135,13 +142,13 @@ class LiveRun:
             self._write(entries.where(late).groupBy("source").agg(F.count("*").alias("late")), "late", batch_id)
             entries = entries.where(~late)
         alerts = [f(entries, batch_id, oldest) for f in (self._signature_alerts, self._threshold_alerts)]
-        alerts = [a for a in alerts if a is not None]
+        alerts = [a for a in alerts if a is not None] + self._custom_alerts(entries, batch_id)
         if alerts:
-            both = alerts[0] if len(alerts) == 1 else alerts[0].unionByName(alerts[1])
+            both = reduce(DataFrame.unionByName, alerts)
             self._write(both.withColumn("seen_at", F.current_timestamp()), "alerts", batch_id)
         for table in ("places", "joined", "hits", "matched", "runs"):
             self._forget(table, batch_id)
-        for log in (self.counts, self.windows):
+        for log in (self.counts, self.windows, *(log for _, _, log in self.custom)):
             log.forget(batch_id)
 
     def _signature_alerts(self, entries: DataFrame, batch_id: int, oldest: int | None) -> DataFrame | None:
@@ -164,6 +171,18 @@ class LiveRun:
         self._forget("events", batch_id)
         return alerts
 
+    def _custom_alerts(self, entries: DataFrame, batch_id: int) -> list[DataFrame]:
+        """Alerts of user-defined types; their states are keyed by address like those of the built-in ones."""
+        found = []
+        for rule, detector, log in self.custom:
+            touched = log.buckets_of(entries.select(F.lit(0).alias("rule"), F.coalesce("source_ip", F.lit("")).alias("ip")))
+            alerts, more = detector.update(entries, rule, log.read(batch_id, touched).drop("rule"))
+            found.append(alert_rows(alerts.withColumn("rule", F.lit(0)), [rule]))
+            fold = lambda rows, detector=detector: detector.fold(rows.drop("rule")).withColumn("rule", F.lit(0))
+            columns = [c.split()[0] for c in log.schema.split(", ")]
+            log.append(more.withColumn("rule", F.lit(0)).select(*columns), batch_id, touched, lambda rows, fold=fold, columns=columns: fold(rows).select(*columns))
+        return found
+
     def _sources_of(self, lines: DataFrame, batch_id: int) -> DataFrame:
         """``sources`` and those that came later.
 
