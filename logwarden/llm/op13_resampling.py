@@ -137,6 +137,11 @@ def crossing_features(text: bytes, buckets: int = BUCKETS) -> tuple[list[bytes],
     return lines, found
 
 
+def packed_as(buckets: int) -> str:
+    """Bytes of a bucket's number in the tables of features."""
+    return "<u2" if buckets <= 1 << 16 else "<u4"
+
+
 class Segments:
     """The different lines of a table and what its rows hold of them."""
 
@@ -147,7 +152,7 @@ class Segments:
         text = F.translate(F.col(text_col).cast("string"), _UPPER, _LOWER)
         seen = docs.select(F.explode(F.split(text, "\n")).alias("line"))
         counted = seen.where(F.col("line").rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")).groupBy("line").agg(F.count("*").alias("times"))
-        #: digest, times, words, n, buckets (two bytes each) of each different line
+        #: digest, times, words, n, buckets of each different line
         self.lines = materialise(counted.mapInArrow(_hash_lines(buckets), "digest binary, times long, words int, n int, buckets binary"), "segment-lines")
         keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
         #: row, doc_id, digests and times of its lines, buckets of crossing pairs
@@ -155,14 +160,14 @@ class Segments:
 
     def counts(self) -> np.ndarray:
         """How often the table has each bucket."""
-        buckets = self.buckets
+        buckets, kind = self.buckets, packed_as(self.buckets)
 
         def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(buckets, np.int64)
             for batch in batches:
                 for packed, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     if packed:
-                        np.add.at(total, np.frombuffer(packed, "<u4"), times)
+                        np.add.at(total, np.frombuffer(packed, kind), times)
             held = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["bucket", "n"])
 
@@ -174,11 +179,11 @@ class Segments:
 
     def sums(self, gains: np.ndarray) -> DataFrame:
         """Per row: row, doc_id, n_words, n_features, total (of the gains of its features)."""
-        shared = self.spark.sparkContext.broadcast(gains)
+        shared, kind = self.spark.sparkContext.broadcast(gains), packed_as(self.buckets)
 
         def gained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                total = [int(shared.value[np.frombuffer(x, "<u4")].sum()) for x in batch.column(0).to_pylist()]
+                total = [int(shared.value[np.frombuffer(x, kind)].sum()) for x in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), *batch.columns[1:]], names=["total", *batch.schema.names[1:]])
 
         lines = self.lines.select("buckets", "digest", "times", "words", "n").mapInArrow(gained, "total long, digest binary, times long, words int, n int")
@@ -188,7 +193,7 @@ class Segments:
         met = join_spread(held, facts, "digest", "times", every)
         of_lines = met.groupBy("row").agg(*[F.sum(F.col(c) * F.col("here")).alias(c) for c in ("words", "n", "total")])
         own = self.rows.select("crossing", "row", "doc_id").mapInArrow(gained, "total long, row long, doc_id long").withColumnRenamed("total", "own")
-        crossed = own.join(self.rows.select("row", (F.length("crossing") / F.lit(4)).cast("long").alias("pairs")), "row").join(of_lines, "row", "left")
+        crossed = own.join(self.rows.select("row", (F.length("crossing") / F.lit(np.dtype(kind).itemsize)).cast("long").alias("pairs")), "row").join(of_lines, "row", "left")
         none = F.lit(0).cast("long")
         return crossed.select(
             "row", "doc_id", F.coalesce("words", none).alias("n_words"), (F.coalesce("n", none) + F.col("pairs")).alias("n_features"), (F.coalesce("total", none) + F.col("own")).alias("total")
@@ -196,6 +201,8 @@ class Segments:
 
 
 def _hash_lines(buckets: int):  # noqa: ANN202
+    kind = packed_as(buckets)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
@@ -205,7 +212,7 @@ def _hash_lines(buckets: int):  # noqa: ANN202
                 for n, found in line_features(texts, buckets):
                     words.append(n)
                     sizes.append(len(found))
-                    packed.append(found.astype("<u4").tobytes())
+                    packed.append(found.astype(kind).tobytes())
                 digests = pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([digests, part.column(1), pa.array(words, pa.int32()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], names=["digest", "times", "words", "n", "buckets"])
 
@@ -213,6 +220,8 @@ def _hash_lines(buckets: int):  # noqa: ANN202
 
 
 def _cut_rows(buckets: int):  # noqa: ANN202
+    kind = packed_as(buckets)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
@@ -226,7 +235,7 @@ def _cut_rows(buckets: int):  # noqa: ANN202
                         held[key] = held.get(key, 0) + 1
                     digests.append(list(held))
                     times.append(list(held.values()))
-                    crossing.append(np.array(found, "<u4").tobytes())
+                    crossing.append(np.array(found, kind).tobytes())
                 columns = [part.column(0), part.column(1), pa.array(digests, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())), pa.array(crossing, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "digests", "times", "crossing"])
 
