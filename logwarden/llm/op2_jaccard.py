@@ -17,8 +17,8 @@ So no link between different texts is lost, and a group of many near copies cost
 of fixed size; everything else stays in tables.
 
 Cases: texts without a word are empty sets, linked with nothing; with fewer words than a shingle has, the whole sequence is one; a null id has n_shingles, no component,
-and links nothing; equal rows are copies of each other; where rows of one id hold different texts, the text with the smallest set (then digest) stands for the id, and another has the
-class of an equal text elsewhere or is alone; an empty table gives no rows.
+and links nothing; equal rows are copies of each other; where rows of one id hold different texts, each is a node and they belong together, so what one of them links to is in the class of all;
+texts may be of any length; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, words: int, percent: int) ->
             for s in shingle_sets(batch.column(1), words):
                 p = prefix(s, shared.value, percent).astype("<u8").tobytes()
                 sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest())
+                digests.append(_digest(s))
                 keys.append(hashlib.blake2b(p, digest_size=16).digest())
                 prefixes.append(p)
             yield pa.RecordBatch.from_arrays(
@@ -226,9 +226,13 @@ def _id_map(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.astype("<u8").tobytes(), digest_size=16).digest()
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of the given nodes: whole texts are read again, and rows that the bitmap excludes are left out before any shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(_id_map(nodes))
+    """(node, shingles) of the given nodes (node, rep, digest): whole texts are read again, and rows that the bitmap excludes are left out before any shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(_id_map(nodes.select(F.col("rep").alias("node"))))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
     keyed = docs.where("doc_id is not null").select("doc_id", "text", F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p"))
 
@@ -238,11 +242,14 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             place = (batch.column(2).to_numpy() - 1) * 32768 + batch.column(3).to_numpy()
             batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7)) & 1 == 1))
             if batch.num_rows:
-                sets = [s.astype("<u8").tobytes() for s in shingle_sets(batch.column(1), words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+                digests, sets = [], []
+                for s in shingle_sets(batch.column(1), words):
+                    digests.append(_digest(s))
+                    sets.append(s.astype("<u8").tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["rep", "digest", "shingles"])
 
-    made = keyed.mapInArrow(make, "node long, shingles binary")
-    return made.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    made = keyed.mapInArrow(make, "rep long, digest binary, shingles binary")
+    return made.join(nodes.select("rep", "digest", "node"), ["rep", "digest"]).select("node", "shingles").dropDuplicates(["node"])
 
 
 def block_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -328,38 +335,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     described = materialise(_prefixes(rows, slot_levels(rows, words), words, percent), "prefixes")
     slim = described.where("n > 0 and doc_id is not null").select("doc_id", "n", "digest", "prefix_key")
-    repeated = not slim.groupBy("doc_id").count().where("count > 1").isEmpty()
-    if repeated:  # one text stands for an id
-        slim = slim.groupBy("doc_id").agg(F.min(F.struct("n", "digest", "prefix_key")).alias("text")).select("doc_id", "text.*")
-    nodes = materialise(slim.groupBy("n", "digest").agg(F.min("doc_id").alias("node"), F.min("prefix_key").alias("prefix_key")), "nodes")
-    groups = nodes.groupBy("n", "prefix_key").agg(F.min("node").alias("gid"), F.count("*").alias("members"))
-    member = materialise(nodes.join(groups, ["n", "prefix_key"]).select("gid", "node", "n", "members"), "members")
+    # numbers once written stay; a text's first id finds it again
+    nodes = slim.groupBy("n", "digest").agg(F.min("doc_id").alias("rep"), F.min("prefix_key").alias("prefix_key"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    groups = nodes.groupBy("n", "prefix_key").agg(F.min(F.struct("node", "rep", "digest")).alias("first"), F.count("*").alias("members"))
+    groups = groups.select("n", "prefix_key", F.col("first.node").alias("gid"), F.col("first.rep").alias("rep"), F.col("first.digest").alias("own"), "members")
+    member = materialise(nodes.join(groups.select("n", "prefix_key", "gid", "members"), ["n", "prefix_key"]).select("gid", "node", "n", "members"), "members")
 
     # one row for each group: that of its first node; the slim side is hashed and the prefixes stream past it
-    first = groups.select("gid", F.col("n").alias("size"), F.col("prefix_key").alias("key")).hint("shuffle_hash")
-    grouped = described.select("doc_id", "n", "prefix", "prefix_key").join(first, F.col("doc_id") == F.col("gid")).where("n = size and prefix_key = key").select("gid", "n", "prefix")
-    if repeated:
+    first = groups.select("gid", "rep", "own").hint("shuffle_hash")
+    grouped = described.join(first, F.col("doc_id") == F.col("rep")).where("digest = own").select("gid", "n", "prefix")
+    several = slim.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("digest").alias("a"), F.max("digest").alias("z"))
+    several = materialise(several.where("rows > 1").select("doc_id", F.col("a") != F.col("z")).toDF("doc_id", "differ"), "repeated")
+    if not several.isEmpty():
         grouped = grouped.dropDuplicates(["gid"])
+    # texts of one id belong together
+    of_id = slim.join(several.where("differ"), "doc_id", "left_semi").select("doc_id", "n", "digest").distinct().join(nodes, ["n", "digest"]).select("doc_id", "node")
+    same = of_id.join(of_id.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
     lists = materialise(_possible(_lists(grouped), groups.select("gid", "n"), percent), "possible")
     # a group of several sets is a list of its own
     own = member.where("members > 1").select(F.xxhash64("gid", F.lit("group")).alias("list_id"), "node")
     listed = lists.join(member, "gid").select("list_id", "node").unionByName(own)
     listed = materialise(listed, "lists")
-    return _classes(rows, described, nodes, listed, words, percent)
+    return _classes(rows, described, nodes, listed, same, words, percent)
 
 
-def _classes(rows: DataFrame, described: DataFrame, nodes: DataFrame, listed: DataFrame, words: int, percent: int) -> DataFrame:
+def _classes(rows: DataFrame, described: DataFrame, nodes: DataFrame, listed: DataFrame, same: DataFrame, words: int, percent: int) -> DataFrame:
     # what lists connect is a cluster, in which each set moves once or twice however many lists it is in
     star = listed.join(listed.groupBy("list_id").agg(F.min("node").alias("hub")), "list_id").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     cluster = components(star.where("a <> b")).withColumnRenamed("comp", "cluster")
     cluster = materialise(cluster.join(cluster.groupBy("cluster").agg(F.count("*").alias("nodes")), "cluster"), "clusters")
-    sets = materialise(_sets(rows, cluster.select("node"), words), "sets")
+    sets = materialise(_sets(rows, nodes.join(cluster, "node", "left_semi"), words), "sets")
 
     # first turn: every pair of each block of a cluster; a cluster of one block is done with, others are cut in two ways
     cuts = F.explode(F.when(F.col("nodes") > BLOCK, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     parts = F.ceil(F.col("nodes") / F.lit(BLOCK))
     blocks = cluster.withColumn("cut", cuts).select(F.col("cluster").alias("list_id"), "node", (F.col("cut") * F.lit(1 << 40) + F.pmod(F.xxhash64("node", "cut"), parts)).alias("part"))
-    links = materialise(_linked(blocks, sets, percent), "links")
+    links = materialise(_linked(blocks, sets, percent).unionByName(same), "links")
     label = components(links)
 
     # second turn: what is left open in large clusters; all but the largest class against all, in each list or, where that moves fewer sets, in the cluster
@@ -389,7 +401,9 @@ def _classes(rows: DataFrame, described: DataFrame, nodes: DataFrame, listed: Da
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
-    own = nodes.join(label, "node", "left").select("n", "digest", F.coalesce("comp", "node").alias("comp"))
+    known = nodes.join(label, "node").select("n", "digest", "rep", "comp")
+    known = known.join(known.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select("n", "digest", "least")
+    own = nodes.join(known, ["n", "digest"], "left").select("n", "digest", F.coalesce("least", "rep").alias("comp"))
     out = described.select("doc_id", "n", "digest").join(own, ["n", "digest"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

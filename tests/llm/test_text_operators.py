@@ -105,6 +105,14 @@ def test_classes_of_hard_rows(spark):
     assert near_duplicates(empty_docs(spark)).count() == 0
 
 
+def test_texts_of_one_id_lose_no_link(spark):
+    rng = random.Random(12)
+    a, b, c = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    made = [(5, a), (5, b), (9, b + " word"), (9, b + " word"), (2, c), (7, a + " more"), (7, c), (30, prose(rng, 50)), (30, None)]
+    got = near_duplicates(spark.createDataFrame([(*x, "x", 3) for x in made], "doc_id long, text string, digest string, node long")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted((i, 30 if i == 30 else 2) for i, _ in made)
+
+
 def test_sizes_whose_need_dips_by_rounding_stay_linked(spark):
     core = " ".join(f"core{i}" for i in range(95))  # 91 shingles
     texts = [core + "".join(f" own{n}x{i}" for i in range(n - 91)) for n in (100, 104, 105)]
