@@ -4,15 +4,15 @@ Vectors are lifted by one coordinate so that all have the length of the longest
 in inner product. Each vector is keyed by its nearest pivot and its distance to it, and the keys of a pivot are cut into
 sorted annuli. A query visits annuli in the order of the least distance that the triangle inequality leaves, in
 growing rounds, and stops when that distance is above its k-th best so far. All rows are indexed; only the pivots and the cuts come
-from a bounded sample (``SAMPLE`` rows of smallest id hash), and what reaches the driver is one row for each annulus.
+from a bounded sample (``SAMPLE`` rows of smallest id hash for each of at most ``PIVOTS`` pivots), and what reaches the driver is one row for each annulus.
 
 An annulus of many vectors is many blocks of about ``BLOCK`` rows, and queries travel in packets of about ``PACKET``, so
 a hot pivot or a vector that a third of the rows share is many small tasks. Of equal vectors only the k + 1 smallest ids can
 be among the best, so the others are not indexed; no result is lost.
 
 Scores are exact integers. Cases: rows with a null id, or a vector that is null or holds a null or a non-finite component, take no part;
-equal rows count once; vectors of other lengths count as ended by zeros; fewer than k candidates are all returned; an empty table gives no rows;
-a component of 2**31 or more, or below -2**31, is taken as that limit; other columns are not read.
+equal rows count once; an id with two vectors is searched by each and has the best of both, and none of its rows is its candidate; vectors of other lengths count as ended by zeros; fewer than k
+candidates are all returned; an empty table gives no rows; a component or a score that does not fit a signed 64-bit integer is an error; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +31,11 @@ from logwarden.session import materialise
 
 K = 5
 SCALE = 256.0
-PIVOTS = 48
+#: Least and most pivots; between them a quarter of the square root of the rows.
+PIVOTS = (48, 512)
 ANNULI = 12
-SAMPLE = 6000
+#: Rows of the sample for each pivot.
+SAMPLE = 125
 BLOCK = 2048
 PACKET = 256
 #: Annuli that a query visits in each round; the last round takes all that are left.
@@ -41,7 +43,7 @@ ROUNDS = (4, 24)
 
 
 def integer_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = SCALE) -> DataFrame:
-    """vec_id and the vector's floor(scale * x) as packed 32-bit integers, without rows that take no part."""
+    """vec_id and the vector's floor(scale * x) as packed 64-bit integers, without rows that take no part."""
 
     def pack(batch: pa.RecordBatch) -> dict:
         ids, packed = [], []
@@ -52,7 +54,9 @@ def integer_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 continue
             x = np.floor(scale * v.to_numpy(zero_copy_only=False).astype(np.float64))
             if np.isfinite(x).all():
-                x = np.trim_zeros(np.clip(x, -(2.0**31), 2.0**31 - 1), "b").astype("<i4")
+                if len(x) and not -(2.0**63) <= x.min() <= x.max() < 2.0**63:
+                    raise OverflowError(f"vector {i} has a component beyond 64 bits")
+                x = np.trim_zeros(x, "b").astype("<i8")
                 ids.append(i)
                 packed.append(x.tobytes())
         return {"vec_id": pa.array(ids, pa.int64()), "v": pa.array(packed, pa.binary())}
@@ -61,19 +65,32 @@ def integer_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     return map_batches(known, pack, "vec_id long, v binary")
 
 
-def _matrix(packed: Iterable[bytes], width: int) -> np.ndarray:
-    rows = [np.frombuffer(x, "<i4") for x in packed]
-    out = np.zeros((len(rows), width))
+def _matrix(packed: Iterable[bytes], width: int, kind: type = float) -> np.ndarray:
+    rows = [np.frombuffer(x, "<i8") for x in packed]
+    out = np.zeros((len(rows), width), kind)
     for i, x in enumerate(rows):
         out[i, : len(x)] = x[:width]
     return out
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products as 64-bit integers."""
-    if q.size == 0 or x.size == 0 or float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**53:
-        return (q @ x.T).astype(np.int64)
-    return q.astype(np.int64) @ x.astype(np.int64).T
+    """Exact inner products of 64-bit integers, as 64-bit integers."""
+    if q.size == 0 or x.size == 0:
+        return np.zeros((len(q), len(x)), np.int64)
+    most = max(abs(int(q.max())), abs(int(q.min()))) * max(abs(int(x.max())), abs(int(x.min()))) * q.shape[1]
+    if most < 2**53:
+        return (q.astype(float) @ x.T.astype(float)).astype(np.int64)
+    if most < 2**63:
+        return q @ x.T
+    exact = q.astype(object) @ x.T.astype(object)
+    if int(exact.max()) >= 2**63 or int(exact.min()) < -(2**63):
+        raise OverflowError(f"a score is beyond 64 bits: {exact.max()}, {exact.min()}")
+    return exact.astype(np.int64)
+
+
+def slack(longest: float, width: int) -> float:
+    """How far a distance can be off: the roundings of its square, at most the sum of ``width`` + 8 terms of squared length ``longest``, for each distance of a bound."""
+    return 6.0 * np.sqrt(np.finfo(float).eps * (width + 8) * longest)
 
 
 def _lift(x: np.ndarray, longest: float) -> np.ndarray:
@@ -107,7 +124,7 @@ def choose_pivots(x: np.ndarray, n: int, rounds: int = 6) -> np.ndarray:
 class PivotIndex:
     """Blocks of vectors by annulus, and the directory of the annuli."""
 
-    def __init__(self, vectors: DataFrame, k: int = K, pivots: int = PIVOTS, annuli: int = ANNULI, sample: int = SAMPLE):
+    def __init__(self, vectors: DataFrame, k: int = K, pivots: int | None = None, annuli: int = ANNULI, sample: int = SAMPLE):
         spark = vectors.sparkSession
         ship(spark)
         self.k, self.spark = k, spark
@@ -115,11 +132,13 @@ class PivotIndex:
         vectors = vectors.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= k + 1).drop("n")
 
         def norms(batch: pa.RecordBatch) -> dict:
-            x = [np.frombuffer(v, "<i4").astype(np.float64) for v in batch.column(0).to_pylist()]
+            x = [np.frombuffer(v, "<i8").astype(np.float64) for v in batch.column(0).to_pylist()]
             return {"norm": pa.array([float((v * v).sum()) for v in x], pa.float64()), "width": pa.array([len(v) for v in x], pa.int32())}
 
         bounds = map_batches(vectors.select("v"), norms, "norm double, width int").agg(F.max("norm"), F.max("width"), F.count("*")).first()
         self.longest, self.width = bounds[0] or 0.0, max(bounds[1] or 0, 1)
+        pivots = pivots or min(max(PIVOTS[0], int(bounds[2] ** 0.5 / 4)), PIVOTS[1])
+        sample *= pivots
         some = hash_share(vectors, "vec_id", sample, bounds[2]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column("v").to_pylist()
         lifted = _lift(_matrix(some, self.width), self.longest)
         self.pivots = choose_pivots(lifted, pivots)
@@ -144,14 +163,15 @@ class PivotIndex:
         #: one row for each annulus: pivot, least and largest distance
         self.directory = [(r["pivot"], r["near"], r["far"]) for r in found]
         slots = self.spark.createDataFrame([(r["pivot"], r["ring"], i, -(-r["n"] // BLOCK)) for i, r in enumerate(found)], "pivot int, ring int, annulus int, blocks long")
+        self.slots = slots.select("annulus", "blocks")
 
         def pack(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("vec_id")
-            x = _matrix(rows["v"], width).astype("<i4")
-            return pd.DataFrame({"annulus": rows["annulus"].iloc[:1].to_numpy(), "ids": [rows["vec_id"].to_numpy("<i8").tobytes()], "vectors": [x.tobytes()]})
+            x = _matrix(rows["v"], width, np.int64)
+            return pd.DataFrame({"annulus": rows["annulus"].iloc[:1].to_numpy(), "block": rows["block"].iloc[:1].to_numpy(), "ids": [rows["vec_id"].to_numpy("<i8").tobytes()], "vectors": [x.tobytes()]})
 
         dealt = keyed.join(F.broadcast(slots), ["pivot", "ring"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-        self.blocks = materialise(dealt.select("annulus", "block", "vec_id", "v").groupBy("annulus", "block").applyInPandas(pack, "annulus int, ids binary, vectors binary"), "blocks")
+        self.blocks = materialise(dealt.select("annulus", "block", "vec_id", "v").groupBy("annulus", "block").applyInPandas(pack, "annulus int, block long, ids binary, vectors binary"), "blocks")
 
     def search(self, queries: DataFrame) -> DataFrame:
         """Per query (vec_id, v) its best candidates with another id: query_id, rank, vec_id, score."""
@@ -180,13 +200,13 @@ class PivotIndex:
                     order = np.lexsort((np.abs(d), bound))[lo:hi]
                     if least[i] is not None:
                         reach = np.sqrt(max((q[i] ** 2).sum() + longest - 2.0 * least[i], 0))
-                        order = order[bound[order] <= reach * (1 + 1e-9) + 1e-3]
+                        order = order[bound[order] <= reach + slack(longest, width)]
                     rows += [i] * len(order)
                     rings += order.tolist()
                 return {"annulus": pa.array(rings, pa.int32()), "query_id": batch.column(0).take(pa.array(rows, pa.int64())), "v": batch.column(1).take(pa.array(rows, pa.int64())), "least": batch.column(2).take(pa.array(rows, pa.int64()))}
 
             def pack(rows: pd.DataFrame) -> pd.DataFrame:
-                q = _matrix(rows["v"], width).astype("<i4")
+                q = _matrix(rows["v"], width, np.int64)
                 least = rows["least"].astype("Int64").fillna(-(2**63)).to_numpy("<i8")
                 return pd.DataFrame({"annulus": rows["annulus"].iloc[:1].to_numpy(), "query_ids": [rows["query_id"].to_numpy("<i8").tobytes()], "queries": [q.tobytes()], "least": [least.tobytes()]})
 
@@ -201,7 +221,7 @@ class PivotIndex:
                     for row in range(batch.num_rows):
                         query_ids, queries, least, ids, vectors = (batch.column(i)[row].as_py() for i in range(5))
                         query_ids, least, ids = np.frombuffer(query_ids, "<i8"), np.frombuffer(least, "<i8"), np.frombuffer(ids, "<i8")
-                        s = _products(np.frombuffer(queries, "<i4").reshape(-1, width).astype(float), np.frombuffer(vectors, "<i4").reshape(-1, width).astype(float))
+                        s = _products(np.frombuffer(queries, "<i8").reshape(-1, width), np.frombuffer(vectors, "<i8").reshape(-1, width))
                         a, b = np.nonzero((s >= least[:, None]) & (query_ids[:, None] != ids[None, :]))
                         s = s[a, b]
                         order = np.lexsort((ids[b], -s, a))
@@ -210,7 +230,9 @@ class PivotIndex:
                         keep = np.arange(len(a)) - start < k
                         yield pa.RecordBatch.from_arrays([pa.array(query_ids[a[keep]]), pa.array(ids[b[keep]]), pa.array(s[keep])], names=["query_id", "vec_id", "score"])
 
-            pairs = packets.join(self.blocks, "annulus").select("query_ids", "queries", "least", "ids", "vectors")
+            # a packet goes to each block of its annulus, so a hot annulus is as many keys as it has blocks
+            packets = packets.join(F.broadcast(self.slots), "annulus").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            pairs = packets.join(self.blocks, ["annulus", "block"]).select("query_ids", "queries", "least", "ids", "vectors")
             found = pairs.mapInArrow(score, "query_id long, vec_id long, score long")
             if best is not None:
                 found = found.unionByName(best.select("query_id", "vec_id", "score"))

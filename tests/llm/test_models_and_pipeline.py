@@ -14,7 +14,7 @@ from llm.edge import FRENCH, SCHEMA, WORDS, edge_docs, empty_docs, prose, rows,
 from logwarden.llm import op3_html
 from logwarden.llm.common import fold
 from logwarden.llm.lstm import BiLSTM
-from logwarden.llm.op1_topk import OP1_SQL, PivotIndex, integer_vectors
+from logwarden.llm.op1_topk import OP1_SQL, PivotIndex, _products, integer_vectors
 from logwarden.llm.op3_html import cut_blocks, extract_main_text, fit_labeller, made_page
 from logwarden.llm.op5_language import codewords, fit_languages, keep_known, predict_languages
 from logwarden.llm.op6_mixing import SHARE, WEIGHTS, flight, mix, repeat_taken
@@ -67,6 +67,28 @@ def test_search_in_small_tables(spark):
     assert PivotIndex(none).search(none).count() == 0
 
 
+def test_large_components_keep_their_scores(spark):
+    schema = "vec_id long, embedding array<double>"
+    rng = np.random.default_rng(3)
+    data = [(0, [1.0, 0.5]), (1, [1e7, 0.0]), (2, [2e7, 0.0]), (50, [3e6, -4e6]), (3, [-5e6, 1e6]), (4, [1e-3, 2.0])]
+    data += [(100 + i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(80, 2)) * 10.0 ** rng.integers(0, 6, (80, 1)))]
+    table = spark.createDataFrame(data, schema)
+    vectors = integer_vectors(table).distinct()
+    got = sorted(tuple(r) for r in PivotIndex(vectors, pivots=6, annuli=3).search(vectors.where("vec_id % 50 = 0")).collect())
+    assert got == plain_best(data)
+    scores = {x[2]: x[3] for x in got if x[0] == 0}
+    assert scores[1] == 655_360_000_000 and scores[2] == 1_310_720_000_000
+    con = duckdb.connect()
+    con.register("embeddings", table.toArrow())
+    assert sorted(con.sql(OP1_SQL).fetchall()) == got
+    huge = np.array([[2**40, 1]], np.int64)
+    assert _products(huge, np.array([[2**22, -3]], np.int64)).tolist() == [[2**62 - 3]]
+    with pytest.raises(OverflowError):
+        _products(huge, huge)
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        integer_vectors(spark.createDataFrame([(1, [1e300])], schema)).collect()
+
+
 # ---- the network
 
 
@@ -335,6 +357,15 @@ def test_pipeline(spark):
     assert len(seen["encoding"]) == len(seen["mixing"]) and all(r["n_tokens"] == len(r["ids"]) for r in seen["encoding"])
 
 
+def test_one_text_of_a_repeated_id_stays_and_reruns_agree(spark):
+    import corpus_pipeline
+
+    made = [(5, "one text of five"), (5, "another text of five"), (9, "a text of nine"), (9, "a text of nine"), (None, "no id"), (None, "no id"), (12, None)]
+    docs = [spark.createDataFrame(x, "doc_id long, text string").repartition(3) for x in (made, made[::-1])]
+    kept = [sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.one_of_each_class(spark, d, "").collect() if r["doc_id"] != 12) for d in docs]
+    assert kept[0] == kept[1] == [(0, "no id"), (0, "no id"), (5, "another text of five"), (9, "a text of nine")]
+
+
 def test_pipeline_of_nothing(spark):
     import corpus_pipeline
 
