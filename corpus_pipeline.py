@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all but the last return the columns of documents.
 
 1. language: rows whose language cannot be told (no letter, or two codewords equally near) go; all others stay.
-2. near_duplicates: of each class of linked texts the row with the smallest id stays; empty texts are linked with nothing and stay.
+2. near_duplicates: of each class of linked texts the row with the smallest id stays (of several rows of that id the one whose values come first); empty texts are linked with nothing and stay.
 3. personal_data: spans are replaced by their kind in angle brackets, and n_chars follows.
 4. mixing: rows are left out, kept or repeated so that each source comes near its target.
 5. encoding: token ids and digests of each row.
@@ -15,7 +15,7 @@ the same id are one document to it; any further columns are carried along, whate
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logwarden.llm.common import fold
@@ -37,8 +37,9 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     classes = near_duplicates(docs)
     kept = materialise(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("times")), "kept")
     stay = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long") == kept["kept_id"], "left_semi")
-    if not kept.where("times > 1").isEmpty():
-        stay = stay.dropDuplicates(["doc_id"])
+    if not kept.where("times > 1").isEmpty():  # of several rows of an id that whose values come first
+        in_order = Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+        stay = stay.select(F.struct("*").alias("row"), F.row_number().over(in_order).alias("nth")).where("nth = 1").select("row.*")
     return stay.unionByName(docs.where(docs["doc_id"].isNull()))
 
 
