@@ -1,15 +1,20 @@
 """Interpolated modified Kneser-Ney language model: counted in Spark, stored as sorted hash arrays, memory-mapped for scoring.
 
-Order 2 with a continuation order below it and a uniform share for unknown words. Tokens are lower-cased words and one end for
-each text; the first word follows a start sign.
+The order is a parameter (``ORDER``). Below the highest order a word sequence counts the different words before it, or its occurrences where it
+begins with the start sign; below order 1 is a uniform share for unknown words. Tokens are lower-cased words and one end for each
+text; one start sign stands before the first word, so the first tokens have shorter contexts. An unknown context leaves the next lower order.
 
-Counting. A task counts its own distinct words and word pairs first and sends them as packets of packed numbers, one for each shard.
-A shard's task adds the packets up and writes two files into the shared folder: the sorted 64-bit hashes of its pairs, and their counts.
-From the same pairs come, for each word, the sums that the model needs (followers seen once, twice, more; words it
-follows), which are added up by word shard in the same manner. Only totals reach the driver. Pairs are dealt by their first
-word, except after a frequent one (from a bounded sample; there are at most 1 / ``FREQUENT`` such words), where they are dealt by both.
+Counting. A task counts its own distinct word sequences of full order first and sends them as packets of packed numbers, one for each shard. They are
+dealt by the last word of the context: all contexts and lower orders that end in it are then in one shard, which derives them from the full
+sequences. After a frequent word (from a bounded sample; there are at most shards / ``FREQUENT`` such words) they are dealt by the last two words of the context,
+and only the pairs after it are added up in a second round, dealt by pair. For each word, the sums of its followers and of the words it
+follows are added up by word shard. Only totals reach the driver. The number of shards follows the bytes of the texts (``SHARD_BYTES``).
 
-Scoring. A worker maps the files and looks up the distinct pairs and words of a batch of whole texts; no shuffle, and pages that are
+Storage. A table is a sorted array of hashes: an index of buckets by the upper bits and the rest in five bytes, so that 48 to 56 bits of
+a sequence's hash count in its shard. A shard is bounded in size, and beyond 65,536 sequences has the 56. Values are one byte, a number in a list of the shard's
+most usual values; others stand apart.
+
+Scoring. A worker maps the files and looks up the distinct sequences of a batch of whole texts; no shuffle, and pages that are
 not touched are not read. Where the shared folder is no mounted path, a worker fetches a shard to a temporary file, maps it and unlinks it.
 
 Cases: a null text is empty and has one token, its end; without training rows the model is uniform over the unknown; a null id is neither held
@@ -18,7 +23,6 @@ out nor learned from; repeated rows count as often as they are there; texts of a
 
 from __future__ import annotations
 
-import pickle
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -35,14 +39,19 @@ from logwarden.llm.common import fold, map_batches, ship, table
 from logwarden.llm.text import hash_words, mix, utf8
 from logwarden.session import materialise, scratch_path
 
+#: Words of the longest sequences, the scored one included.
+ORDER = 3
 #: Words that a task counts together.
 CHUNK_WORDS = 1_000_000
-#: A word of at least this share of the sampled words is frequent.
-FREQUENT = 0.002
+#: Bytes of text for each shard of sequences.
+SHARD_BYTES = 24 << 20
+#: A word that would fill this part of a shard by itself, by its share of the sampled words, is frequent.
+FREQUENT = 0.5
 SAMPLE = 1000
 
 START, END = np.uint64(0x5354415254000000), np.uint64(0x454E440000000000)
-_LOW = np.uint64(16)
+NONE = np.uint64(0)  # no word: before the start sign
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,32 +64,58 @@ def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, firsts + np.arange(n + 1)
 
 
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """64-bit hash of two words' upper 48 bits."""
-    return mix((first >> _LOW) * np.uint64(0x9E3779B97F4A7C15) + mix(second >> _LOW))
+def sequences(tokens: np.ndarray, firsts: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct sequences of full order that end in each token, by context's last word.
+
+    Returns the words (``NONE`` and ``START`` first), the places in them of each sequence's last word, the word before it and so on, the sequences' counts, and the number of the sequence of each token.
+    """
+    words, index = np.unique(tokens, return_inverse=True)
+    names = np.concatenate([np.array([NONE, START]), words])
+    here = np.arange(len(tokens)) - np.repeat(firsts[:-1], np.diff(firsts))
+    back = [index + 2]
+    for k in range(1, order):
+        before = np.zeros(len(tokens), np.int64)
+        before[k:] = index[:-k] + 2
+        back.append(np.where(here >= k, before, (here == k - 1).astype(np.int64)))
+    code, span = np.zeros(len(tokens), np.int64), 1
+    for k in [*range(1, order), 0]:
+        if span * len(names) >= 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+            span = int(code.max(initial=0)) + 1
+        code, span = code * len(names) + back[k], span * len(names)
+    _, at, which, counts = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+    return names, [b[at] for b in back], counts, which
+
+
+def chain(words: list[np.ndarray]) -> list[np.ndarray]:
+    """64-bit hashes of the last word, the last two and so on; ``words`` go from the last to the first."""
+    out = [mix(words[0] + _ODD)]
+    for w in words[1:]:
+        out.append(mix(out[-1] * _ODD + w))
+    return out
 
 
 def word_shard(words: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(words >> _LOW) % np.uint64(shards)).astype(np.int64)
+    return (mix(words) % np.uint64(shards)).astype(np.int64)
 
 
-def pair_shard(first: np.ndarray, second: np.ndarray, frequent: np.ndarray, shards: int) -> np.ndarray:
-    out = word_shard(first, shards)
-    if len(frequent):
-        hot = frequent[np.minimum(np.searchsorted(frequent, first), len(frequent) - 1)] == first
-        out[hot] = (pair_hash(first[hot], second[hot]) % np.uint64(shards)).astype(np.int64)
-    return out
-
+def is_frequent(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(words), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)] == words
 
-def _six(words48: np.ndarray) -> bytes:
-    """Numbers below 2**48 in six bytes each."""
-    return words48.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-
-def _from_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
+def deal(words: list[np.ndarray], frequent: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of sequences given from the last word to the first: by the word before the last, after a frequent one by it and a neighbour."""
+    out = word_shard(words[1], shards)
+    hot = is_frequent(words[1], frequent)
+    if hot.any():
+        pair = chain([w[hot] for w in words[:2]])[1]
+        if len(words) > 2:
+            older = words[2][hot]
+            pair = np.where(older == NONE, pair, chain([words[1][hot], older])[1])
+        out[hot] = (pair % np.uint64(shards)).astype(np.int64)
+    return out
 
 
 def _small(counts: np.ndarray) -> bytes:
@@ -103,40 +138,84 @@ def _added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 # ---- packets
 
-PACKET = "kind int, shard int, a binary, b binary, c binary, d binary"
-
-
-def _packets(tokens: np.ndarray, firsts: np.ndarray, frequent: np.ndarray, shards: int, word_shards: int) -> Iterator[tuple]:
-    """Words (kind 0: hashes, counts) and pairs (kind 1: first words, their number of followers, followers, counts), by shard."""
-    words, counts = np.unique(tokens, return_counts=True)
-    own = word_shard(words, word_shards)
-    order = np.argsort(own, kind="stable")
-    cuts = np.searchsorted(own[order], np.arange(word_shards + 1))
-    for s in range(word_shards):
-        part = order[cuts[s] : cuts[s + 1]]
-        if len(part):
-            yield 0, s, words[part].tobytes(), b"", b"", _small(counts[part])
-    index = np.searchsorted(words, tokens)
-    before = np.append(0, index[:-1] + 1)
-    before[firsts[:-1]] = 0  # the start sign
-    pairs, counts = np.unique(before * np.int64(len(words)) + index, return_counts=True)
-    names = np.append(START, words)
-    a, b = names[pairs // len(words)], words[pairs % len(words)]
-    own = pair_shard(a, b, frequent, shards)
-    order = np.lexsort((b, a, own))
-    a, b, counts, own = a[order], b[order], counts[order], own[order]
-    cuts = np.searchsorted(own, np.arange(shards + 1))
-    for s in range(shards):
-        lo, hi = cuts[s], cuts[s + 1]
-        if hi > lo:
-            x = a[lo:hi]
-            start = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-            yield 1, s, _six(x[start] >> _LOW), _small(np.diff(np.append(start, hi - lo))), _six(b[lo:hi] >> _LOW), _small(counts[lo:hi])
+PACKET = "kind int, shard int, a binary, b binary, c binary"
+WORDS, SUMS, TOTALS, HOT, SEQUENCES = range(5)  # kinds of packets
+
+
+def _shrunk(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _grown(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _pack_columns(columns: list[np.ndarray]) -> bytes:
+    packed = [_small(c) for c in columns]
+    return _shrunk(b"".join(len(p).to_bytes(8, "little") + p for p in packed))
+
+
+def _unpack_columns(raw: bytes) -> list[np.ndarray]:
+    raw, out, at = _grown(raw), [], 0
+    while at < len(raw):
+        size = int.from_bytes(raw[at : at + 8], "little")
+        out.append(_from_small(raw[at + 8 : at + 8 + size]))
+        at += 8 + size
+    return out
+
+
+def _cut(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that has rows, with the places of its rows in their order."""
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(np.diff(cuts)):
+        yield int(s), order[cuts[s] : cuts[s + 1]]
+
+
+def _packets(tokens: np.ndarray, firsts: np.ndarray, frequent: np.ndarray, order: int, shards: int, word_shards: int) -> Iterator[tuple]:
+    """Words (hashes, counts) and sequences (a list of words, places in it of each column, counts), by shard."""
+    names, columns, counts, which = sequences(tokens, firsts, order)
+    times = np.bincount(columns[0], counts, len(names)).astype(np.int64)[2:]
+    for s, part in _cut(word_shard(names[2:], word_shards), word_shards):
+        yield WORDS, s, names[2:][part].tobytes(), _pack_columns([times[part]]), b""
+    for s, part in _cut(deal([names[c] for c in columns], frequent, shards), shards):
+        own = [c[part] for c in columns]
+        used, places = np.unique(np.concatenate(own), return_inverse=True)
+        places = np.split(places, order)
+        yield SEQUENCES, s, names[used].tobytes(), _pack_columns([*places, counts[part]]), b""
 
 
 def _frame(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["kind", "shard", "a", "b", "c", "d"])
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * 3]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=COLUMNS)
+
+
+COLUMNS = ["kind", "shard", "a", "b", "c"]
+SUM_COLUMNS = 5  # times as a one-word context, followers seen once, twice, more often; different words before it
+WORD_STATS = 1 + SUM_COLUMNS  # its count before these
+
+
+def follower_sums(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each different context: occurrences of its followers, and how many of them are seen once, twice, more often."""
+    return _added(context, np.stack([counts, counts == 1, counts == 2, counts >= 3], 1).astype(np.int64))
+
+
+def counts_of_counts(counts: np.ndarray) -> list[int]:
+    return [len(counts), *[int((counts == i).sum()) for i in (1, 2, 3, 4)]]
+
+
+def _word_sums(first: np.ndarray, second: np.ndarray, counts: np.ndarray, word_shards: int) -> Iterator[tuple]:
+    """Packets of what distinct pairs say about their words."""
+    b, sums = follower_sums(first, counts)
+    c, before = _added(second, np.ones((len(second), 1), np.int64))
+    words, sums = _added(np.concatenate([b, c]), np.concatenate([np.pad(sums, ((0, 0), (0, 1))), np.pad(before, ((0, 0), (4, 0)))]))
+    for s, part in _cut(word_shard(words, word_shards), word_shards):
+        yield SUMS, s, words[part].tobytes(), _pack_columns(list(sums[part].T)), b""
+
+
+def _totals(rows: list[tuple[int, list[int]]]) -> tuple:
+    """A packet of (order, number of sequences, of those with count 1, 2, 3, 4)."""
+    return TOTALS, -1, np.array([[k, *n] for k, n in rows], "<i8").tobytes(), b"", b""
 
 
 # ---- files in the shared folder
@@ -151,30 +230,100 @@ def _qualified(spark: SparkSession, folder: str) -> str:
     return "s3://" + full.removeprefix("s3a://") if full.startswith("s3a://") else full
 
 
-def _store(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """Write arrays under their final names only when they are whole: a task that runs again replaces equal files."""
+USUAL = 255  # values that a byte tells; the byte 255 sends to those apart
+_HEAD = 5
+
+
+class HashTable:
+    """Sorted hashes with rows of integers: buckets by the upper bits, five more bytes of each hash, one byte for its row."""
+
+    def __init__(self, raw: np.ndarray):
+        self.n, self.bits, usual, far, self.width = np.frombuffer(raw[: 8 * _HEAD], "<i8").tolist()
+        at = 8 * _HEAD
+
+        def take(count: int, dtype: str) -> np.ndarray:
+            nonlocal at
+            size = count * np.dtype(dtype).itemsize
+            got = raw[at : at + size].view(dtype)
+            at += -(-size // 8) * 8
+            return got
+
+        self.buckets = take((1 << self.bits) + 1, "<u4")
+        self.high, self.low, self.code = take(self.n, "<u4"), take(self.n, "u1"), take(self.n, "u1")
+        self.usual = take(usual * self.width, "<i8").reshape(-1, self.width)
+        self.far_at, self.far = take(far, "<i8"), take(far * self.width, "<i8").reshape(-1, self.width)
+
+    @staticmethod
+    def bytes_of(keys: np.ndarray, values: np.ndarray) -> bytes:
+        """The file of distinct keys and their rows of values."""
+        bits = 16 if len(keys) > 1 << 16 else 8
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        names = chain([c.astype(np.uint64) for c in values.T])[-1]
+        kinds, at, which, times = np.unique(names, return_index=True, return_inverse=True, return_counts=True)
+        rank = np.empty(len(kinds), np.int64)
+        rank[np.argsort(-times, kind="stable")] = np.arange(len(kinds))
+        code = np.minimum(rank[which], USUAL).astype(np.uint8)
+        usual = np.empty((min(len(kinds), USUAL), values.shape[1]), np.int64)
+        usual[rank[rank < USUAL]] = values[at[rank < USUAL]]
+        far = np.flatnonzero(code == USUAL)
+        rest = keys >> np.uint64(24 - bits)
+        buckets = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        head = np.array([len(keys), bits, len(usual), len(far), values.shape[1]], "<i8")
+        high, low = (rest >> np.uint64(8)).astype("<u4"), rest.astype("u1")
+        parts = [head, buckets.astype("<u4"), high, low, code, usual.astype("<i8"), far.astype("<i8"), values[far].astype("<i8")]
+        return b"".join(x.tobytes() + b"\0" * (-x.nbytes % 8) for x in parts)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Rows of the wanted hashes, zeros for those not there."""
+        bucket = (wanted >> np.uint64(64 - self.bits)).astype(np.int64)
+        rest = (wanted >> np.uint64(24 - self.bits)) & np.uint64((1 << 40) - 1)
+        lo, end = self.buckets[bucket].astype(np.int64), self.buckets[bucket + 1].astype(np.int64)
+        hi = end.copy()
+        high, low = (rest >> np.uint64(8)).astype(np.uint32), rest.astype(np.uint8)
+        active = np.flatnonzero(lo < hi)
+        while len(active):
+            mid = (lo[active] + hi[active]) >> 1
+            x = self.high[mid]
+            less = (x < high[active]) | ((x == high[active]) & (self.low[mid] < low[active]))
+            lo[active] = np.where(less, mid + 1, lo[active])
+            hi[active] = np.where(less, hi[active], mid)
+            active = active[lo[active] < hi[active]]
+        out = np.zeros((len(wanted), self.width), np.int64)
+        there = np.flatnonzero(lo < end)
+        there = there[(self.high[lo[there]] == high[there]) & (self.low[lo[there]] == low[there])]
+        at = lo[there]
+        code = self.code[at]
+        near = code < USUAL
+        out[there[near]] = self.usual[code[near]]
+        if not near.all():
+            out[there[~near]] = self.far[np.searchsorted(self.far_at, at[~near])]
+        return out
+
+
+def _store(folder: str, name: str, keys: np.ndarray, values: np.ndarray) -> None:
+    """Write a table under its final name only when it is whole: a task that runs again replaces an equal file."""
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
-    for key, array in arrays.items():
-        part = f"{path}/.{name}.{key}.{uuid.uuid4().hex}"
-        with system.open_output_stream(part) as out:
-            out.write(np.ascontiguousarray(array).data if array.size else b"")
-        system.move(part, f"{path}/{name}.{key}")
+    part = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as out:
+        out.write(HashTable.bytes_of(keys, values))
+    system.move(part, f"{path}/{name}")
 
 
-def _map(folder: str, name: str, key: str, dtype: str) -> np.ndarray:
+def _map(folder: str, name: str) -> np.ndarray:
     system, path = fs.FileSystem.from_uri(folder)
-    full = f"{path}/{name}.{key}"
+    full = f"{path}/{name}"
     size = system.get_file_info(full).size
     if not size:
-        return np.empty(0, dtype)
+        return np.empty(0, np.uint8)
     if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(full, dtype, "r")
+        return np.memmap(full, np.uint8, "r")
     with tempfile.NamedTemporaryFile() as local, system.open_input_stream(full) as source:
         while piece := source.read(1 << 24):
             local.write(piece)
         local.flush()
-        return np.memmap(local.name, dtype, "r")  # the mapping outlives the name
+        return np.memmap(local.name, np.uint8, "r")  # the mapping outlives the name
 
 
 @dataclass
@@ -182,15 +331,15 @@ class Totals:
     """All that scoring needs besides the files."""
 
     folder: str
-    shards: int  # of pairs
+    order: int
+    shards: int  # of sequences
     word_shards: int
     frequent: np.ndarray
     words: int  # different tokens
     tokens: int
     pairs: int  # different pairs
-    discounts: tuple[float, float, float]
-    lower_discounts: tuple[float, float, float]
-    lower_left: float  # share of the continuation order that is left for the uniform one
+    discounts: dict[int, tuple[float, float, float]]  # by order
+    lower_left: float  # share of order 1 that is left for the uniform one
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -205,98 +354,83 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return out[0], out[1], out[2]
 
 
-WORD_STATS = 6  # count, times as a first word, followers seen once, twice, more often, different words before it
-
-
 class Model:
-    """The mapped files, with probabilities for pairs of word hashes."""
+    """The mapped files, with probabilities for sequences of word hashes."""
 
     def __init__(self, totals: Totals):
         self.t = totals
-        self._maps: dict[tuple[str, int], tuple] = {}
-
-    def _shard(self, kind: str, s: int) -> tuple:
-        got = self._maps.get((kind, s))
-        if got is None:
-            name = f"{kind}-{s}"
-            keys = _map(self.t.folder, name, "keys", "<u8")
-            if kind == "pair":
-                got = keys, _map(self.t.folder, name, "counts", "<u2"), _map(self.t.folder, name, "largekeys", "<u8"), _map(self.t.folder, name, "large", "<u8")
-            else:
-                got = keys, _map(self.t.folder, name, "stats", "<i8").reshape(-1, WORD_STATS)
-            self._maps[kind, s] = got
-        return got
-
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the wanted keys (sorted), and which are there."""
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
-
-    def word_stats(self, words: np.ndarray) -> np.ndarray:
-        """Rows of ``WORD_STATS`` numbers for distinct sorted words."""
-        out = np.zeros((len(words), WORD_STATS), np.int64)
-        if self.t.pairs:
-            own = word_shard(words, self.t.word_shards)
-            order = np.argsort(own, kind="stable")
-            cuts = np.searchsorted(own[order], np.arange(self.t.word_shards + 1))
-            for s in np.flatnonzero(np.diff(cuts)):
-                part = order[cuts[s] : cuts[s + 1]]
-                keys, stats = self._shard("word", s)
-                at, there = self._find(keys, words[part])
-                out[part[there]] = stats[at[there]]
+        self._maps: dict[str, HashTable | None] = {}
+
+    def look_up(self, kind: str, keys: np.ndarray, shard: np.ndarray, width: int) -> np.ndarray:
+        """Rows of values for keys that are dealt to shards."""
+        out = np.zeros((len(keys), width), np.int64)
+        if not self.t.pairs:
+            return out
+        order = np.lexsort((keys, shard))
+        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            part = order[lo:hi]
+            name = f"{kind}-{shard[part[0]]}"
+            if name not in self._maps:
+                raw = _map(self.t.folder, name)
+                self._maps[name] = HashTable(raw) if len(raw) else None
+            if self._maps[name] is not None:
+                out[part] = self._maps[name].find(keys[part])
         return out
 
-    def pair_counts(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(first), np.int64)
-        if self.t.pairs:
-            own = pair_shard(first, second, self.t.frequent, self.t.shards)
-            keys = pair_hash(first, second)
-            order = np.lexsort((keys, own))
-            cuts = np.searchsorted(own[order], np.arange(self.t.shards + 1))
-            for s in np.flatnonzero(np.diff(cuts)):
-                part = order[cuts[s] : cuts[s + 1]]
-                known, counts, large_keys, large = self._shard("pair", s)
-                at, there = self._find(known, keys[part])
-                found = counts[at[there]].astype(np.int64)
-                big = found == 0  # too large for two bytes
-                if big.any():
-                    place, _ = self._find(large_keys, keys[part][there][big])
-                    found[big] = large[place]
-                out[part[there]] = found
+    def word_stats(self, words: np.ndarray) -> np.ndarray:
+        """Rows of ``WORD_STATS`` numbers for distinct words."""
+        return self.look_up("word", mix(words), word_shard(words, self.t.word_shards), WORD_STATS)
+
+    def counts(self, k: int, words: list[np.ndarray]) -> np.ndarray:
+        """Counts of distinct sequences of ``k`` words, from the last to the first."""
+        keys = chain(words[:k])[-1]
+        shard = deal(words[:k], self.t.frequent, self.t.shards)
+        if k > 2 or self.t.order == 2:
+            return self.look_up(f"gram{k}", keys, shard, 1)[:, 0]
+        out = np.zeros(len(keys), np.int64)
+        hot = is_frequent(words[1], self.t.frequent)
+        for kind, rows in (("hot", hot), ("gram2", ~hot)):
+            if rows.any():
+                out[rows] = self.look_up(kind, keys[rows], shard[rows], 1)[:, 0]
         return out
 
-    def probabilities(self, first: np.ndarray, second: np.ndarray, words: np.ndarray, stats: np.ndarray) -> np.ndarray:
-        """P(second | first) for pairs given as places in ``words``; place -1 as a first word is the start sign."""
+    def probabilities(self, names: np.ndarray, columns: list[np.ndarray], stats: np.ndarray) -> np.ndarray:
+        """Probability of the last word of each sequence; columns are places in ``names``, ``stats`` its words' numbers."""
         t = self.t
         uniform = 1.0 / (t.words + 1)
         if not t.pairs:
-            return np.full(len(first), uniform)
-        cut = np.array([0.0, *t.lower_discounts])
+            return np.full(len(columns[0]), uniform)
+        cut = {k: np.array([0.0, *d]) for k, d in t.discounts.items()}
         seen = stats[:, 5]
-        lower = np.maximum(seen - cut[np.minimum(seen, 3)], 0) / t.pairs + t.lower_left * uniform
-        start = self.word_stats(np.array([START], np.uint64))
-        names, context = np.append(words, START), np.vstack([stats, start])  # place -1 is the last row
-        count = self.pair_counts(names[first], words[second])
-        cut = np.array([0.0, *t.discounts])
-        total = context[:, 1].astype(float)
-        left = context[:, 2:5] @ np.array(t.discounts)
-        known = total > 0
-        left, total = np.where(known, left, 1.0), np.where(known, total, 1.0)
-        return (np.maximum(count - cut[np.minimum(count, 3)], 0) + left[first] * lower[second]) / total[first]
+        p = (np.maximum(seen - cut[1][np.minimum(seen, 3)], 0) / t.pairs + t.lower_left * uniform)[columns[0]]
+        words = [names[c] for c in columns]
+        hashes = chain(words)
+        contexts = chain(words[1:])
+        for k in range(2, t.order + 1):
+            whole = np.flatnonzero(words[k - 1] != NONE)
+            _, at, which = np.unique(hashes[k - 1][whole], return_index=True, return_inverse=True)
+            count = self.counts(k, [w[whole[at]] for w in words])[which]
+            if k == 2:
+                sums = stats[columns[1][whole], 1:5]
+            else:
+                keys, at, which = np.unique(contexts[k - 2][whole], return_index=True, return_inverse=True)
+                own = deal([w[whole[at]] for w in words[:k]], t.frequent, t.shards)
+                sums = self.look_up(f"context{k - 1}", keys, own, 4)[which]
+            known = sums[:, 0] > 0
+            whole, count, sums = whole[known], count[known], sums[known]
+            left = sums[:, 1:] @ cut[k][1:]
+            p[whole] = (np.maximum(count - cut[k][np.minimum(count, 3)], 0) + left * p[whole]) / sums[:, 0]
+        return p
 
     def score(self, column: pa.Array) -> dict[str, np.ndarray]:
         """n_tokens, n_known, base_score and score of each row."""
         t = self.t
         tokens, firsts = token_hashes(column)
-        words, index = np.unique(tokens, return_inverse=True)
-        stats = self.word_stats(words)
-        before = np.concatenate([[0], index[:-1]]) if len(index) else index
-        before[firsts[:-1]] = -1
-        pairs, place = np.unique((before + 1) * np.int64(max(len(words), 1)) + index, return_inverse=True)
-        logs = np.log10(self.probabilities(pairs // len(words) - 1, pairs % len(words), words, stats))[place]
+        names, columns, _, which = sequences(tokens, firsts, t.order)
+        stats = self.word_stats(names)
+        index = columns[0][which]
+        logs = np.log10(self.probabilities(names, columns, stats))[which]
         base = np.log10((stats[:, 0] + 1.0) / (t.tokens + t.words + 1.0))[index]
         return {
             "n_tokens": np.diff(firsts),
@@ -309,14 +443,17 @@ class Model:
 # ---- counting in Spark
 
 
-def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Totals:
-    """Counts the texts of the rows where ``usable`` holds and stores the model in the shared folder."""
+def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, order: int = ORDER) -> Totals:
+    """Counts the texts of the rows where ``usable`` holds and stores the model of an order of 2 or more in the shared folder."""
+    if order < 2:
+        raise ValueError("the order must be 2 or more")
     spark = docs.sparkSession
     ship(spark)
-    shards = max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    word_shards = max(8, shards // 4)  # each shard of pairs sends sums to each shard of words
     folder = _qualified(spark, scratch_path(spark, "lm"))
     rows = docs.where(usable).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    word_shards = max(8, shards // 4)  # each shard of sequences sends sums to each shard of words
 
     ids = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -326,7 +463,7 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
 
     some = map_batches(rows.join(F.broadcast(ids), "doc_id").select("text"), sampled, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     all_sampled = some.agg(F.sum("n")).first()[0] or 0
-    frequent = some.where(F.col("n") >= FREQUENT * all_sampled).orderBy("w").toPandas()["w"].to_numpy(np.int64).view(np.uint64)
+    frequent = some.where(F.col("n") * shards >= FREQUENT * all_sampled).orderBy("w").toPandas()["w"].to_numpy(np.int64).view(np.uint64)
     frequent = np.union1d(frequent, np.array([START]))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +474,7 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
             starts = np.cumsum([0, *[len(x[0]) for x in waiting]])
             firsts = np.concatenate([x[1][:-1] + s for x, s in zip(waiting, starts)] + [[starts[-1]]])
             waiting.clear()
-            return _frame(list(_packets(tokens, firsts, frequent, shards, word_shards)))
+            return _frame(list(_packets(tokens, firsts, frequent, order, shards, word_shards)))
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -351,80 +488,93 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
 
     def add_up(group: pd.DataFrame) -> pd.DataFrame:
         kind, shard = int(group["kind"].iloc[0]), int(group["shard"].iloc[0])
-        if kind == 0:
+        if kind == WORDS:
             keys = np.concatenate([np.frombuffer(x, "<u8") for x in group["a"]])
-            keys, counts = _added(keys, np.concatenate([_from_small(x) for x in group["d"]]))
-            return pd.DataFrame([(0, shard, keys.tobytes(), b"", b"", _small(counts))], columns=columns)
-        first = np.concatenate([np.repeat(_from_six(a), _from_small(b)) for a, b in zip(group["a"], group["b"])])
-        second = np.concatenate([_from_six(x) for x in group["c"]])
-        counts = np.concatenate([_from_small(x) for x in group["d"]])
-        order = np.lexsort((second, first))
-        first, second, counts = first[order], second[order], counts[order]
-        at = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
-        first, second, counts = first[at] << _LOW, second[at] << _LOW, np.add.reduceat(counts, at)
-        keys = pair_hash(first, second)
-        order = np.argsort(keys)
-        large = counts[order] >= 1 << 16
-        _store(folder, f"pair-{shard}", {
-            "keys": keys[order].astype("<u8"), "counts": np.where(large, 0, counts[order]).astype("<u2"),
-            "largekeys": keys[order][large].astype("<u8"), "large": counts[order][large].astype("<u8"),
-        })
-        kinds = np.minimum(counts, 3)
-        words, sums = _added(np.concatenate([first, second]), np.concatenate([
-            np.stack([counts, kinds == 1, kinds == 2, kinds == 3, np.zeros_like(counts)], 1),
-            np.stack([np.zeros_like(counts)] * 4 + [np.ones_like(counts)], 1),
-        ]))
-        own = word_shard(words, word_shards)
-        order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(word_shards + 1))
-        out = []
-        for s in np.flatnonzero(np.diff(cuts)):
-            part = order[cuts[s] : cuts[s + 1]]
-            out.append((1, int(s), _six(words[part] >> _LOW), pickle.dumps([_small(c) for c in sums[part].T]), b"", b""))
-        out.append((2, -1, np.array([len(counts), *[(counts == i).sum() for i in (1, 2, 3, 4)]], "<i8").tobytes(), b"", b"", b""))
-        return pd.DataFrame(out, columns=columns)
+            keys, counts = _added(keys, np.concatenate([_unpack_columns(x)[0] for x in group["b"]]))
+            return pd.DataFrame([(WORDS, shard, keys.tobytes(), _pack_columns([counts]), b"")], columns=COLUMNS)
+        pieces = []
+        for used, places in zip(group["a"], group["b"]):
+            names, (*places, n) = np.frombuffer(used, "<u8"), _unpack_columns(places)
+            pieces.append([*[names[p] for p in places], n])
+        *words, counts = [np.concatenate(x) for x in zip(*pieces)]
+        del pieces
+        out, found = [], []
+        for k in range(order, 1, -1):  # rows become distinct sequences of k words; shorter ones keep their occurrences
+            keys = chain(words[:k])[-1]
+            by_key = np.argsort(keys)
+            keys = keys[by_key]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            counts = np.add.reduceat(counts[by_key], first)
+            keys, words = keys[first], [w[by_key[first]] for w in words[:k]]
+            whole = words[k - 1] != NONE
+            if k == 2 < order:
+                hot = is_frequent(words[1], frequent)
+                for s, part in _cut((keys[hot] % np.uint64(shards)).astype(np.int64), shards):
+                    part = np.flatnonzero(hot)[part]
+                    names, places = np.unique(words[1][part], return_inverse=True)
+                    out.append((HOT, s, words[0][part].tobytes(), names.tobytes(), _pack_columns([places, counts[part]])))
+                whole &= ~hot
+            found.append((k, counts_of_counts(counts[whole])))
+            _store(folder, f"gram{k}-{shard}", keys[whole], counts[whole, None])
+            if k == 2:
+                out += _word_sums(words[1][whole], words[0][whole], counts[whole], word_shards)
+            else:
+                _store(folder, f"context{k - 1}-{shard}", *follower_sums(chain([w[whole] for w in words[1:]])[-1], counts[whole]))
+                counts = np.where(whole, 1, counts)
+        return pd.DataFrame([*out, _totals(found)], columns=COLUMNS)
+
+    def add_hot(group: pd.DataFrame) -> pd.DataFrame:
+        shard = int(group["shard"].iloc[0])
+        second = np.concatenate([np.frombuffer(x, "<u8") for x in group["a"]])
+        places = [_unpack_columns(x) for x in group["c"]]
+        first = np.concatenate([np.frombuffer(x, "<u8")[p[0]] for x, p in zip(group["b"], places)])
+        keys = chain([second, first])[-1]
+        by_key = np.argsort(keys)
+        start = np.flatnonzero(np.append(True, np.diff(keys[by_key]) != 0))
+        counts = np.add.reduceat(np.concatenate([p[1] for p in places])[by_key], start)
+        at = by_key[start]
+        _store(folder, f"hot-{shard}", keys[at], counts[:, None])
+        return pd.DataFrame([*_word_sums(first[at], second[at], counts, word_shards), _totals([(2, counts_of_counts(counts))])], columns=COLUMNS)
 
     def add_words(group: pd.DataFrame) -> pd.DataFrame:
         shard = int(group["shard"].iloc[0])
-        plain, sums = group[group["kind"] == 0], group[group["kind"] == 1]
-        # partial sums know the upper 48 bits of a word
-        short, values = _added(
-            np.concatenate([np.empty(0, np.uint64), *[_from_six(x) << _LOW for x in sums["a"]]]),
-            np.concatenate([np.empty((0, 5), np.int64), *[np.stack([_from_small(c) for c in pickle.loads(x)], 1) for x in sums["b"]]]),
-        )
-        words = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(x, "<u8") for x in plain["a"]]])
-        counts = np.concatenate([np.empty(0, np.int64), *[_from_small(x) for x in plain["d"]]])
-        keys = np.union1d(words, short[short == START]) if (short == START).any() else words
-        stats = np.zeros((len(keys), WORD_STATS), np.int64)
-        stats[np.searchsorted(keys, words), 0] = counts
-        if len(short):
-            at = np.minimum(np.searchsorted(short, keys >> _LOW << _LOW), len(short) - 1)
-            there = short[at] == keys >> _LOW << _LOW
-            stats[there, 1:] = values[at[there]]
-        _store(folder, f"word-{shard}", {"keys": keys.astype("<u8"), "stats": stats.astype("<i8")})
-        seen = values[:, 4]
-        return pd.DataFrame([(len(words), int(counts.sum()), *[int((seen == i).sum()) for i in (1, 2, 3, 4)], int((seen >= 3).sum()))], columns=["words", "tokens", "n1", "n2", "n3", "n4", "more"])
-
-    columns = ["kind", "shard", "a", "b", "c", "d"]
+        keys, stats = [], []
+        for kind, a, b in zip(group["kind"], group["a"], group["b"]):
+            keys.append(np.frombuffer(a, "<u8"))
+            columns = _unpack_columns(b)
+            empty = np.zeros_like(columns[0])
+            stats.append(np.stack([*columns, *[empty] * SUM_COLUMNS] if kind == WORDS else [empty, *columns], 1))
+        keys, stats = _added(np.concatenate(keys), np.concatenate(stats))
+        _store(folder, f"word-{shard}", mix(keys), stats)
+        counts, seen = stats[:, 0], stats[:, 5]
+        return pd.DataFrame([(int((counts > 0).sum()), int(counts.sum()), *counts_of_counts(seen)[1:], int((seen >= 3).sum()))], columns=["words", "tokens", "n1", "n2", "n3", "n4", "more"])
+
     packets = rows.select("text").mapInArrow(count, PACKET)
     summed = materialise(packets.groupBy("kind", "shard").applyInPandas(add_up, PACKET), "lm-sums")
-    pairs = [np.frombuffer(r["a"], "<i8") for r in summed.where("kind = 2").select("a").collect()]  # five numbers for each shard
-    n = np.sum(pairs, axis=0).tolist() if pairs else [0] * 5
-    by_word = summed.where("kind < 2").groupBy("shard").applyInPandas(add_words, "words long, tokens long, n1 long, n2 long, n3 long, n4 long, more long")
+    if order > 2:
+        hot = materialise(summed.where(F.col("kind") == HOT).groupBy("shard").applyInPandas(add_hot, PACKET), "lm-hot")
+        summed = summed.where(F.col("kind") != HOT).unionByName(hot)
+    found = {k: np.zeros(5, np.int64) for k in range(2, order + 1)}
+    for row in summed.where(F.col("kind") == TOTALS).select("a").toLocalIterator():  # a few numbers for each shard
+        for k, *n in np.frombuffer(row["a"], "<i8").reshape(-1, 6).tolist():
+            found[k] += n
+    by_word = summed.where(F.col("kind").isin(WORDS, SUMS)).groupBy("shard").applyInPandas(add_words, "words long, tokens long, n1 long, n2 long, n3 long, n4 long, more long")
     got = materialise(by_word, "lm-totals").groupBy().sum().first()
     words, tokens, *seen, more = [int(x or 0) for x in got]
-    lower = discounts(seen)
-    left = (lower[0] * seen[0] + lower[1] * seen[1] + lower[2] * more) / n[0] if n[0] else 1.0
-    if n[0]:  # a shard without a pair or a word has empty files
-        _fill(folder, shards, word_shards)
-    return Totals(folder, shards, word_shards, frequent, words, tokens, n[0], discounts(n[1:]), lower, left)
+    pairs = int(found[2][0])
+    by_order = {1: discounts(seen)} | {k: discounts(n[1:].tolist()) for k, n in found.items()}
+    lower = by_order[1]
+    left = (lower[0] * seen[0] + lower[1] * seen[1] + lower[2] * more) / pairs if pairs else 1.0
+    if pairs:  # a shard without a sequence or a word has an empty file
+        _fill(folder, order, shards, word_shards)
+    return Totals(folder, order, shards, word_shards, frequent, words, tokens, pairs, by_order, left)
 
 
-def _fill(folder: str, shards: int, word_shards: int) -> None:
+def _fill(folder: str, order: int, shards: int, word_shards: int) -> None:
     system, path = fs.FileSystem.from_uri(folder)
     there = {f.base_name for f in system.get_file_info(fs.FileSelector(path))}
-    names = [f"pair-{s}.{k}" for s in range(shards) for k in ("keys", "counts", "largekeys", "large")] + [f"word-{s}.{k}" for s in range(word_shards) for k in ("keys", "stats")]
-    for name in names:
+    kinds = [f"gram{k}" for k in range(2, order + 1)] + [f"context{k}" for k in range(2, order)] + ["hot"]
+    for name in [f"{kind}-{s}" for kind in kinds for s in range(shards)] + [f"word-{s}" for s in range(word_shards)]:
         if name not in there:
             system.open_output_stream(f"{path}/{name}").close()
 

@@ -23,7 +23,7 @@ from logwarden.llm.op2_jaccard import OP2_SQL, near_duplicates, prefix_length
 from logwarden.llm.op4_merkle import Tree, differences, fingerprint_chain, likeness
 from logwarden.llm.op7_pii import KINDS, Tagger, base_spans, find_spans, fit_tagger, luhn, personal_data, redact, windows
 from logwarden.llm.op8_bpe import Encoder, decode_ids, encode_texts, load
-from logwarden.llm.op10_lm import Model, fit_lm, score_lm
+from logwarden.llm.op10_lm import HashTable, Model, fit_lm, score_lm
 from logwarden.llm.text import hash_words, utf8
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -267,51 +267,87 @@ def test_the_network_adds_what_the_patterns_miss(tagger):
 # ---- language model
 
 
-def plain_model(texts: list[str]):
+def plain_model(texts: list[str], order: int):
     tokens = [words_of(t) + ["</s>"] for t in texts]
-    words, pairs = Counter(w for t in tokens for w in t), Counter()
+    words = Counter(w for t in tokens for w in t)
+    seen = {k: Counter() for k in range(1, order + 1)}  # occurrences; a start sign may come first
     for t in tokens:
-        pairs.update(zip(["<s>", *t[:-1]], t))
+        t = ["<s>", *t]
+        for k in seen:
+            seen[k].update(tuple(t[i - k + 1 : i + 1]) for i in range(max(1, k - 1), len(t)))
+    grams = {order: seen[order]}
+    for k in range(order - 1, 0, -1):
+        before = Counter(g[1:] for g in seen[k + 1])
+        grams[k] = {g: n if g[0] == "<s>" else before[g] for g, n in seen[k].items()}
 
     def cuts(values) -> list[float]:
         n = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
+        if not n[0]:
+            return [0.0] * 4
         y = n[0] / (n[0] + 2 * n[1])
         return [0.0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0), k) if n[k - 1] and n[k] else min(0.75, k) for k in (1, 2, 3)]
 
-    before = Counter(w for _, w in pairs)
-    high, low = cuts(pairs.values()), cuts(before.values())
-    left = sum(low[min(v, 3)] for v in before.values()) / len(pairs)
+    cut = {k: cuts(list(g.values())) for k, g in grams.items()}
     follow = defaultdict(list)
-    for (v, _), n in pairs.items():
-        follow[v].append(n)
-
-    def p(v: str, w: str) -> float:
-        lower = max(before[w] - low[min(before[w], 3)], 0) / len(pairs) + left / (len(words) + 1)
-        if v not in follow:
+    for g in grams.values():
+        for gram, n in g.items():
+            follow[gram[:-1]].append(n)
+
+    def p(context: tuple[str, ...], w: str) -> float:
+        """Contexts are cut to order - 1 words and begin with the start sign at the latest."""
+        k = len(context) + 1
+        lower = p(context[1:], w) if context else 1 / (len(words) + 1)
+        if context not in follow:
             return lower
-        n, total = pairs[v, w], sum(follow[v])
-        return max(n - high[min(n, 3)], 0) / total + sum(high[min(x, 3)] for x in follow[v]) / total * lower
+        n, d, total = grams[k].get((*context, w), 0), cut[k], sum(follow[context])
+        return max(n - d[min(n, 3)], 0) / total + sum(d[min(x, 3)] for x in follow[context]) / total * lower
 
     return words, p
 
 
-def test_scores_equal_the_plain_model(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_equal_the_plain_model(spark, order):
     docs = edge_docs(spark)
-    totals = fit_lm(docs, fold("doc_id", 7) != 2)
+    totals = fit_lm(docs, fold("doc_id", 7) != 2, order=order)
     got = score_lm(docs, totals).collect()
     data = [(i, t or "") for i, t, *_ in rows()]
-    words, p = plain_model([t for i, t in data if i is not None and zlib.crc32(str(i).encode()) % 7 != 2])
+    words, p = plain_model([t for i, t in data if i is not None and zlib.crc32(str(i).encode()) % 7 != 2], order)
     n, v = sum(words.values()), len(words)
     assert len(got) == len(data) and totals.tokens == n and totals.words == v
     want = {}
     for i, text in data:
         t = words_of(text) + ["</s>"]
-        want[i] = (len(t), sum(w in words for w in t), sum(math.log10((words[w] + 1) / (n + v + 1)) for w in t), sum(math.log10(p(a, b)) for a, b in zip(["<s>", *t[:-1]], t)))
+        padded = ["<s>", *t]
+        logs = sum(math.log10(p(tuple(padded[max(0, j - order + 1) : j]), padded[j])) for j in range(1, len(padded)))
+        want[i] = (len(t), sum(w in words for w in t), sum(math.log10((words[w] + 1) / (n + v + 1)) for w in t), logs)
     for r in got:
         n_tokens, known, base, score = want[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n_tokens, known, n)
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
-    assert sum(p("the", w) for w in words) + p("the", "never seen") == pytest.approx(1.0)
+    for context in (("the",), ("never seen", "the"), ("<s>", "the"))[:order]:
+        assert sum(p(context, w) for w in words) + p(context, "never seen") == pytest.approx(1.0)
+
+
+def test_small_chunks_and_frequent_words_give_the_same_scores(spark, monkeypatch):
+    docs = edge_docs(spark)
+    plain = fit_lm(docs, fold("doc_id", 7) != 2)
+    want = {tuple(r) for r in score_lm(docs, plain).collect()}
+    monkeypatch.setattr("logwarden.llm.op10_lm.SHARD_BYTES", 2000)
+    monkeypatch.setattr("logwarden.llm.op10_lm.FREQUENT", 0.01)
+    split = fit_lm(docs, fold("doc_id", 7) != 2)
+    assert split.shards > plain.shards and len(split.frequent) > len(plain.frequent)
+    assert split.discounts == plain.discounts and split.pairs == plain.pairs
+    assert {tuple(r) for r in score_lm(docs, split).collect()} == want
+
+
+def test_hash_table_finds_all_keys_and_no_others():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000, 100_000):
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        values = np.stack([rng.zipf(1.3, len(keys)).clip(0, 1 << 40), rng.integers(0, 3, len(keys))], 1)
+        found = HashTable(np.frombuffer(HashTable.bytes_of(keys, values), np.uint8))
+        assert (found.find(keys) == values).all()
+        assert not found.find(np.setdiff1d(rng.integers(0, 1 << 64, 500, dtype=np.uint64), keys)).any()
 
 
 def test_a_model_of_nothing_is_uniform(spark):
