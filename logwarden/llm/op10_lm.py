@@ -119,13 +119,14 @@ def deal(words: list[np.ndarray], frequent: np.ndarray, shards: int) -> np.ndarr
 
 
 def _small(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs, which the first byte says."""
+    """Numbers in as few bytes each as the largest needs, which the first byte says; all lowest bytes first, as they compress best."""
     width = 1 if counts.max(initial=0) < 1 << 8 else 2 if counts.max() < 1 << 16 else 4 if counts.max() < 1 << 32 else 8
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    return bytes([width]) + counts.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def _from_small(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").reshape(-1).astype(np.int64)
 
 
 def _added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +139,9 @@ def _added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 # ---- packets
 
+SEQUENCES = "shard int, a binary, b binary"
 PACKET = "kind int, shard int, a binary, b binary, c binary"
-WORDS, SUMS, TOTALS, HOT, SEQUENCES = range(5)  # kinds of packets
+SUMS, TOTALS, HOT = range(3)  # kinds of packets; those of sequences have none
 
 
 def _shrunk(raw: bytes) -> bytes:
@@ -172,27 +174,21 @@ def _cut(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(s), order[cuts[s] : cuts[s + 1]]
 
 
-def _packets(tokens: np.ndarray, firsts: np.ndarray, frequent: np.ndarray, order: int, shards: int, word_shards: int) -> Iterator[tuple]:
-    """Words (hashes, counts) and sequences (a list of words, places in it of each column, counts), by shard."""
-    names, columns, counts, which = sequences(tokens, firsts, order)
-    times = np.bincount(columns[0], counts, len(names)).astype(np.int64)[2:]
-    for s, part in _cut(word_shard(names[2:], word_shards), word_shards):
-        yield WORDS, s, names[2:][part].tobytes(), _pack_columns([times[part]]), b""
+def _packets(tokens: np.ndarray, firsts: np.ndarray, frequent: np.ndarray, order: int, shards: int) -> pa.RecordBatch:
+    """Sequences by shard: a list of words, the usual ones first, then the places in it of each column, and the counts."""
+    names, columns, counts, _ = sequences(tokens, firsts, order)
+    out = []
     for s, part in _cut(deal([names[c] for c in columns], frequent, shards), shards):
-        own = [c[part] for c in columns]
-        used, places = np.unique(np.concatenate(own), return_inverse=True)
-        places = np.split(places, order)
-        yield SEQUENCES, s, names[used].tobytes(), _pack_columns([*places, counts[part]]), b""
-
-
-def _frame(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int32(), *[pa.binary()] * 3]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=COLUMNS)
+        used, places, times = np.unique(np.concatenate([c[part] for c in columns]), return_inverse=True, return_counts=True)
+        usual = np.argsort(-times, kind="stable")
+        rank = np.empty(len(used), np.int64)
+        rank[usual] = np.arange(len(used))
+        out.append((s, names[used[usual]].tobytes(), _pack_columns([*np.split(rank[places], order), counts[part]])))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.binary(), pa.binary()])], names=["shard", "a", "b"])
 
 
 COLUMNS = ["kind", "shard", "a", "b", "c"]
-SUM_COLUMNS = 5  # times as a one-word context, followers seen once, twice, more often; different words before it
-WORD_STATS = 1 + SUM_COLUMNS  # its count before these
+WORD_STATS = 6  # count, times as a one-word context, followers seen once, twice, more often; different words before it
 
 
 def follower_sums(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,11 +200,12 @@ def counts_of_counts(counts: np.ndarray) -> list[int]:
     return [len(counts), *[int((counts == i).sum()) for i in (1, 2, 3, 4)]]
 
 
-def _word_sums(first: np.ndarray, second: np.ndarray, counts: np.ndarray, word_shards: int) -> Iterator[tuple]:
-    """Packets of what distinct pairs say about their words."""
+def _word_sums(first: np.ndarray, second: np.ndarray, counts: np.ndarray, said: np.ndarray, times: np.ndarray, word_shards: int) -> Iterator[tuple]:
+    """Packets of what distinct pairs say about their words, and of how often words occur."""
     b, sums = follower_sums(first, counts)
     c, before = _added(second, np.ones((len(second), 1), np.int64))
-    words, sums = _added(np.concatenate([b, c]), np.concatenate([np.pad(sums, ((0, 0), (0, 1))), np.pad(before, ((0, 0), (4, 0)))]))
+    at = [((0, 0), x) for x in ((1, 1), (5, 0), (0, 5))]
+    words, sums = _added(np.concatenate([b, c, said]), np.concatenate([np.pad(x, p) for x, p in zip((sums, before, times), at)]))
     for s, part in _cut(word_shard(words, word_shards), word_shards):
         yield SUMS, s, words[part].tobytes(), _pack_columns(list(sums[part].T)), b""
 
@@ -474,7 +471,7 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
             starts = np.cumsum([0, *[len(x[0]) for x in waiting]])
             firsts = np.concatenate([x[1][:-1] + s for x, s in zip(waiting, starts)] + [[starts[-1]]])
             waiting.clear()
-            return _frame(list(_packets(tokens, firsts, frequent, order, shards, word_shards)))
+            return _packets(tokens, firsts, frequent, order, shards)
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -487,11 +484,7 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
             yield packed()
 
     def add_up(group: pd.DataFrame) -> pd.DataFrame:
-        kind, shard = int(group["kind"].iloc[0]), int(group["shard"].iloc[0])
-        if kind == WORDS:
-            keys = np.concatenate([np.frombuffer(x, "<u8") for x in group["a"]])
-            keys, counts = _added(keys, np.concatenate([_unpack_columns(x)[0] for x in group["b"]]))
-            return pd.DataFrame([(WORDS, shard, keys.tobytes(), _pack_columns([counts]), b"")], columns=COLUMNS)
+        shard = int(group["shard"].iloc[0])
         pieces = []
         for used, places in zip(group["a"], group["b"]):
             names, (*places, n) = np.frombuffer(used, "<u8"), _unpack_columns(places)
@@ -506,6 +499,8 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             counts = np.add.reduceat(counts[by_key], first)
             keys, words = keys[first], [w[by_key[first]] for w in words[:k]]
+            if k == order:
+                said = _added(words[0], counts[:, None])
             whole = words[k - 1] != NONE
             if k == 2 < order:
                 hot = is_frequent(words[1], frequent)
@@ -517,7 +512,7 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
             found.append((k, counts_of_counts(counts[whole])))
             _store(folder, f"gram{k}-{shard}", keys[whole], counts[whole, None])
             if k == 2:
-                out += _word_sums(words[1][whole], words[0][whole], counts[whole], word_shards)
+                out += _word_sums(words[1][whole], words[0][whole], counts[whole], *said, word_shards)
             else:
                 _store(folder, f"context{k - 1}-{shard}", *follower_sums(chain([w[whole] for w in words[1:]])[-1], counts[whole]))
                 counts = np.where(whole, 1, counts)
@@ -534,23 +529,19 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
         counts = np.add.reduceat(np.concatenate([p[1] for p in places])[by_key], start)
         at = by_key[start]
         _store(folder, f"hot-{shard}", keys[at], counts[:, None])
-        return pd.DataFrame([*_word_sums(first[at], second[at], counts, word_shards), _totals([(2, counts_of_counts(counts))])], columns=COLUMNS)
+        none = second[:0], np.empty((0, 1), np.int64)
+        return pd.DataFrame([*_word_sums(first[at], second[at], counts, *none, word_shards), _totals([(2, counts_of_counts(counts))])], columns=COLUMNS)
 
     def add_words(group: pd.DataFrame) -> pd.DataFrame:
         shard = int(group["shard"].iloc[0])
-        keys, stats = [], []
-        for kind, a, b in zip(group["kind"], group["a"], group["b"]):
-            keys.append(np.frombuffer(a, "<u8"))
-            columns = _unpack_columns(b)
-            empty = np.zeros_like(columns[0])
-            stats.append(np.stack([*columns, *[empty] * SUM_COLUMNS] if kind == WORDS else [empty, *columns], 1))
-        keys, stats = _added(np.concatenate(keys), np.concatenate(stats))
+        keys = np.concatenate([np.frombuffer(x, "<u8") for x in group["a"]])
+        keys, stats = _added(keys, np.concatenate([np.stack(_unpack_columns(x), 1) for x in group["b"]]))
         _store(folder, f"word-{shard}", mix(keys), stats)
         counts, seen = stats[:, 0], stats[:, 5]
         return pd.DataFrame([(int((counts > 0).sum()), int(counts.sum()), *counts_of_counts(seen)[1:], int((seen >= 3).sum()))], columns=["words", "tokens", "n1", "n2", "n3", "n4", "more"])
 
-    packets = rows.select("text").mapInArrow(count, PACKET)
-    summed = materialise(packets.groupBy("kind", "shard").applyInPandas(add_up, PACKET), "lm-sums")
+    packets = rows.select("text").mapInArrow(count, SEQUENCES)
+    summed = materialise(packets.groupBy("shard").applyInPandas(add_up, PACKET), "lm-sums")
     if order > 2:
         hot = materialise(summed.where(F.col("kind") == HOT).groupBy("shard").applyInPandas(add_hot, PACKET), "lm-hot")
         summed = summed.where(F.col("kind") != HOT).unionByName(hot)
@@ -558,7 +549,7 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
     for row in summed.where(F.col("kind") == TOTALS).select("a").toLocalIterator():  # a few numbers for each shard
         for k, *n in np.frombuffer(row["a"], "<i8").reshape(-1, 6).tolist():
             found[k] += n
-    by_word = summed.where(F.col("kind").isin(WORDS, SUMS)).groupBy("shard").applyInPandas(add_words, "words long, tokens long, n1 long, n2 long, n3 long, n4 long, more long")
+    by_word = summed.where(F.col("kind") == SUMS).groupBy("shard").applyInPandas(add_words, "words long, tokens long, n1 long, n2 long, n3 long, n4 long, more long")
     got = materialise(by_word, "lm-totals").groupBy().sum().first()
     words, tokens, *seen, more = [int(x or 0) for x in got]
     pairs = int(found[2][0])
