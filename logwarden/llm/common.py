@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logwarden.session import materialise
+
 _shipped: set[str] = set()
 
 
@@ -37,6 +39,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``materialise``, after which Spark removes the shuffle files of this write; no other reader needs them."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % F.lit(parts)

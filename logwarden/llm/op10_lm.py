@@ -8,7 +8,8 @@ Counting. A task counts its own distinct word sequences of full order first and
 dealt by the last word of the context: all contexts and lower orders that end in it are then in one shard, which derives them from the full
 sequences. After a frequent word (from a bounded sample; there are at most shards / ``FREQUENT`` such words) they are dealt by the last two words of the context,
 and only the pairs after it are added up in a second round, dealt by pair. For each word, the sums of its followers and of the words it
-follows are added up by word shard. Only totals reach the driver. The number of shards follows the bytes of the texts (``SHARD_BYTES``).
+follows are added up by word shard. Only totals reach the driver. The texts are read in ``ROUNDS`` rounds, each for a part of the shards, and the shuffle files
+of a round go when its sums are written: what lies on disk at once is that much less. The number of shards follows the bytes of the texts (``SHARD_BYTES``).
 
 Storage. A table is a sorted array of hashes: an index of buckets by the upper bits and the rest in five bytes, so that 48 to 56 bits of
 a sequence's hash count in its shard. A shard is bounded in size, and beyond 65,536 sequences has the 56. Values are one byte, a number in a list of the shard's
@@ -25,8 +26,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -35,14 +37,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import fold, map_batches, ship, table
+from logwarden.llm.common import fold, map_batches, ship, table, written_once
 from logwarden.llm.text import hash_words, mix, utf8
-from logwarden.session import materialise, scratch_path
+from logwarden.session import scratch_path
 
 #: Words of the longest sequences, the scored one included.
 ORDER = 3
 #: Words that a task counts together.
 CHUNK_WORDS = 1_000_000
+#: Rounds in which the texts are read and a part of the shards is counted, so that only this part of the sequences lies in shuffle files at once.
+ROUNDS = 4
 #: Bytes of text for each shard of sequences.
 SHARD_BYTES = 24 << 20
 #: A word that would fill this part of a shard by itself, by its share of the sampled words, is frequent.
@@ -64,10 +68,11 @@ def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, firsts + np.arange(n + 1)
 
 
-def sequences(tokens: np.ndarray, firsts: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+def sequences(tokens: np.ndarray, firsts: np.ndarray, order: int, wanted: Callable[[list[np.ndarray]], np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     """Distinct sequences of full order that end in each token, by context's last word.
 
     Returns the words (``NONE`` and ``START`` first), the places in them of each sequence's last word, the word before it and so on, the sequences' counts, and the number of the sequence of each token.
+    ``wanted`` tells which of the sequences, given from the last word to the first, are taken; all are without it.
     """
     words, index = np.unique(tokens, return_inverse=True)
     names = np.concatenate([np.array([NONE, START]), words])
@@ -77,7 +82,10 @@ def sequences(tokens: np.ndarray, firsts: np.ndarray, order: int) -> tuple[np.nd
         before = np.zeros(len(tokens), np.int64)
         before[k:] = index[:-k] + 2
         back.append(np.where(here >= k, before, (here == k - 1).astype(np.int64)))
-    code, span = np.zeros(len(tokens), np.int64), 1
+    if wanted is not None:
+        mask = wanted([names[b] for b in back])
+        back = [b[mask] for b in back]
+    code, span = np.zeros(len(back[0]), np.int64), 1
     for k in [*range(1, order), 0]:
         if span * len(names) >= 1 << 62:
             code = np.unique(code, return_inverse=True)[1]
@@ -174,9 +182,9 @@ def _cut(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(s), order[cuts[s] : cuts[s + 1]]
 
 
-def _packets(tokens: np.ndarray, firsts: np.ndarray, frequent: np.ndarray, order: int, shards: int) -> pa.RecordBatch:
-    """Sequences by shard: a list of words, the usual ones first, then the places in it of each column, and the counts."""
-    names, columns, counts, _ = sequences(tokens, firsts, order)
+def _packets(tokens: np.ndarray, firsts: np.ndarray, frequent: np.ndarray, order: int, shards: int, nth: int, rounds: int) -> pa.RecordBatch:
+    """Sequences by shard, of the shards of one round: a list of words, the usual ones first, then the places in it of each column, and the counts."""
+    names, columns, counts, _ = sequences(tokens, firsts, order, lambda words: deal(words, frequent, shards) % rounds == nth)
     out = []
     for s, part in _cut(deal([names[c] for c in columns], frequent, shards), shards):
         used, places, times = np.unique(np.concatenate([c[part] for c in columns]), return_inverse=True, return_counts=True)
@@ -184,7 +192,7 @@ def _packets(tokens: np.ndarray, firsts: np.ndarray, frequent: np.ndarray, order
         rank = np.empty(len(used), np.int64)
         rank[usual] = np.arange(len(used))
         out.append((s, names[used[usual]].tobytes(), _pack_columns([*np.split(rank[places], order), counts[part]])))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.binary(), pa.binary()])], names=["shard", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], t) for i, t in enumerate([pa.int32(), pa.binary(), pa.binary()])], names=["shard", "a", "b"])
 
 
 COLUMNS = ["kind", "shard", "a", "b", "c"]
@@ -440,7 +448,7 @@ class Model:
 # ---- counting in Spark
 
 
-def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, order: int = ORDER) -> Totals:
+def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, order: int = ORDER, rounds: int = ROUNDS) -> Totals:
     """Counts the texts of the rows where ``usable`` holds and stores the model of an order of 2 or more in the shared folder."""
     if order < 2:
         raise ValueError("the order must be 2 or more")
@@ -463,7 +471,7 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
     frequent = some.where(F.col("n") * shards >= FREQUENT * all_sampled).orderBy("w").toPandas()["w"].to_numpy(np.int64).view(np.uint64)
     frequent = np.union1d(frequent, np.array([START]))
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterable[pa.RecordBatch], nth: int) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def packed() -> pa.RecordBatch:
@@ -471,7 +479,7 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
             starts = np.cumsum([0, *[len(x[0]) for x in waiting]])
             firsts = np.concatenate([x[1][:-1] + s for x, s in zip(waiting, starts)] + [[starts[-1]]])
             waiting.clear()
-            return _packets(tokens, firsts, frequent, order, shards)
+            return _packets(tokens, firsts, frequent, order, shards, nth, rounds)
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -540,17 +548,20 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
         counts, seen = stats[:, 0], stats[:, 5]
         return pd.DataFrame([(int((counts > 0).sum()), int(counts.sum()), *counts_of_counts(seen)[1:], int((seen >= 3).sum()))], columns=["words", "tokens", "n1", "n2", "n3", "n4", "more"])
 
-    packets = rows.select("text").mapInArrow(count, SEQUENCES)
-    summed = materialise(packets.groupBy("shard").applyInPandas(add_up, PACKET), "lm-sums")
+    parts = []
+    for nth in range(rounds):
+        packets = rows.select("text").mapInArrow(partial(count, nth=nth), SEQUENCES)
+        parts.append(written_once(packets.groupBy("shard").applyInPandas(add_up, PACKET), "lm-sums"))
+    summed = reduce(DataFrame.unionByName, parts)
     if order > 2:
-        hot = materialise(summed.where(F.col("kind") == HOT).groupBy("shard").applyInPandas(add_hot, PACKET), "lm-hot")
+        hot = written_once(summed.where(F.col("kind") == HOT).groupBy("shard").applyInPandas(add_hot, PACKET), "lm-hot")
         summed = summed.where(F.col("kind") != HOT).unionByName(hot)
     found = {k: np.zeros(5, np.int64) for k in range(2, order + 1)}
     for row in summed.where(F.col("kind") == TOTALS).select("a").toLocalIterator():  # a few numbers for each shard
         for k, *n in np.frombuffer(row["a"], "<i8").reshape(-1, 6).tolist():
             found[k] += n
     by_word = summed.where(F.col("kind") == SUMS).groupBy("shard").applyInPandas(add_words, "words long, tokens long, n1 long, n2 long, n3 long, n4 long, more long")
-    got = materialise(by_word, "lm-totals").groupBy().sum().first()
+    got = written_once(by_word, "lm-totals").groupBy().sum().first()
     words, tokens, *seen, more = [int(x or 0) for x in got]
     pairs = int(found[2][0])
     by_order = {1: discounts(seen)} | {k: discounts(n[1:].tolist()) for k, n in found.items()}
