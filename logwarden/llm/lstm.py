@@ -6,6 +6,8 @@ by length, shortest first: the backward direction starts each one at its own end
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -31,12 +33,14 @@ class BiLSTM:
 
     # ---- one direction
 
-    def _run(self, x: np.ndarray, d: str, gone: np.ndarray | None, keep: bool):
-        """Hidden states; x is in reading order of the direction. gone: sequences that have not begun yet at a step (backward only)."""
+    def _run(self, x: np.ndarray, d: str, gone: np.ndarray | None, keep: bool, begin: tuple[np.ndarray, np.ndarray] | None = None):
+        """Hidden states, what the gradients need, and the last state; x is in reading order of the direction.
+
+        gone: sequences that have not begun yet at a step (backward only). begin: the state before the first step, zero if None."""
         h4, n = 4 * self.hidden, self.hidden
         w, u, b = self.p[f"w{d}"], self.p[f"u{d}"], self.p[f"b{d}"]
         steps, _, batch = x.shape
-        h, c = np.zeros((n, batch), np.float32), np.zeros((n, batch), np.float32)
+        h, c = begin or (np.zeros((n, batch), np.float32), np.zeros((n, batch), np.float32))
         out = np.empty((steps, n, batch), np.float32)
         saved = []
         z = np.empty((h4, batch), np.float32)
@@ -62,7 +66,7 @@ class BiLSTM:
             out[t] = h
             if keep:
                 saved.append((z.copy(), before, tc))
-        return out, saved
+        return out, saved, (h, c)
 
     def _back(self, x: np.ndarray, d: str, gone: np.ndarray | None, saved, d_out: np.ndarray, grads: dict) -> None:
         n = self.hidden
@@ -89,11 +93,55 @@ class BiLSTM:
     def scores(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """(time, output, sequence) scores; sequences sorted by length."""
         gone = ended(lengths, len(x))
-        hf, _ = self._run(x, "f", None, False)
-        hb, _ = self._run(x[::-1], "b", gone[::-1], False)
+        hf, _, _ = self._run(x, "f", None, False)
+        hb, _, _ = self._run(x[::-1], "b", gone[::-1], False)
         n = self.hidden
         return self.p["v"][:, :n] @ hf + self.p["v"][:, n:] @ hb[::-1] + self.p["c"]
 
+    def long_scores(self, inputs: Callable[[int, int, int], np.ndarray], lengths: list[int], piece: int) -> list[np.ndarray]:
+        """(length, output) scores of sequences of any length, the same as ``scores`` gives.
+
+        ``inputs(i, lo, hi)`` makes the steps lo to hi of sequence i. Both directions hand their states on from piece to piece, the forward
+        one from the first piece on and the backward one from the last, so at most ``piece`` steps of a sequence are held; inputs are made twice."""
+        n, v = self.hidden, self.p["v"]
+        order = sorted(range(len(lengths)), key=lengths.__getitem__)
+        sizes = np.array([lengths[i] for i in order])
+        out = [np.empty((size, self.outputs), np.float32) for size in lengths]
+
+        def steps_of(lo: int) -> tuple[int, np.ndarray, np.ndarray]:
+            """The sequences that reach beyond ``lo`` (the last ones, being the longest), and their steps from there."""
+            first = int(np.searchsorted(sizes, lo, "right"))
+            ends = np.minimum(sizes[first:], lo + piece)
+            x = None
+            for j, i in enumerate(order[first:]):
+                part = inputs(i, lo, int(ends[j]))
+                if x is None:
+                    x = np.zeros((int(ends[-1]) - lo, part.shape[1], len(ends)), np.float32)
+                x[: len(part), :, j] = part
+            return first, ends, x
+
+        starts = range(0, int(sizes[-1]) if len(sizes) else 0, piece)
+        state, held = None, 0
+        for lo in starts:
+            first, ends, x = steps_of(lo)
+            begin = None if state is None else tuple(a[:, first - held :] for a in state)
+            h, _, state = self._run(x, "f", None, False, begin)
+            held = first
+            for j, i in enumerate(order[first:]):
+                out[i][lo : ends[j]] = h[: ends[j] - lo, :, j] @ v[:, :n].T
+        state, held = None, len(order)
+        for lo in reversed(starts):
+            first, ends, x = steps_of(lo)
+            begin = tuple(np.zeros((n, len(order) - first), np.float32) for _ in "hc")
+            if state is not None:  # sequences that end in this piece begin with zeros
+                for a, b in zip(begin, state):
+                    a[:, held - first :] = b
+            h, _, state = self._run(x[::-1], "b", ended(ends - lo, len(x))[::-1], False, begin)
+            held = first
+            for j, i in enumerate(order[first:]):
+                out[i][lo : ends[j]] += h[::-1][: ends[j] - lo, :, j] @ v[:, n:].T + self.p["c"][:, 0]
+        return out
+
     def _loss(self, s: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> tuple[float, np.ndarray, dict]:
         steps, k, batch = s.shape
         live = (np.arange(steps)[:, None] < lengths[None, :]).astype(np.float32)
@@ -130,8 +178,8 @@ class BiLSTM:
 
     def gradients(self, x: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> tuple[float, dict]:
         n, gone = self.hidden, ended(lengths, len(x))
-        hf, saved_f = self._run(x, "f", None, True)
-        hb, saved_b = self._run(x[::-1], "b", gone[::-1], True)
+        hf, saved_f, _ = self._run(x, "f", None, True)
+        hb, saved_b, _ = self._run(x[::-1], "b", gone[::-1], True)
         both = np.concatenate([hf, hb[::-1]], 1)
         loss, ds, grads = self._loss(self.p["v"] @ both + self.p["c"], y, lengths)
         grads["v"] = np.einsum("tkb,thb->kh", ds, both)

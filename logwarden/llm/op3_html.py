@@ -2,7 +2,8 @@
 
 A page is cut into leaf blocks in page order. Each block has a vector of its tag path (hashed names of the open elements, and of
 the words of their class, id and role), of its words (hashed), and of its length, links and signs. A bidirectional LSTM
-reads the whole page and says of each block whether it belongs to the article.
+reads the whole page and says of each block whether it belongs to the article. Of a long page the vectors of ``WINDOW`` blocks are held at a
+time; the states of both directions go on from piece to piece, so each block is seen in the context of the whole page at any length.
 
 The network is trained in numpy on pages written from templates (whose blocks are known) filled with words of a bounded sample of the
 given pages, and on that sample itself, labelled by the meaning of its elements where that is plain (``plain_label``).
@@ -34,9 +35,10 @@ MADE_PAGES = 500
 HIDDEN = 16
 PATH_DIMENSIONS = 160
 WORD_DIMENSIONS = 24
-#: Blocks read at once; a longer page is read in windows that overlap by ``OVERLAP`` blocks.
+#: Blocks of a page held as vectors at once; the states of the network are carried over a longer page from piece to piece.
 WINDOW = 256
-OVERLAP = 64
+#: Long pages read side by side.
+ABREAST = 64
 
 # ---- cutting a page into blocks
 
@@ -88,25 +90,45 @@ def cut_blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     inline: list[tuple[str, tuple[str, ...]]] = []
+    held: dict[str, int] = {}  # names of all open elements, so that a block costs the different ones and not the depth
+    opened: dict[str, int] = {}  # block elements on the stack, by tag
     parts: list[str] = []
     linked = in_link = at = 0
 
+    def hold(names: tuple[str, ...]) -> None:
+        for name in names:
+            held[name] = held.get(name, 0) + 1
+
+    def release(names: tuple[str, ...]) -> None:
+        for name in names:
+            if held[name] == 1:
+                del held[name]
+            else:
+                held[name] -= 1
+
+    def cut(i: int) -> None:
+        for tag, own in stack[i:]:
+            opened[tag] -= 1
+            release(own)
+        del stack[i:]
+
     def flush() -> None:
         nonlocal linked
         if parts:
             text = _decode("".join(parts))
             parts.clear()
             if text:
-                names = [n for _, own in stack for n in own] + [n for _, own in inline for n in own[1:]]
-                out.append(Block(text, tuple(dict.fromkeys(names)), linked))
+                out.append(Block(text, tuple(held), linked))
         linked = 0
 
     def close(tags: set[str] | frozenset[str], stop: set[str]) -> None:
+        if not any(map(opened.get, tags)):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in stop:
                 return
             if stack[i][0] in tags:
-                del stack[i:]
+                cut(i)
                 return
 
     for m in _MARKUP.finditer(page):
@@ -126,19 +148,19 @@ def cut_blocks(page: str) -> list[Block]:
             if ending:
                 for i in range(len(inline) - 1, -1, -1):
                     if inline[i][0] == tag:
-                        del inline[i]
+                        release(inline.pop(i)[1][1:])
                         break
             elif "=" in attributes and len(own := _names(tag, attributes)) > 1 and not attributes.endswith("/"):
                 inline.append((tag, own))
+                hold(own[1:])
             continue
         flush()
         if ending:
             if tag == "p" or tag not in _EMPTY_TAGS:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                close({tag}, set())
                 if tag not in ("p", "br"):
+                    for _, own in inline:
+                        release(own[1:])
                     inline.clear()
             continue
         if tag in _ENDS_P:
@@ -146,9 +168,10 @@ def cut_blocks(page: str) -> list[Block]:
         if tag in _SAME:
             close(*_SAME[tag])
         if tag not in _EMPTY_TAGS:
-            stack.append((tag, _names(tag, attributes)))
-            if len(stack) > 200:  # no page nests so deep; the outermost elements say the least by then
-                del stack[100]
+            own = _names(tag, attributes)
+            stack.append((tag, own))
+            opened[tag] = opened.get(tag, 0) + 1
+            hold(own)
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -197,30 +220,24 @@ class Labeller:
     def article(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page which blocks are part of the article."""
         out = [np.zeros(len(p), bool) for p in pages]
-        todo = []  # page, start, length, own start, own end
-        for i, p in enumerate(pages):
-            n, step, margin = len(p), WINDOW - OVERLAP, OVERLAP // 2
-            starts = [0] if n <= WINDOW else list(range(0, n - OVERLAP, step))
-            for s in starts:
-                stop = min(s + WINDOW, n)
-                todo.append((i, s, stop - s, s + margin if s else 0, n if stop == n else s + step + margin))
-        todo = sorted((t for t in todo if t[2]), key=lambda t: t[2])
-        vectors: dict[int, np.ndarray] = {}
-        for lo in range(0, len(todo), 256):
-            part = todo[lo : lo + 256]
-            lengths = np.array([t[2] for t in part])
+        order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
+        short = [i for i in order if len(pages[i]) <= WINDOW]
+        for lo in range(0, len(short), 256):
+            part = short[lo : lo + 256]
+            lengths = np.array([len(pages[i]) for i in part])
             x = np.zeros((int(lengths[-1]), FEATURES, len(part)), np.float32)
-            for j, (i, s, n, _, _) in enumerate(part):
-                if len(pages[i]) > WINDOW:
-                    if i not in vectors:
-                        vectors[i] = block_vectors(pages[i])
-                    x[:n, :, j] = vectors[i][s : s + n]
-                else:
-                    x[:n, :, j] = block_vectors(pages[i])
+            for j, i in enumerate(part):
+                x[: lengths[j], :, j] = block_vectors(pages[i])
             s = self.net.scores(x, lengths)
             good = s[:, 1] > s[:, 0]
-            for j, (i, start, _, a, b) in enumerate(part):
-                out[i][a:b] = good[a - start : b - start, j]
+            for j, i in enumerate(part):
+                out[i][:] = good[: lengths[j], j]
+        long = order[len(short) :]
+        for lo in range(0, len(long), ABREAST):
+            part = [pages[i] for i in long[lo : lo + ABREAST]]
+            scores = self.net.long_scores(lambda j, a, b: block_vectors(part[j][a:b]), [len(p) for p in part], WINDOW)  # noqa: B023 (used at once)
+            for i, s in zip(long[lo:], scores):
+                out[i][:] = s[:, 1] > s[:, 0]
         return out
 
     def main_text(self, htmls: list[str]) -> list[str]:

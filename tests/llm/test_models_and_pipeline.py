@@ -124,6 +124,17 @@ def test_viterbi_is_the_best_path():
         assert tuple(tags[:n, j]) == max(paths, key=value)
 
 
+@pytest.mark.parametrize("lengths", [[1], [7], [8, 16, 24, 3, 1], [50, 7, 8, 9, 23, 16, 17, 50]])
+def test_states_carried_over_long_sequences(lengths):
+    net = BiLSTM(5, 4, 2)
+    rng = np.random.default_rng(len(lengths))
+    xs = [rng.normal(size=(n, 5)).astype(np.float32) for n in lengths]
+    got = net.long_scores(lambda i, a, b: xs[i][a:b], lengths, 8)
+    for x, s in zip(xs, got):
+        assert np.allclose(s, net.scores(x[:, :, None], np.array([len(x)]))[:, :, 0], atol=1e-5)
+    assert net.long_scores(lambda i, a, b: xs[i][a:b], [], 8) == []
+
+
 # ---- pages
 
 
@@ -137,6 +148,29 @@ def test_blocks():
     assert [b.text for b in cut_blocks('<p title="a>b">x</p><p class="unclosed>y</p>')] == ["x", "y"]
 
 
+def test_deep_pages():
+    deep = "".join(f'<div class="level{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}">' for i in range(600)) + "x" + "</div>" * 599 + "y</div>z"
+    x, y, z = cut_blocks(deep)
+    assert len(x.path) == 1 + 600 and y.path == ("div", ".levelaa") and z.path == ()
+    blocks = cut_blocks("<section class=a><div>" * 60_000 + "a</p><p>b</section></li>c")
+    assert [b.text for b in blocks] == ["a", "b", "c"] and set(blocks[0].path) == {"section", ".a", "div"}
+    mixed = cut_blocks('<div id="one"><span class="two">a<br>b</span>c<div>d</div><em class="three">e</div>f')
+    assert [b.text for b in mixed] == ["a", "bc", "d", "e", "f"]
+    assert mixed[0].path == ("div", ".one", ".two") and ".three" in mixed[-2].path and mixed[-1].path == ()
+
+
+def test_a_long_page_is_one_sequence(spark):
+    pages, _ = pages_table(spark)
+    model = fit_labeller(pages)
+    rng = random.Random(8)
+    prose_of = lambda n: "".join(f"<div>{prose(rng, 12)}</div>" for _ in range(n))
+    cut = [cut_blocks(f"<article>{prose_of(300)}</article><div>{prose(rng, 3)}</div><footer>{prose_of(n)}</footer>") for n in (0, 5, 2 * op3_html.WINDOW, 900)]
+    for blocks, kept in zip(cut, model.article(cut)):
+        s = model.net.scores(op3_html.block_vectors(blocks)[:, :, None], np.array([len(blocks)]))[:, :, 0]
+        clear = np.abs(s[:, 1] - s[:, 0]) > 1e-3
+        assert ((s[:, 1] > s[:, 0]) == kept)[clear].all() and kept[:300].mean() > 0.97 and not kept[302:].any()
+
+
 def pages_table(spark, n: int = 80):
     rng = random.Random(5)
     data, want = [], {}
