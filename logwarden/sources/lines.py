@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ from logwarden.sources.files import Listing, escaped, list_sources, plain_path
 
 # Rows of the block table (about 200 bytes each) up to which every executor gets all of them.
 MAX_BROADCAST_BLOCKS = 200_000
+# Parts into which a group of files with a fault is cut, and groups that are read at the same time.
+FAN_OUT = 32
+SIDE_BY_SIDE = 8
+# Conditions of Spark that blame a file.
+_FILE_ERRORS = ("FAILED_READ_FILE", "PATH_NOT_FOUND")
 
 
 def source_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -41,7 +48,7 @@ class Scan:
 
 
 def scan_files(spark: SparkSession, paths: Sequence[str]) -> Scan:
-    """Count the lines of all files. A file that fails is set apart and the count begins again without it.
+    """Count the lines of all files. Where a file fails, the files that cannot be read whole are sifted out and the others are counted again.
 
     What is left is read without leave to skip anything, so a file that breaks later stops the run.
     The lines of broken files are written once, so that all passes see the same.
@@ -50,26 +57,22 @@ def scan_files(spark: SparkSession, paths: Sequence[str]) -> Scan:
     if not listing.files:
         return Scan(listing, None, None, [])
     _pin_splits(spark)
-    roots, whole, broken = listing.roots, [p for p, _, _ in listing.files], []
     parts: list[tuple[DataFrame, DataFrame]] = []
-    while whole:
-        numbered = _numbered(spark, roots)
-        try:
+    broken: list[str] = []
+    numbered = _numbered(spark, listing.roots)
+    try:
+        parts.append((numbered, _blocks(numbered)))
+    except (PySparkException, Py4JJavaError) as error:
+        if not _is_of_a_file(error):
+            raise
+        whole, broken = sift_files(spark, [p for p, _, _ in listing.files])
+        some, _ = sift_files(spark, broken, skip=True)
+        if whole:
+            numbered = _numbered(spark, whole)
             parts.append((numbered, _blocks(numbered)))
-            break
-        except Exception as error:  # noqa: BLE001 (told apart by the file that it names)
-            named = _named(str(error), whole)
-            if named is None:
-                raise
-            broken.append(named)
-            whole.remove(named)
-            roots = whole
-    for path in broken:
-        try:
-            lines = materialise(_numbered(spark, [path], skip=True), "broken")
-        except Exception:  # noqa: BLE001 (not a line can be read; the error row is written all the same)
-            continue
-        parts.append((lines, _blocks(lines)))
+        if some:
+            lines = materialise(_numbered(spark, some, skip=True), "broken")
+            parts.append((lines, _blocks(lines)))
     if not parts:
         return Scan(listing, None, None, [plain_path(p) for p in broken])
     numbered, blocks = parts[0]
@@ -78,10 +81,43 @@ def scan_files(spark: SparkSession, paths: Sequence[str]) -> Scan:
     return Scan(listing, numbered, blocks, [plain_path(p) for p in broken])
 
 
-def _named(text: str, paths: Sequence[str]) -> str | None:
-    """The file that an error of a scan names; the longest, as one name may begin another."""
-    texts = (text, unquote(text))
-    return max((p for p in paths if any(plain_path(p) in t for t in texts)), key=len, default=None)
+def sift_files(spark: SparkSession, paths: Sequence[str], *, skip: bool = False) -> tuple[list[str], list[str]]:
+    """The files that can be read to their end, and the others, each in the order given.
+
+    All are read as one group. A group with a fault is cut into ``FAN_OUT`` smaller ones, down to single files, so a file is read at most once
+    for each level: two million files have four levels, however many of them are broken. Only errors of reading a file are taken as its fault.
+    """
+    whole: set[str] = set()
+    groups = [list(paths)] if paths else []
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        while groups:
+            read = list(pool.map(lambda group: _can_be_read(spark, group, skip), groups))
+            whole.update(p for group, good in zip(groups, read) if good for p in group)
+            faulty = [g for g, good in zip(groups, read) if not good and len(g) > 1]
+            groups = [g[i :: min(FAN_OUT, len(g))] for g in faulty for i in range(min(FAN_OUT, len(g)))]
+    return [p for p in paths if p in whole], [p for p in paths if p not in whole]
+
+
+def _can_be_read(spark: SparkSession, paths: Sequence[str], skip: bool) -> bool:
+    try:
+        _text(spark, paths, skip).count()
+    except (PySparkException, Py4JJavaError) as error:
+        if not _is_of_a_file(error):
+            raise
+        return False
+    return True
+
+
+def _is_of_a_file(error: Exception) -> bool:
+    """Whether Spark blames a file for an error, by the conditions of the error and of its causes."""
+    if isinstance(error, PySparkException):
+        return (error.getCondition() or "").startswith(_FILE_ERRORS)
+    cause, depth = getattr(error, "java_exception", None), 0
+    while cause is not None and depth < 30:
+        if cause.getClass().getName().startswith("org.apache.spark.Spark") and (cause.getCondition() or "").startswith(_FILE_ERRORS):
+            return True
+        cause, depth = cause.getCause(), depth + 1
+    return False
 
 
 def unreadable_sources(
@@ -111,13 +147,17 @@ def unreadable_sources(
     return missing.unionAll(unread)
 
 
+def _text(spark: SparkSession, paths: Sequence[str], skip: bool) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", str(skip).lower())
+    return reader.text([escaped(p) for p in paths])
+
+
 def _numbered(spark: SparkSession, paths: Sequence[str], *, skip: bool = False) -> DataFrame:
     """Every line with its file, block and a number that rises by one inside a block.
 
     Files are named literally and folders are read to their depth. ``skip``: a file that breaks off gives the lines before the break.
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", str(skip).lower())
-    found = reader.text([escaped(p) for p in paths])
+    found = _text(spark, paths, skip)
     # The scan writes a path as a URI, the listing as it is; a local one has one slash or three after the scheme.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return found.select(

@@ -216,6 +216,45 @@ def test_files_that_break_off_are_error_rows(spark, tmp_path):
     assert {(r.source, r.reason) for r in errors} == want
 
 
+def test_many_broken_files_cost_a_few_passes(spark, tmp_path, monkeypatch):
+    from logwarden.sources import lines as L
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    data = gzip.compress("\n".join(hit("1.1.1.1", i % 60, f"/{random.Random(i).random()}") for i in range(3_000)).encode())
+    want, names = set(), []
+    for i in range(24):
+        path = folder / f"{i:02d}.log.gz"
+        cut = i % 3 == 1 or i in (20, 21, 22)
+        path.write_bytes(data[: len(data) // 2] if cut else data)
+        want |= {str(path)} if cut else set()
+        names.append(str(path))
+    monkeypatch.setattr(L, "FAN_OUT", 4)
+    read, counts = [], []
+    text, blocks = L._text, L._blocks
+    monkeypatch.setattr(L, "_text", lambda spark, paths, skip: read.append((len(paths), skip)) or text(spark, paths, skip))
+    monkeypatch.setattr(L, "_blocks", lambda numbered: counts.append(1) or blocks(numbered))
+    scan = L.scan_files(spark, [str(folder)])
+    assert set(scan.broken) == want and len(want) == 10
+    # Levels of 24, 6, 2 and 1 files, each file once at most in each, then the count of what is whole.
+    assert sum(n for n, skip in read if not skip) <= 1 + 4 * 24 + 14 and len(counts) == 3
+    whole, broken = L.sift_files(spark, names)
+    assert whole == [n for n in names if n not in want] and broken == [n for n in names if n in want]
+    assert L.sift_files(spark, []) == ([], []) and L.sift_files(spark, names[:1]) == (names[:1], [])
+    numbered = read_log_lines(spark, [str(folder)], scan=scan)
+    assert numbered.where(F.col("source").isin([n for n in names if n not in want])).count() == 14 * 3_000
+
+
+def test_faults_of_machines_are_not_blamed_on_files(spark, tmp_path, monkeypatch):
+    from logwarden.sources import lines as L
+
+    path = write(tmp_path / "a.log", ["x"])
+    failing = lambda spark, paths, skip: spark.read.text(paths).where("raise_error('lost') IS NULL")
+    monkeypatch.setattr(L, "_text", failing)
+    with pytest.raises(Exception, match="lost"):
+        L.sift_files(spark, [path])
+
+
 def test_a_thousand_names_are_one_reader(spark, tmp_path):
     paths = [write(tmp_path / f"{i}.log", [hit("1.1.1.1", i % 60)]) for i in range(200)]
     assert len(source_files(spark, paths).collect()) == 200
