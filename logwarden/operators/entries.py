@@ -49,7 +49,7 @@ def parse_lines(
     """Parse every line of ``lines`` (with its ``format``, ``web`` or ``auth``).
 
     Keeps all lines. ``pos`` is their arrival order: source position, then line number, unless
-    the lines bring their own. ``kind`` is ``web`` or ``auth`` for an entry, ``error`` for a line that
+    the lines bring their own; sources or lines too many for that are an error. ``kind`` is ``web`` or ``auth`` for an entry, ``error`` for a line that
     does not parse (``reason`` says why) and ``blank`` for a blank one. Syslog stamps, which name no
     zone, are read in ``tz``.
     """
@@ -60,7 +60,12 @@ def parse_lines(
         f"WHEN format = 'web' THEN {_matched(P.WEB_LINE, P.WEB_GROUPS)} ELSE {_matched(P.AUTH_LINE, P.AUTH_GROUPS)} END"
     )
     # The generator keeps filters on parsed fields above it, so the regex runs once per line.
-    pos = "pos" if "pos" in lines.columns else f"shiftleft(cast(source_idx AS BIGINT), {POS_LINE_BITS}) + line_no AS pos"
+    packed = (
+        f"CASE WHEN source_idx >= {1 << 63 - POS_LINE_BITS} OR line_no >= {1 << POS_LINE_BITS}L "
+        "THEN raise_error(concat('no place for line ', line_no, ' of source ', source_idx, ': give the lines a pos of their own')) "
+        f"ELSE shiftleft(cast(source_idx AS BIGINT), {POS_LINE_BITS}) + line_no END AS pos"
+    )
+    pos = "pos" if "pos" in lines.columns else packed
     grouped = lines.selectExpr(
         "source", "source_idx", "line_no", "format", pos, r"rtrim('\n', make_valid_utf8(value)) AS raw"
     ).selectExpr("*", f"explode(array({groups})) AS g")

@@ -74,11 +74,12 @@ def signature_hits(entries: DataFrame, rules: list[Rule]) -> DataFrame:
 def first_hits(hits: DataFrame, keep: int, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """The first ``keep`` hits of each (rule, ip) with their ``rank``.
 
-    Up to ``GROUP_LIMIT``, Spark applies such a limit before the shuffle too. Beyond it the
+    Up to ``GROUP_LIMIT``, and the session's own limit if that is lower, Spark applies such a limit before the shuffle too. Beyond it the
     rank is the hits of earlier chunks plus the rank in the chunk, and only the chunks that
     can hold one of the first hits take part.
     """
-    if keep <= GROUP_LIMIT:
+    in_session = int(hits.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", str(GROUP_LIMIT)))
+    if keep <= min(GROUP_LIMIT, in_session):
         ranked = hits.selectExpr("*", "row_number() OVER (PARTITION BY rule, ip ORDER BY pos) AS rank")
         return ranked.where(f"rank <= {keep}")
     chunk = ["rule", "ip", "chunk"]

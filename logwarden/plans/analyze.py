@@ -28,7 +28,7 @@ from logwarden.schema import (
     FINDING_COLUMNS,
     FINDINGS,
 )
-from logwarden.session import materialise
+from logwarden.session import drop_folders, materialise, scratch_scope
 from logwarden.sources.catalogue import (
     build_sources,
     edge_lines,
@@ -44,7 +44,7 @@ logger = logging.getLogger("logwarden")
 
 @dataclass
 class Analysis:
-    """Result tables of one run."""
+    """Result tables of one run, which read the intermediate tables that the run wrote until ``close``."""
 
     findings: DataFrame
     incidents: DataFrame
@@ -57,6 +57,7 @@ class Analysis:
     duration_seconds: float = 0.0
     rule_failures: DataFrame | None = None
     started_at: datetime | None = None
+    scratch: list[str] = field(default_factory=list)
     tables: dict[str, DataFrame] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -71,6 +72,17 @@ class Analysis:
         if self.rule_failures is not None:
             self.tables["rule_failures"] = self.rule_failures
 
+    def close(self) -> None:
+        """Delete the intermediate tables of the run; its own tables cannot be read any more, so write them elsewhere first."""
+        drop_folders(self.totals.sparkSession, self.scratch)
+        self.scratch.clear()
+
+    def __enter__(self) -> Analysis:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def run_row(self) -> DataFrame:
         """One row on the run itself: when it started, how long its detection took, and whether syslog years hang on the clock."""
         return self.totals.sparkSession.createDataFrame(
@@ -171,25 +183,27 @@ def analyze_parsed(
 
     ``sources``: all sources of the run, so that those without a line have their counters too.
     """
-    started, started_at = time.monotonic(), datetime.now(timezone.utc)
-    failures: Failures = []
-    findings = materialise(cap_evidence(detect(entries_of(parsed), rules, order=order, failures=failures), max_evidence), "findings")
-    errors = parse_errors(parsed)
-    if source_errors is not None:
-        errors = source_errors.select(errors.columns).unionAll(errors)
-    per_source = source_stats(parsed, sources)
-    found = incidents(findings, window_minutes)
-    return Analysis(
-        findings=findings,
-        incidents=found,
-        incident_findings=incident_findings(findings, window_minutes),
-        parse_errors=errors,
-        source_stats=per_source,
-        totals=total_stats(per_source, findings, found),
-        duration_seconds=time.monotonic() - started,
-        rule_failures=parsed.sparkSession.createDataFrame(failures, FAILURES),
-        started_at=started_at,
-    )
+    with scratch_scope(parsed.sparkSession) as scratch:
+        started, started_at = time.monotonic(), datetime.now(timezone.utc)
+        failures: Failures = []
+        findings = materialise(cap_evidence(detect(entries_of(parsed), rules, order=order, failures=failures), max_evidence), "findings")
+        errors = parse_errors(parsed)
+        if source_errors is not None:
+            errors = source_errors.select(errors.columns).unionAll(errors)
+        per_source = source_stats(parsed, sources)
+        found = incidents(findings, window_minutes)
+        return Analysis(
+            findings=findings,
+            incidents=found,
+            incident_findings=incident_findings(findings, window_minutes),
+            parse_errors=errors,
+            source_stats=per_source,
+            totals=total_stats(per_source, findings, found),
+            duration_seconds=time.monotonic() - started,
+            rule_failures=parsed.sparkSession.createDataFrame(failures, FAILURES),
+            started_at=started_at,
+            scratch=scratch,
+        )
 
 
 def analyze_lines(
@@ -202,9 +216,10 @@ def analyze_lines(
     **options: Any,  # noqa: ANN401 (passed on)
 ) -> Analysis:
     """Run over lines whose ``format`` is known."""
-    rules = build_rules(specs, lines.sparkSession)
-    parsed = parse_lines(lines, reference_time=reference_time, default_year=default_year, tz=tz)
-    return analyze_parsed(materialise(parsed, "parsed", ["kind"]), rules, **options)
+    with scratch_scope(lines.sparkSession):
+        rules = build_rules(specs, lines.sparkSession)
+        parsed = parse_lines(lines, reference_time=reference_time, default_year=default_year, tz=tz)
+        return analyze_parsed(materialise(parsed, "parsed", ["kind"]), rules, **options)
 
 
 def analyze(
@@ -219,29 +234,30 @@ def analyze(
     **options: Any,  # noqa: ANN401 (passed on)
 ) -> Analysis:
     """Run over text files: detect formats, anchor the years, parse, detect, correlate."""
-    started, started_at = time.monotonic(), datetime.now(timezone.utc)
-    rules = build_rules(specs, spark)
-    files = materialise(source_files(spark, paths), "files")
-    scan = scan_files(spark, paths)
-    lines = read_log_lines(spark, paths, files, with_total=True, scan=scan)
-    edges = materialise(edge_lines(lines), "edges")
-    catalogue = materialise(build_sources(lines, files, edges=edges, now=now), "sources")
-    require_sources(catalogue)
-    anchor = reference_time_anchor(lines, catalogue, edges=edges, override=reference_time, now=now)
-    if anchor.fell_back_to_now:
-        logger.warning("resolving syslog years against the current time: no web logs and no reference time")
-    formats = known_sources(catalogue).select("source", "format")
-    if files.count() <= MAX_BROADCAST_BLOCKS:
-        formats = F.broadcast(formats)  # the text itself does not move
-    parsed = parse_lines(lines.join(formats, "source"), reference_time=anchor.moment, default_year=default_year, tz=tz)
-    counted = edges.select("source", "total_lines").distinct()
-    unread = unreadable_sources(spark, paths, counted, scan)
-    result = analyze_parsed(
-        materialise(parsed, "parsed", ["kind"]), rules, source_errors=unread, sources=files.select("source"), **options
-    )
-    result.duration_seconds, result.started_at = time.monotonic() - started, started_at
-    result.skipped = skipped_sources(catalogue)
-    result.anchored_to_now = anchor.fell_back_to_now
-    return result
+    with scratch_scope(spark):
+        started, started_at = time.monotonic(), datetime.now(timezone.utc)
+        rules = build_rules(specs, spark)
+        files = materialise(source_files(spark, paths), "files")
+        scan = scan_files(spark, paths)
+        lines = read_log_lines(spark, paths, files, with_total=True, scan=scan)
+        edges = materialise(edge_lines(lines), "edges")
+        catalogue = materialise(build_sources(lines, files, edges=edges, now=now), "sources")
+        require_sources(catalogue)
+        anchor = reference_time_anchor(lines, catalogue, edges=edges, override=reference_time, now=now)
+        if anchor.fell_back_to_now:
+            logger.warning("resolving syslog years against the current time: no web logs and no reference time")
+        formats = known_sources(catalogue).select("source", "format")
+        if files.count() <= MAX_BROADCAST_BLOCKS:
+            formats = F.broadcast(formats)  # the text itself does not move
+        parsed = parse_lines(lines.join(formats, "source"), reference_time=anchor.moment, default_year=default_year, tz=tz)
+        counted = edges.select("source", "total_lines").distinct()
+        unread = unreadable_sources(spark, paths, counted, scan)
+        result = analyze_parsed(
+            materialise(parsed, "parsed", ["kind"]), rules, source_errors=unread, sources=files.select("source"), **options
+        )
+        result.duration_seconds, result.started_at = time.monotonic() - started, started_at
+        result.skipped = skipped_sources(catalogue)
+        result.anchored_to_now = anchor.fell_back_to_now
+        return result
 
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+logger = logging.getLogger("logwarden")
+
+# Folders written since the scope of a run began; None outside of runs.
+_scope: ContextVar[list[str] | None] = ContextVar("scratch folders", default=None)
 _local_dirs: dict[str, tempfile.TemporaryDirectory] = {}
 
 
@@ -39,6 +47,38 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Collect the folders that ``materialise`` writes inside the block.
+
+    An error deletes them, as no table over them is left. A scope inside another one belongs to it.
+    """
+    outer = _scope.get()
+    if outer is not None:
+        yield outer
+        return
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield paths
+    except BaseException:
+        drop_folders(spark, paths)
+        raise
+    finally:
+        _scope.reset(token)
+
+
+def drop_folders(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders in whatever store they lie; one that cannot be deleted is logged and stays."""
+    context = spark.sparkContext
+    for path in paths:
+        try:
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception as error:  # noqa: BLE001 (what is left over must not hide how the run ended)
+            logger.warning("scratch folder %s was not deleted: %s", path, error)
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -47,6 +87,8 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

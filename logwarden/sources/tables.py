@@ -41,9 +41,11 @@ def write_report_tables(
 
 
 def read_report_table(spark: SparkSession, output_dir: str, table: str, name: str | None = None) -> DataFrame:
-    """A table over all runs, or of one run."""
-    df = spark.read.parquet(f"{output_dir}/{table}")
-    return df if name is None else df.where(F.col("run_id") == name)
+    """A table over all runs, or of one run; a run whose writing did not end is not among them."""
+    df = spark.read.parquet(f"{output_dir}/{table}").withColumn("run_id", F.col("run_id").cast("string"))
+    if name is not None:
+        df = df.where(F.col("run_id") == name)
+    return df.join(_written_runs(spark, output_dir), "run_id", "left_semi").select(df.columns)
 
 
 def reports_in(names: DataFrame) -> DataFrame:
@@ -56,10 +58,14 @@ def reports_in(names: DataFrame) -> DataFrame:
     )
 
 
-def list_reports(spark: SparkSession, output_dir: str) -> DataFrame:
-    """Past runs, newest first; a missing folder holds none, other names are ignored."""
+def _written_runs(spark: SparkSession, output_dir: str) -> DataFrame:
+    """``run_id`` of the runs that were written to the end; a missing folder holds none."""
     try:
-        runs = spark.read.parquet(f"{output_dir}/runs").select(F.col("run_id").cast("string"))
+        return spark.read.parquet(f"{output_dir}/runs").select(F.col("run_id").cast("string"))
     except AnalysisException:
-        runs = spark.createDataFrame([], "run_id STRING")
-    return reports_in(runs)
+        return spark.createDataFrame([], "run_id STRING")
+
+
+def list_reports(spark: SparkSession, output_dir: str) -> DataFrame:
+    """Past runs, newest first; a missing folder holds none, other names are ignored."""
+    return reports_in(_written_runs(spark, output_dir))
