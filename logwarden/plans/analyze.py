@@ -136,8 +136,9 @@ def custom_findings(entries: DataFrame, rule: Rule, failures: Failures) -> DataF
         return None
 
 
-def guarded(rules: list[Rule], find: Callable[[list[Rule]], DataFrame], failures: Failures) -> list[DataFrame]:
+def guarded(rules: list[Rule], find: Callable[[list[Rule]], DataFrame], failures: Failures | None = None) -> list[DataFrame]:
     """Findings of a group of rules, written at once; where the group fails, of each of its rules that does not fail alone."""
+    failures = [] if failures is None else failures
     if not rules:
         return []
     try:
