@@ -85,7 +85,7 @@ def sift_files(spark: SparkSession, paths: Sequence[str], *, skip: bool = False)
     """The files that can be read to their end, and the others, each in the order given.
 
     All are read as one group. A group with a fault is cut into ``FAN_OUT`` smaller ones, down to single files, so a file is read at most once
-    for each level: two million files have four levels, however many of them are broken. Only errors of reading a file are taken as its fault.
+    for each level: a million files have five levels, however many of them are broken. Only errors of reading a file are taken as its fault.
     """
     whole: set[str] = set()
     groups = [list(paths)] if paths else []
