@@ -1,6 +1,7 @@
 """Work that grows with a source is spread over tasks, whatever the files and the sources look like."""
 
 import re
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from checks.fixture import run_lines
 from checks.queries import QUERIES
 from logwarden.streaming.follow import arrival_order
+from logwarden.streaming.live import LiveRun
 
 
 @pytest.fixture
@@ -69,3 +71,20 @@ def test_late_entries_need_no_window_over_a_source(spark):
     plan = QUERIES["late_data"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     ordered = [row for row in plan.splitlines() if re.match(r"[\s:+|-]*Window ", row)]
     assert not [row for row in ordered if re.search(r"windowspecdefinition\(source#\d+, pos#", row)]
+
+
+def test_lines_and_tails_of_a_batch_are_written_at_the_same_time(spark, tmp_path, monkeypatch):
+    sources = spark.createDataFrame([("a", 0, "web")], "source STRING, source_idx INT, format STRING")
+    run = LiveRun(spark, str(tmp_path / "run"), sources, [])
+    both, write = threading.Barrier(2, timeout=60), run._write
+
+    def meet(df, table, batch_id):
+        if table in ("lines", "tails"):
+            both.wait()  # breaks where one is written after the other
+        return write(df, table, batch_id)
+
+    monkeypatch.setattr(run, "_write", meet)
+    chunks = spark.createDataFrame([("a", "0", "x\ny\nz")], "source STRING, chunk STRING, text STRING")
+    run.on_batch(chunks, 0)
+    assert [r.value for r in run.table("lines").orderBy("line_no").collect()] == ["x", "y"]
+    assert [r.tail for r in run.table("tails").collect()] == ["z"]
