@@ -33,6 +33,7 @@ from functools import partial, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,8 @@ SHARD_BYTES = 24 << 20
 #: A word that would fill this part of a shard by itself, by its share of the sampled words, is frequent.
 FREQUENT = 0.5
 SAMPLE = 1000
+#: Bytes of text that are scored together; a longer text is scored alone.
+SCORE_BYTES = 2 << 20
 
 START, END = np.uint64(0x5354415254000000), np.uint64(0x454E440000000000)
 NONE = np.uint64(0)  # no word: before the start sign
@@ -584,6 +587,16 @@ def _fill(folder: str, order: int, shards: int, word_shards: int) -> None:
 _models: dict[str, Model] = {}
 
 
+def scored_together(column: pa.Array, limit: int = SCORE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of pieces of at most ``limit`` bytes of text each, or of one row: memory follows the words and not the rows."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    lo, before = 0, 0
+    while lo < len(ends):
+        hi = max(int(np.searchsorted(ends, before + limit, side="right")), lo + 1)
+        yield lo, hi - lo
+        lo, before = hi, int(ends[hi - 1])
+
+
 def score_lm(docs: DataFrame, totals: Totals, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     ship(docs.sparkSession)
@@ -596,8 +609,8 @@ def score_lm(docs: DataFrame, totals: Totals, id_col: str = "doc_id", text_col:
             _models.clear()
             model = _models[t.folder] = Model(t)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2500):
-                batch = whole.slice(lo, 2500)
+            for lo, n in scored_together(whole.column(1)):
+                batch = whole.slice(lo, n)
                 s = model.score(batch.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(s["n_tokens"], pa.int64()), pa.array(s["n_known"], pa.int64()), pa.array(np.full(batch.num_rows, t.tokens), pa.int64()), pa.array(s["base_score"]), pa.array(s["score"])],
