@@ -8,7 +8,8 @@ Counting. A task counts its own distinct word sequences of full order first and
 dealt by the last word of the context: all contexts and lower orders that end in it are then in one shard, which derives them from the full
 sequences. After a frequent word (from a bounded sample; there are at most shards / ``FREQUENT`` such words) they are dealt by the last two words of the context,
 and only the pairs after it are added up in a second round, dealt by pair. For each word, the sums of its followers and of the words it
-follows are added up by word shard. Only totals reach the driver. The texts are read in ``ROUNDS`` rounds, each for a part of the shards, and the shuffle files
+follows are added up by word shard. A shard sends at most ``FAN`` packets of each kind: where there are more shards to send to, a packet is for several of them, and the packets of
+several senders are cut finer in a step between, so packets grow with the shards and not with their square. Only totals reach the driver. The texts are read in ``ROUNDS`` rounds, each for a part of the shards, and the shuffle files
 of a round go when its sums are written: what lies on disk at once is that much less. The number of shards follows the bytes of the texts (``SHARD_BYTES``).
 
 Storage. A table is a sorted array of hashes: an index of buckets by the upper bits and the rest in five bytes, so that 48 to 56 bits of
@@ -47,9 +48,11 @@ ORDER = 3
 #: Words that a task counts together.
 CHUNK_WORDS = 1_000_000
 #: Rounds in which the texts are read and a part of the shards is counted, so that only this part of the sequences lies in shuffle files at once.
-ROUNDS = 4
+ROUNDS = 3
 #: Bytes of text for each shard of sequences.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
+#: Most packets of a kind that a shard sends; beyond it a packet is for a run of shards.
+FAN = 64
 #: A word that would fill this part of a shard by itself, by its share of the sampled words, is frequent.
 FREQUENT = 0.5
 SAMPLE = 1000
@@ -71,11 +74,23 @@ def token_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, firsts + np.arange(n + 1)
 
 
-def sequences(tokens: np.ndarray, firsts: np.ndarray, order: int, wanted: Callable[[list[np.ndarray]], np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the distinct keys in their order: a place and the number of occurrences of each; and for each key the number of its distinct one.
+
+    Unlike ``np.unique`` it takes any of the places, so a faster sort does.
+    """
+    order = np.argsort(keys)
+    new = np.append(True, np.diff(keys[order]) != 0) if len(keys) else np.empty(0, bool)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return order[first], np.diff(first, append=len(keys)), which
+
+
+def sequences(tokens: np.ndarray, firsts: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Distinct sequences of full order that end in each token, by context's last word.
 
-    Returns the words (``NONE`` and ``START`` first), the places in them of each sequence's last word, the word before it and so on, the sequences' counts, and the number of the sequence of each token.
-    ``wanted`` tells which of the sequences, given from the last word to the first, are taken; all are without it.
+    Returns the words (``NONE`` and ``START`` first), the places in them of each sequence's last word, the word before it and so on, and the number of the sequence of each token.
     """
     words, index = np.unique(tokens, return_inverse=True)
     names = np.concatenate([np.array([NONE, START]), words])
@@ -85,17 +100,14 @@ def sequences(tokens: np.ndarray, firsts: np.ndarray, order: int, wanted: Callab
         before = np.zeros(len(tokens), np.int64)
         before[k:] = index[:-k] + 2
         back.append(np.where(here >= k, before, (here == k - 1).astype(np.int64)))
-    if wanted is not None:
-        mask = wanted([names[b] for b in back])
-        back = [b[mask] for b in back]
     code, span = np.zeros(len(back[0]), np.int64), 1
     for k in [*range(1, order), 0]:
         if span * len(names) >= 1 << 62:
             code = np.unique(code, return_inverse=True)[1]
             span = int(code.max(initial=0)) + 1
         code, span = code * len(names) + back[k], span * len(names)
-    _, at, which, counts = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-    return names, [b[at] for b in back], counts, which
+    at, _, which = distinct(code)
+    return names, [b[at] for b in back], which
 
 
 def chain(words: list[np.ndarray]) -> list[np.ndarray]:
@@ -187,14 +199,25 @@ def _cut(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def _packets(tokens: np.ndarray, firsts: np.ndarray, frequent: np.ndarray, order: int, shards: int, nth: int, rounds: int) -> pa.RecordBatch:
     """Sequences by shard, of the shards of one round: a list of words, the usual ones first, then the places in it of each column, and the counts."""
-    names, columns, counts, _ = sequences(tokens, firsts, order, lambda words: deal(words, frequent, shards) % rounds == nth)
+    here = np.arange(len(tokens)) - np.repeat(firsts[:-1], np.diff(firsts))
+    words = [tokens]  # of the sequence that ends in each token, from the last word to the first
+    for k in range(1, order):
+        before = np.where(here == k - 1, START, NONE)
+        inside = np.flatnonzero(here >= k)
+        before[inside] = tokens[inside - k]
+        words.append(before)
+    shard = deal(words, frequent, shards)
+    taken = np.flatnonzero(shard % rounds == nth)
+    words, shard = [w[taken] for w in words], shard[taken]
+    at, counts, _ = distinct(chain(words)[-1])
+    columns = [w[at] for w in words]
     out = []
-    for s, part in _cut(deal([names[c] for c in columns], frequent, shards), shards):
+    for s, part in _cut(shard[at], shards):
         used, places, times = np.unique(np.concatenate([c[part] for c in columns]), return_inverse=True, return_counts=True)
         usual = np.argsort(-times, kind="stable")
         rank = np.empty(len(used), np.int64)
         rank[usual] = np.arange(len(used))
-        out.append((s, names[used[usual]].tobytes(), _pack_columns([*np.split(rank[places], order), counts[part]])))
+        out.append((s, used[usual].tobytes(), _pack_columns([*np.split(rank[places], order), counts[part]])))
     return pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], t) for i, t in enumerate([pa.int32(), pa.binary(), pa.binary()])], names=["shard", "a", "b"])
 
 
@@ -211,14 +234,47 @@ def counts_of_counts(counts: np.ndarray) -> list[int]:
     return [len(counts), *[int((counts == i).sum()) for i in (1, 2, 3, 4)]]
 
 
-def _word_sums(first: np.ndarray, second: np.ndarray, counts: np.ndarray, said: np.ndarray, times: np.ndarray, word_shards: int) -> Iterator[tuple]:
+def _dealt(target: np.ndarray, targets: int, fan: int, sender: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows for each of the ``targets``; where there are more than ``fan``, for each run of them, numbered by it and the run of the sender."""
+    run = -(-targets // fan)
+    for s, part in _cut(target // run, -(-targets // run)):
+        yield (s if run == 1 else s + fan * (sender // run)), part
+
+
+def _sum_packets(words: np.ndarray, sums: np.ndarray, word_shards: int, fan: int, sender: int = 0) -> Iterator[tuple]:
+    for s, part in _dealt(word_shard(words, word_shards), word_shards, fan, sender):
+        yield SUMS, s, words[part].tobytes(), _pack_columns(list(sums[part].T)), b""
+
+
+def _sums_in(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words with the rows of their sums, added up."""
+    words = np.concatenate([np.frombuffer(x, "<u8") for x in group["a"]])
+    return _added(words, np.concatenate([np.stack(_unpack_columns(x), 1) for x in group["b"]]))
+
+
+def _hot_packets(second: np.ndarray, first: np.ndarray, counts: np.ndarray, shards: int, fan: int, sender: int = 0) -> Iterator[tuple]:
+    """Packets of the pairs after frequent words, which are few and told by their places in a list."""
+    own = (chain([second, first])[-1] % np.uint64(shards)).astype(np.int64)
+    for s, part in _dealt(own, shards, fan, sender):
+        names, places = np.unique(first[part], return_inverse=True)
+        yield HOT, s, second[part].tobytes(), names.tobytes(), _pack_columns([places, counts[part]])
+
+
+def _hot_in(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs after frequent words, the second word first, with their counts; a pair may be there several times."""
+    second = np.concatenate([np.frombuffer(x, "<u8") for x in group["a"]])
+    places = [_unpack_columns(x) for x in group["c"]]
+    first = np.concatenate([np.frombuffer(x, "<u8")[p[0]] for x, p in zip(group["b"], places)])
+    return second, first, np.concatenate([p[1] for p in places])
+
+
+def _word_sums(first: np.ndarray, second: np.ndarray, counts: np.ndarray, said: np.ndarray, times: np.ndarray, word_shards: int, fan: int, sender: int) -> Iterator[tuple]:
     """Packets of what distinct pairs say about their words, and of how often words occur."""
     b, sums = follower_sums(first, counts)
     c, before = _added(second, np.ones((len(second), 1), np.int64))
     at = [((0, 0), x) for x in ((1, 1), (5, 0), (0, 5))]
     words, sums = _added(np.concatenate([b, c, said]), np.concatenate([np.pad(x, p) for x, p in zip((sums, before, times), at)]))
-    for s, part in _cut(word_shard(words, word_shards), word_shards):
-        yield SUMS, s, words[part].tobytes(), _pack_columns(list(sums[part].T)), b""
+    yield from _sum_packets(words, sums, word_shards, fan, sender)
 
 
 def _totals(rows: list[tuple[int, list[int]]]) -> tuple:
@@ -246,6 +302,7 @@ class HashTable:
     """Sorted hashes with rows of integers: buckets by the upper bits, five more bytes of each hash, one byte for its row."""
 
     def __init__(self, raw: np.ndarray):
+        raw = raw.view(np.ndarray)  # a mapped file's own slices are slow to make
         self.n, self.bits, usual, far, self.width = np.frombuffer(raw[: 8 * _HEAD], "<i8").tolist()
         at = 8 * _HEAD
 
@@ -287,16 +344,20 @@ class HashTable:
         bucket = (wanted >> np.uint64(64 - self.bits)).astype(np.int64)
         rest = (wanted >> np.uint64(24 - self.bits)) & np.uint64((1 << 40) - 1)
         lo, end = self.buckets[bucket].astype(np.int64), self.buckets[bucket + 1].astype(np.int64)
-        hi = end.copy()
         high, low = (rest >> np.uint64(8)).astype(np.uint32), rest.astype(np.uint8)
-        active = np.flatnonzero(lo < hi)
-        while len(active):
-            mid = (lo[active] + hi[active]) >> 1
-            x = self.high[mid]
-            less = (x < high[active]) | ((x == high[active]) & (self.low[mid] < low[active]))
-            lo[active] = np.where(less, mid + 1, lo[active])
-            hi[active] = np.where(less, hi[active], mid)
-            active = active[lo[active] < hi[active]]
+        left = end - lo
+        while left.max(initial=0):  # all at once: buckets are small and about equal
+            half = left >> 1
+            mid = lo + half
+            less = (self.high[np.minimum(mid, self.n - 1)] < high) & (left > 0)
+            lo = np.where(less, mid + 1, lo)
+            left = np.where(less, left - half - 1, half)
+        active = np.flatnonzero(lo < end)
+        while len(active):  # equal upper bytes are rare, so the last one is compared afterwards
+            at = lo[active]
+            active = active[(self.high[at] == high[active]) & (self.low[at] < low[active])]
+            lo[active] += 1
+            active = active[lo[active] < end[active]]
         out = np.zeros((len(wanted), self.width), np.int64)
         there = np.flatnonzero(lo < end)
         there = there[(self.high[lo[there]] == high[there]) & (self.low[lo[there]] == low[there])]
@@ -374,7 +435,7 @@ class Model:
         out = np.zeros((len(keys), width), np.int64)
         if not self.t.pairs:
             return out
-        order = np.lexsort((keys, shard))
+        order = np.argsort(shard.astype(np.uint16) if shard.max(initial=0) < 1 << 16 else shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             part = order[lo:hi]
@@ -417,25 +478,24 @@ class Model:
         contexts = chain(words[1:])
         for k in range(2, t.order + 1):
             whole = np.flatnonzero(words[k - 1] != NONE)
-            _, at, which = np.unique(hashes[k - 1][whole], return_index=True, return_inverse=True)
-            count = self.counts(k, [w[whole[at]] for w in words])[which]
+            at, _, which = distinct(hashes[k - 1][whole])
+            count = self.counts(k, [w[whole[at]] for w in words])
+            gain = np.maximum(count - cut[k][np.minimum(count, 3)], 0)[which]
             if k == 2:
-                sums = stats[columns[1][whole], 1:5]
+                sums, which = stats[:, 1:5], columns[1][whole]
             else:
-                keys, at, which = np.unique(contexts[k - 2][whole], return_index=True, return_inverse=True)
+                at, _, which = distinct(contexts[k - 2][whole])
                 own = deal([w[whole[at]] for w in words[:k]], t.frequent, t.shards)
-                sums = self.look_up(f"context{k - 1}", keys, own, 4)[which]
-            known = sums[:, 0] > 0
-            whole, count, sums = whole[known], count[known], sums[known]
-            left = sums[:, 1:] @ cut[k][1:]
-            p[whole] = (np.maximum(count - cut[k][np.minimum(count, 3)], 0) + left * p[whole]) / sums[:, 0]
+                sums = self.look_up(f"context{k - 1}", contexts[k - 2][whole[at]], own, 4)
+            left, total = (sums[:, 1:] @ cut[k][1:])[which], sums[:, 0][which]
+            p[whole] = np.where(total > 0, (gain + left * p[whole]) / np.maximum(total, 1), p[whole])
         return p
 
     def score(self, column: pa.Array) -> dict[str, np.ndarray]:
         """n_tokens, n_known, base_score and score of each row."""
         t = self.t
         tokens, firsts = token_hashes(column)
-        names, columns, _, which = sequences(tokens, firsts, t.order)
+        names, columns, which = sequences(tokens, firsts, t.order)
         stats = self.word_stats(names)
         index = columns[0][which]
         logs = np.log10(self.probabilities(names, columns, stats))[which]
@@ -451,7 +511,7 @@ class Model:
 # ---- counting in Spark
 
 
-def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, order: int = ORDER, rounds: int = ROUNDS) -> Totals:
+def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, order: int = ORDER, rounds: int = ROUNDS, fan: int = FAN) -> Totals:
     """Counts the texts of the rows where ``usable`` holds and stores the model of an order of 2 or more in the shared folder."""
     if order < 2:
         raise ValueError("the order must be 2 or more")
@@ -460,8 +520,8 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
     folder = _qualified(spark, scratch_path(spark, "lm"))
     rows = docs.where(usable).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    word_shards = max(8, shards // 4)  # each shard of sequences sends sums to each shard of words
+    shards = max(32, -(-size // SHARD_BYTES))  # by the texts alone: shards send to shards, and a session may have any number of partitions
+    word_shards = max(8, shards // 4)
 
     ids = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -500,8 +560,9 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
         for used, places in zip(group["a"], group["b"]):
             names, (*places, n) = np.frombuffer(used, "<u8"), _unpack_columns(places)
             pieces.append([*[names[p] for p in places], n])
-        *words, counts = [np.concatenate(x) for x in zip(*pieces)]
+        columns = [list(x) for x in zip(*pieces)]
         del pieces
+        *words, counts = [np.concatenate(columns.pop(0)) for _ in range(order + 1)]  # the pieces of a column go as soon as it is whole
         out, found = [], []
         for k in range(order, 1, -1):  # rows become distinct sequences of k words; shorter ones keep their occurrences
             keys = chain(words[:k])[-1]
@@ -515,15 +576,12 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
             whole = words[k - 1] != NONE
             if k == 2 < order:
                 hot = is_frequent(words[1], frequent)
-                for s, part in _cut((keys[hot] % np.uint64(shards)).astype(np.int64), shards):
-                    part = np.flatnonzero(hot)[part]
-                    names, places = np.unique(words[1][part], return_inverse=True)
-                    out.append((HOT, s, words[0][part].tobytes(), names.tobytes(), _pack_columns([places, counts[part]])))
+                out += _hot_packets(words[0][hot], words[1][hot], counts[hot], shards, fan, shard)
                 whole &= ~hot
             found.append((k, counts_of_counts(counts[whole])))
             _store(folder, f"gram{k}-{shard}", keys[whole], counts[whole, None])
             if k == 2:
-                out += _word_sums(words[1][whole], words[0][whole], counts[whole], *said, word_shards)
+                out += _word_sums(words[1][whole], words[0][whole], counts[whole], *said, word_shards, fan, shard)
             else:
                 _store(folder, f"context{k - 1}-{shard}", *follower_sums(chain([w[whole] for w in words[1:]])[-1], counts[whole]))
                 counts = np.where(whole, 1, counts)
@@ -531,39 +589,44 @@ def fit_lm(docs: DataFrame, usable: F.Column, id_col: str = "doc_id", text_col:
 
     def add_hot(group: pd.DataFrame) -> pd.DataFrame:
         shard = int(group["shard"].iloc[0])
-        second = np.concatenate([np.frombuffer(x, "<u8") for x in group["a"]])
-        places = [_unpack_columns(x) for x in group["c"]]
-        first = np.concatenate([np.frombuffer(x, "<u8")[p[0]] for x, p in zip(group["b"], places)])
+        second, first, counts = _hot_in(group)
         keys = chain([second, first])[-1]
         by_key = np.argsort(keys)
         start = np.flatnonzero(np.append(True, np.diff(keys[by_key]) != 0))
-        counts = np.add.reduceat(np.concatenate([p[1] for p in places])[by_key], start)
+        counts = np.add.reduceat(counts[by_key], start)
         at = by_key[start]
         _store(folder, f"hot-{shard}", keys[at], counts[:, None])
         none = second[:0], np.empty((0, 1), np.int64)
-        return pd.DataFrame([*_word_sums(first[at], second[at], counts, *none, word_shards), _totals([(2, counts_of_counts(counts))])], columns=COLUMNS)
+        return pd.DataFrame([*_word_sums(first[at], second[at], counts, *none, word_shards, fan, shard), _totals([(2, counts_of_counts(counts))])], columns=COLUMNS)
 
     def add_words(group: pd.DataFrame) -> pd.DataFrame:
         shard = int(group["shard"].iloc[0])
-        keys = np.concatenate([np.frombuffer(x, "<u8") for x in group["a"]])
-        keys, stats = _added(keys, np.concatenate([np.stack(_unpack_columns(x), 1) for x in group["b"]]))
+        keys, stats = _sums_in(group)
         _store(folder, f"word-{shard}", mix(keys), stats)
         counts, seen = stats[:, 0], stats[:, 5]
         return pd.DataFrame([(int((counts > 0).sum()), int(counts.sum()), *counts_of_counts(seen)[1:], int((seen >= 3).sum()))], columns=["words", "tokens", "n1", "n2", "n3", "n4", "more"])
 
+    def to_shards(packets: DataFrame, targets: int, cut: Callable[[pd.DataFrame], Iterator[tuple]]) -> DataFrame:
+        """Packets for runs of shards cut into those for one shard each."""
+        if targets <= fan:
+            return packets
+        return packets.groupBy("shard").applyInPandas(lambda group: pd.DataFrame(cut(group), columns=COLUMNS), PACKET)
+
     parts = []
     for nth in range(rounds):
         packets = rows.select("text").mapInArrow(partial(count, nth=nth), SEQUENCES)
         parts.append(written_once(packets.groupBy("shard").applyInPandas(add_up, PACKET), "lm-sums"))
     summed = reduce(DataFrame.unionByName, parts)
     if order > 2:
-        hot = written_once(summed.where(F.col("kind") == HOT).groupBy("shard").applyInPandas(add_hot, PACKET), "lm-hot")
+        pairs_after = to_shards(summed.where(F.col("kind") == HOT), shards, lambda group: _hot_packets(*_hot_in(group), shards, shards))
+        hot = written_once(pairs_after.groupBy("shard").applyInPandas(add_hot, PACKET), "lm-hot")
         summed = summed.where(F.col("kind") != HOT).unionByName(hot)
     found = {k: np.zeros(5, np.int64) for k in range(2, order + 1)}
     for row in summed.where(F.col("kind") == TOTALS).select("a").toLocalIterator():  # a few numbers for each shard
         for k, *n in np.frombuffer(row["a"], "<i8").reshape(-1, 6).tolist():
             found[k] += n
-    by_word = summed.where(F.col("kind") == SUMS).groupBy("shard").applyInPandas(add_words, "words long, tokens long, n1 long, n2 long, n3 long, n4 long, more long")
+    sums = to_shards(summed.where(F.col("kind") == SUMS), word_shards, lambda group: _sum_packets(*_sums_in(group), word_shards, word_shards))
+    by_word = sums.groupBy("shard").applyInPandas(add_words, "words long, tokens long, n1 long, n2 long, n3 long, n4 long, more long")
     got = written_once(by_word, "lm-totals").groupBy().sum().first()
     words, tokens, *seen, more = [int(x or 0) for x in got]
     pairs = int(found[2][0])
