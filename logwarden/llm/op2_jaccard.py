@@ -11,7 +11,7 @@ share a shingle among the first n - ceil(t n) + 1 of each, their prefixes.
    most. What lists connect is a cluster; a cluster of one
    block is done, a larger one is cut into blocks by two hashes. What links do not join then is checked
    list by list, or over the whole cluster where that moves fewer sets: each node outside the largest class meets every node in some block. Pairs inside a class need no check.
-4. Whole sets are made again, for nodes of lists only.
+4. Whole sets are made again, for nodes of lists only; they meet the places of their nodes once, whatever the size of either side, and go to their blocks without being written.
 
 So no link between different texts is lost, and a group of many near copies costs a few blocks, not all its pairs. Driver: the levels of the sketch and a bitmap
 of fixed size; everything else stays in tables.
@@ -33,9 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import map_batches, ship, table
+from logwarden.llm.common import ship, table, written_once
 from logwarden.llm.text import hash_words, mix, utf8
-from logwarden.session import materialise
 
 WORDS = 5
 #: Least similarity in hundredths.
@@ -199,7 +198,7 @@ def _least_common(a: F.Column, b: F.Column, percent: int) -> F.Column:
 
 def _possible(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Group pairs are filtered: a group stays in a list only if some size among the list's lets it share enough prefix shingles."""
-    own = materialise(lists.join(sizes, "gid"), "shared")
+    own = written_once(lists.join(sizes, "gid"), "shared")
     total = own.groupBy("gid").agg(F.sum("tokens").alias("common"))
     own = own.join(total, "gid")
     of_list = own.groupBy("list_id").agg(F.count("*").alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("common").alias("least"))
@@ -230,9 +229,12 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.astype("<u8").tobytes(), digest_size=16).digest()
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of the given nodes (node, rep, digest): whole texts are read again, and rows that the bitmap excludes are left out before any shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(_id_map(nodes.select(F.col("rep").alias("node"))))
+def _sets(docs: DataFrame, placed: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """``placed`` (node, rep, digest and others) with the shingles of the node: whole texts are read again, and rows that the bitmap excludes are left out before any shuffle.
+
+    ``repeated``: some ids have several rows, which may be equal.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_id_map(placed.select(F.col("rep").alias("node"))))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
     keyed = docs.where("doc_id is not null").select("doc_id", "text", F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p"))
 
@@ -249,7 +251,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["rep", "digest", "shingles"])
 
     made = keyed.mapInArrow(make, "rep long, digest binary, shingles binary")
-    return made.join(nodes.select("rep", "digest", "node"), ["rep", "digest"]).select("node", "shingles").dropDuplicates(["node"])
+    if repeated:
+        made = made.dropDuplicates(["rep", "digest"])  # dealt as the join needs it
+    return made.hint("merge").join(placed, ["rep", "digest"])
 
 
 def block_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -280,8 +284,9 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCEN
         label = new
 
 
-def _linked(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(blocks: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int, repeated: bool) -> DataFrame:
     """Links (a, b) found in blocks (list_id, part, node) of at most a few hundred nodes each."""
+    placed = written_once(blocks.join(nodes.select("node", "rep", "digest"), "node"), "blocks")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, own = None, [], []
@@ -303,7 +308,7 @@ def _linked(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if found := links():
             yield _pairs(found)
 
-    rows = blocks.join(sets, "node").select("list_id", "part", "node", "shingles")
+    rows = _sets(docs, placed, words, repeated).select("list_id", "part", "node", "shingles")
     dealt = rows.repartition("list_id", "part").sortWithinPartitions("list_id", "part")
     return dealt.mapInArrow(check, "a long, b long")
 
@@ -315,15 +320,15 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that can be reached, for each node of a link. Turns of minima over neighbours and of their labels."""
-    both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).select(F.col("a").alias("node"), "comp"), "labels")
+    both = written_once(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    labels = written_once(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).select(F.col("a").alias("node"), "comp"), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         least = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("new"))
         # hooking: the old label learns of the least new label among its nodes, and passes it on to all of them
         hooks = least.groupBy("comp").agg(F.min("new").alias("hook"))
         stepped = least.join(hooks, "comp").select("node", F.least("new", "hook").alias("new"), (F.least("new", "hook") < F.col("comp")).alias("moved"))
-        done = materialise(stepped, "labels")
+        done = written_once(stepped, "labels")
         labels = done.select("node", F.col("new").alias("comp"))
         if done.where("moved").isEmpty():
             return labels
@@ -333,60 +338,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    described = materialise(_prefixes(rows, slot_levels(rows, words), words, percent), "prefixes")
+    described = written_once(_prefixes(rows, slot_levels(rows, words), words, percent), "prefixes")
     slim = described.where("n > 0 and doc_id is not null").select("doc_id", "n", "digest", "prefix_key")
     # numbers once written stay; a text's first id finds it again
     nodes = slim.groupBy("n", "digest").agg(F.min("doc_id").alias("rep"), F.min("prefix_key").alias("prefix_key"))
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = written_once(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     groups = nodes.groupBy("n", "prefix_key").agg(F.min(F.struct("node", "rep", "digest")).alias("first"), F.count("*").alias("members"))
     groups = groups.select("n", "prefix_key", F.col("first.node").alias("gid"), F.col("first.rep").alias("rep"), F.col("first.digest").alias("own"), "members")
-    member = materialise(nodes.join(groups.select("n", "prefix_key", "gid", "members"), ["n", "prefix_key"]).select("gid", "node", "n", "members"), "members")
+    member = written_once(nodes.join(groups.select("n", "prefix_key", "gid", "members"), ["n", "prefix_key"]).select("gid", "node", "n", "members"), "members")
 
     # one row for each group: that of its first node; the slim side is hashed and the prefixes stream past it
     first = groups.select("gid", "rep", "own").hint("shuffle_hash")
     grouped = described.join(first, F.col("doc_id") == F.col("rep")).where("digest = own").select("gid", "n", "prefix")
     several = slim.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("digest").alias("a"), F.max("digest").alias("z"))
-    several = materialise(several.where("rows > 1").select("doc_id", F.col("a") != F.col("z")).toDF("doc_id", "differ"), "repeated")
-    if not several.isEmpty():
+    several = written_once(several.where("rows > 1").select("doc_id", F.col("a") != F.col("z")).toDF("doc_id", "differ"), "repeated")
+    repeated = not several.isEmpty()
+    if repeated:
         grouped = grouped.dropDuplicates(["gid"])
     # texts of one id belong together
     of_id = slim.join(several.where("differ"), "doc_id", "left_semi").select("doc_id", "n", "digest").distinct().join(nodes, ["n", "digest"]).select("doc_id", "node")
     same = of_id.join(of_id.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
-    lists = materialise(_possible(_lists(grouped), groups.select("gid", "n"), percent), "possible")
+    lists = written_once(_possible(_lists(grouped), groups.select("gid", "n"), percent), "possible")
     # a group of several sets is a list of its own
     own = member.where("members > 1").select(F.xxhash64("gid", F.lit("group")).alias("list_id"), "node")
     listed = lists.join(member, "gid").select("list_id", "node").unionByName(own)
-    listed = materialise(listed, "lists")
-    return _classes(rows, described, nodes, listed, same, words, percent)
+    listed = written_once(listed, "lists")
+    return _classes(rows, described, nodes, listed, same, words, percent, repeated)
 
 
-def _classes(rows: DataFrame, described: DataFrame, nodes: DataFrame, listed: DataFrame, same: DataFrame, words: int, percent: int) -> DataFrame:
+def _classes(rows: DataFrame, described: DataFrame, nodes: DataFrame, listed: DataFrame, same: DataFrame, words: int, percent: int, repeated: bool) -> DataFrame:
     # what lists connect is a cluster, in which each set moves once or twice however many lists it is in
     star = listed.join(listed.groupBy("list_id").agg(F.min("node").alias("hub")), "list_id").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     cluster = components(star.where("a <> b")).withColumnRenamed("comp", "cluster")
-    cluster = materialise(cluster.join(cluster.groupBy("cluster").agg(F.count("*").alias("nodes")), "cluster"), "clusters")
-    sets = materialise(_sets(rows, nodes.join(cluster, "node", "left_semi"), words), "sets")
+    cluster = written_once(cluster.join(cluster.groupBy("cluster").agg(F.count("*").alias("nodes")), "cluster"), "clusters")
 
     # first turn: every pair of each block of a cluster; a cluster of one block is done with, others are cut in two ways
     cuts = F.explode(F.when(F.col("nodes") > BLOCK, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     parts = F.ceil(F.col("nodes") / F.lit(BLOCK))
     blocks = cluster.withColumn("cut", cuts).select(F.col("cluster").alias("list_id"), "node", (F.col("cut") * F.lit(1 << 40) + F.pmod(F.xxhash64("node", "cut"), parts)).alias("part"))
-    links = materialise(_linked(blocks, sets, percent).unionByName(same), "links")
+    links = written_once(_linked(blocks, rows, nodes, words, percent, repeated).unionByName(same), "links")
     label = components(links)
 
     # second turn: what is left open in large clusters; all but the largest class against all, in each list or, where that moves fewer sets, in the cluster
     large = cluster.where(F.col("nodes") > BLOCK).join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    large = materialise(large, "large")
+    large = written_once(large, "large")
     in_lists = listed.join(large, "node").select("list_id", "node", "comp", "cluster")
     mixed = in_lists.groupBy("list_id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list_id")
-    in_lists = materialise(in_lists.join(mixed, "list_id", "left_semi"), "open")
+    in_lists = written_once(in_lists.join(mixed, "list_id", "left_semi"), "open")
     by_list = in_lists.groupBy("cluster").agg(F.count("*").alias("by_list"))
     classes = large.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("all"), F.max("n").alias("main"))
     by_cluster = F.col("all") * F.ceil((F.col("all") - F.col("main")) / F.lit(BLOCK)) + (F.col("all") - F.col("main")) * F.ceil(F.col("all") / F.lit(BLOCK))
-    whole = materialise(classes.join(by_list, "cluster").select("cluster", (by_cluster <= F.col("by_list")).alias("whole")), "ways")
+    whole = written_once(classes.join(by_list, "cluster").select("cluster", (by_cluster <= F.col("by_list")).alias("whole")), "ways")
     several = in_lists.join(whole.where("not whole"), "cluster", "left_semi").select("list_id", "node", "comp")
     several = several.unionByName(large.join(whole.where("whole"), "cluster", "left_semi").select(F.col("cluster").alias("list_id"), "node", "comp"))
-    several = materialise(several, "several")
+    several = written_once(several, "several")
     counts = several.groupBy("list_id", "comp").agg(F.count("*").alias("n"))
     main = counts.groupBy("list_id").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"))
     open_ = several.join(main.where(F.col("all") > F.col("main.n")), "list_id")
@@ -397,9 +402,10 @@ def _classes(rows: DataFrame, described: DataFrame, nodes: DataFrame, listed: Da
     inside = open_.select("list_id", "node", own(inner).alias("i"), every(outer).alias("o"))
     crossed = outside.select("list_id", "node", "o", "i").union(inside.select("list_id", "node", "o", "i"))
     crossed = crossed.select("list_id", "node", (F.col("o") * F.lit(1 << 31) + F.col("i")).alias("part"))
-    more = materialise(_linked(crossed, sets, percent), "links")
-    if not more.isEmpty():
-        label = components(links.unionByName(more))
+    if not several.isEmpty():
+        more = written_once(_linked(crossed, rows, nodes, words, percent, repeated), "links")
+        if not more.isEmpty():
+            label = components(links.unionByName(more))
 
     known = nodes.join(label, "node").select("n", "digest", "rep", "comp")
     known = known.join(known.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select("n", "digest", "least")
