@@ -10,8 +10,11 @@ share a shingle among the first n - ceil(t n) + 1 of each, their prefixes.
    Members of the groups that are left are verified in blocks of about ``BLOCK`` nodes, every pair of a block by exact counts of common shingles, and a block gives one link for each node at
    most. What lists connect is a cluster; a cluster of one
    block is done, a larger one is cut into blocks by two hashes. What links do not join then is checked
-   list by list, or over the whole cluster where that moves fewer sets: each node outside the largest class meets every node in some block. Pairs inside a class need no check.
-4. Whole sets are made again, for nodes of lists only; they meet the places of their nodes once, whatever the size of either side, and go to their blocks without being written.
+   list by list, or over the whole cluster where that moves fewer rows: each node outside the largest class meets every node in some block. Pairs inside a class need no check.
+4. Prints go to a block before sets do. A print has a bit for each place of a map of n to 2 n places (64 at least) that an odd number of the n shingles fall on, so two prints differ in no more places than
+   their sets do in shingles. Pairs whose prints differ in too many are out, and a node without a pair in its block leaves it: texts that share shingles by chance, whose number grows faster than the
+   texts, cost a fortieth of their sets.
+5. Whole sets are made again, for nodes that are left; they meet the places of their nodes once, whatever the size of either side, and go to their blocks without being written.
 
 So no link between different texts is lost, and a group of many near copies costs a few blocks, not all its pairs. Driver: the levels of the sketch and a bitmap
 of fixed size; everything else stays in tables.
@@ -83,6 +86,44 @@ def prefix(shingles: np.ndarray, levels: np.ndarray, percent: int = PERCENT) ->
     return shingles[order[:n]]
 
 
+def parity_print(shingles: np.ndarray) -> bytes:
+    """The places (last bits of the hash) that an odd number of shingles fall on; n to 2 n places, 64 at least."""
+    width = max(64, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 64
+    times = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((times & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def possible_pairs(sizes: np.ndarray, prints: list[bytes], percent: int = PERCENT) -> np.ndarray:
+    """For each pair of sets whether their prints and sizes leave it possible that they are similar enough."""
+    m, words = len(sizes), [np.frombuffer(x, "<u8") for x in prints]
+    width = np.array([len(x) for x in words])
+    out = np.zeros((m, m), bool)
+    for w in np.unique(width):  # a longer print is folded to the shorter one's places
+        own = np.flatnonzero(width == w)
+        other = np.flatnonzero((width >= w) & (percent * sizes <= 100 * sizes[own].max()))
+        folded = np.stack([np.bitwise_xor.reduce(words[i].reshape(-1, w), 0) for i in other])
+        for i in own:
+            both = sizes[i] + sizes[other]
+            need = -(-percent * both // (100 + percent))
+            near = np.bitwise_count(folded ^ words[i]).sum(1, dtype=np.int64) <= both - 2 * need
+            near &= need <= np.minimum(sizes[i], sizes[other])
+            out[i, other] |= near
+            out[other, i] |= near
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _least_reached(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the least row that links reach."""
+    label = np.arange(len(linked))
+    while True:
+        new = np.minimum(np.where(linked, label[None, :], len(linked)).min(1, initial=len(linked)), label)
+        new = np.minimum(new[new], new)
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
@@ -121,23 +162,23 @@ def slot_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Per document: its size, digests of its set and prefix, and the prefix."""
+    """Per document: its size, digests of its set and prefix, its print, and the prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
-            sizes, digests, keys, prefixes = [], [], [], []
+            sizes, digests, keys, prints, prefixes = [], [], [], [], []
             for s in shingle_sets(batch.column(1), words):
                 p = prefix(s, shared.value, percent).astype("<u8").tobytes()
                 sizes.append(len(s))
                 digests.append(_digest(s))
                 keys.append(hashlib.blake2b(p, digest_size=16).digest())
+                prints.append(parity_print(s))
                 prefixes.append(p)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.binary())], names=["doc_id", "n", "digest", "prefix_key", "prefix"]
-            )
+            columns = [pa.array(x, pa.binary()) for x in (digests, keys, prints, prefixes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *columns], names=["doc_id", "n", "digest", "prefix_key", "print", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, digest binary, prefix_key binary, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, digest binary, prefix_key binary, print binary, prefix binary")
 
 
 def _lists(groups: DataFrame) -> DataFrame:
@@ -274,19 +315,45 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCEN
         x[owner[start:stop], column[start:stop] - lo] = 1
         common += (x @ x.T).astype(np.int64)
     linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    np.fill_diagonal(linked, True)
-    label = np.arange(m)
-    while True:
-        new = np.where(linked, label[None, :], m).min(1)
-        new = np.minimum(new[new], new)
-        if (new == label).all():
-            return [(int(nodes[i]), int(nodes[j])) for j, i in enumerate(label) if i != j]
-        label = new
+    return [(int(nodes[i]), int(nodes[j])) for j, i in enumerate(_least_reached(linked)) if i != j]
+
 
+def _narrowed(blocks: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """Of blocks (list_id, part, node, comp) the nodes that prints leave a pair with a node of another ``comp``; ``sub`` is the least node that such pairs reach in the block."""
 
-def _linked(blocks: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int, repeated: bool) -> DataFrame:
-    """Links (a, b) found in blocks (list_id, part, node) of at most a few hundred nodes each."""
-    placed = written_once(blocks.join(nodes.select("node", "rep", "digest"), "node"), "blocks")
+    def narrow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, {}
+
+        def left() -> list[tuple[int, int, int, int]]:
+            if len(own) < 2:
+                return []
+            nodes = sorted(own)
+            comp, sizes, found = zip(*[own[x] for x in nodes])
+            pairs = possible_pairs(np.array(sizes, np.int64), list(found), percent) & np.not_equal.outer(np.array(comp), np.array(comp))
+            least = _least_reached(pairs)
+            return [(*key, nodes[i], nodes[least[i]]) for i in np.flatnonzero(pairs.any(1))]
+
+        for batch in batches:
+            rows = []
+            for list_id, part, *one in zip(*[c.to_pylist() for c in batch.columns]):
+                if (list_id, part) != key:
+                    rows += left()
+                    key, own = (list_id, part), {}
+                own[one[0]] = one[1:]
+            if rows:
+                yield _longs(rows, ("list_id", "part", "node", "sub"))
+        if rows := left():
+            yield _longs(rows, ("list_id", "part", "node", "sub"))
+
+    rows = blocks.join(prints, "node").select("list_id", "part", "node", "comp", "n", "print")
+    dealt = rows.repartition("list_id", "part").sortWithinPartitions("list_id", "part")
+    return dealt.mapInArrow(narrow, "list_id long, part long, node long, sub long")
+
+
+def _linked(blocks: DataFrame, docs: DataFrame, prints: DataFrame, words: int, percent: int, repeated: bool) -> DataFrame:
+    """Links (a, b) found in blocks (list_id, part, node, comp) of at most a few hundred nodes each, those inside a ``comp`` aside."""
+    narrowed = _narrowed(blocks, prints.select("node", "n", "print"), percent)
+    placed = written_once(narrowed.join(prints.select("node", "rep", "digest"), "node"), "blocks")
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, own = None, [], []
@@ -297,25 +364,25 @@ def _linked(blocks: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, pe
 
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for list_id, part, node, shingles in zip(*[c.to_pylist() for c in batch.columns]):
-                if (list_id, part) != key:
+            for *block, node, shingles in zip(*[c.to_pylist() for c in batch.columns]):
+                if block != key:
                     found += links()
-                    key, nodes, own = (list_id, part), [], []
+                    key, nodes, own = block, [], []
                 nodes.append(node)
                 own.append(np.frombuffer(shingles, "<u8"))
             if found:
-                yield _pairs(found)
+                yield _longs(found, ("a", "b"))
         if found := links():
-            yield _pairs(found)
+            yield _longs(found, ("a", "b"))
 
-    rows = _sets(docs, placed, words, repeated).select("list_id", "part", "node", "shingles")
-    dealt = rows.repartition("list_id", "part").sortWithinPartitions("list_id", "part")
+    block = ["list_id", "part", "sub"]
+    rows = _sets(docs, placed, words, repeated).select(*block, "node", "shingles")
+    dealt = rows.repartition(*block).sortWithinPartitions(*block)
     return dealt.mapInArrow(check, "a long, b long")
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*found)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _longs(rows: list[tuple[int, ...]], names: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=list(names))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -372,16 +439,25 @@ def _classes(rows: DataFrame, described: DataFrame, nodes: DataFrame, listed: Da
     cluster = components(star.where("a <> b")).withColumnRenamed("comp", "cluster")
     cluster = written_once(cluster.join(cluster.groupBy("cluster").agg(F.count("*").alias("nodes")), "cluster"), "clusters")
 
+    # what blocks need to know of a node; its print is that of any row with its text
+    wanted = nodes.join(cluster.select("node"), "node", "left_semi").select("node", "rep", "digest", "n")
+    printed = described.select(F.col("doc_id").alias("rep"), "digest", "print")
+    if repeated:
+        printed = printed.dropDuplicates(["rep", "digest"])
+    prints = written_once(printed.join(wanted, ["rep", "digest"]), "prints")
+
     # first turn: every pair of each block of a cluster; a cluster of one block is done with, others are cut in two ways
     cuts = F.explode(F.when(F.col("nodes") > BLOCK, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     parts = F.ceil(F.col("nodes") / F.lit(BLOCK))
-    blocks = cluster.withColumn("cut", cuts).select(F.col("cluster").alias("list_id"), "node", (F.col("cut") * F.lit(1 << 40) + F.pmod(F.xxhash64("node", "cut"), parts)).alias("part"))
-    links = written_once(_linked(blocks, rows, nodes, words, percent, repeated).unionByName(same), "links")
+    blocks = cluster.withColumn("cut", cuts).select(F.col("cluster").alias("list_id"), "node", (F.col("cut") * F.lit(1 << 40) + F.pmod(F.xxhash64("node", "cut"), parts)).alias("part"), F.col("node").alias("comp"))
+    links = written_once(_linked(blocks, rows, prints, words, percent, repeated).unionByName(same), "links")
     label = components(links)
 
     # second turn: what is left open in large clusters; all but the largest class against all, in each list or, where that moves fewer sets, in the cluster
     large = cluster.where(F.col("nodes") > BLOCK).join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     large = written_once(large, "large")
+    if large.isEmpty():
+        return _named(described, nodes, label)
     in_lists = listed.join(large, "node").select("list_id", "node", "comp", "cluster")
     mixed = in_lists.groupBy("list_id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list_id")
     in_lists = written_once(in_lists.join(mixed, "list_id", "left_semi"), "open")
@@ -398,15 +474,20 @@ def _classes(rows: DataFrame, described: DataFrame, nodes: DataFrame, listed: Da
     outer, inner = F.ceil((F.col("all") - F.col("main.n")) / F.lit(BLOCK)), F.ceil(F.col("all") / F.lit(BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), n)
-    outside = open_.where(F.col("comp") != F.col("main.comp")).select("list_id", "node", own(outer).alias("o"), every(inner).alias("i"))
-    inside = open_.select("list_id", "node", own(inner).alias("i"), every(outer).alias("o"))
-    crossed = outside.select("list_id", "node", "o", "i").union(inside.select("list_id", "node", "o", "i"))
-    crossed = crossed.select("list_id", "node", (F.col("o") * F.lit(1 << 31) + F.col("i")).alias("part"))
+    # where all are one part, the inside alone has every node
+    outside = open_.where((F.col("comp") != F.col("main.comp")) & (inner > 1)).select("list_id", "node", "comp", own(outer).alias("o"), every(inner).alias("i"))
+    inside = open_.select("list_id", "node", "comp", own(inner).alias("i"), every(outer).alias("o"))
+    crossed = outside.select("list_id", "node", "comp", "o", "i").union(inside.select("list_id", "node", "comp", "o", "i"))
+    crossed = crossed.select("list_id", "node", "comp", (F.col("o") * F.lit(1 << 31) + F.col("i")).alias("part"))
     if not several.isEmpty():
-        more = written_once(_linked(crossed, rows, nodes, words, percent, repeated), "links")
+        more = written_once(_linked(crossed, rows, prints, words, percent, repeated), "links")
         if not more.isEmpty():
             label = components(links.unionByName(more))
+    return _named(described, nodes, label)
+
 
+def _named(described: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows with their classes, named by the least id."""
     known = nodes.join(label, "node").select("n", "digest", "rep", "comp")
     known = known.join(known.groupBy("comp").agg(F.min("rep").alias("least")), "comp").select("n", "digest", "least")
     own = nodes.join(known, ["n", "digest"], "left").select("n", "digest", F.coalesce("least", "rep").alias("comp"))
